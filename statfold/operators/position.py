@@ -76,33 +76,40 @@ def with_group_rank(df: DataFrame, groups: Sequence[str], order_by, col: str = "
     return out.drop("_gpos", "_start")
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], groups: Sequence[str] = (),
-                    names: Sequence[str] | None = None, partitions: int | None = None) -> DataFrame:
-    """Exact linear-interpolation quantiles (pandas / R type 7 / ``quantile_cont``).
-
-    Nulls are ignored. Output: one row per group with one column per prob.
-    Only the two order statistics around each requested position are read
-    back, through an equi-join on (group, rank).
+def order_statistics(df: DataFrame, value: str, positions, groups: Sequence[str] = (),
+                     names: Sequence[str] | None = None, partitions: int | None = None) -> DataFrame:
+    """Values at fractional 1-based positions, interpolated linearly.
+
+    ``positions`` are Column expressions of ``_n`` (the non-null group size);
+    position ``h`` reads ``x[floor(h)] + (h - floor(h)) * (x[ceil(h)] - x[floor(h)])``.
+    Only the needed order statistics are read back, through an equi-join on
+    (group, rank), so no group is ever gathered into one task.
     """
     groups = list(groups)
-    names = list(names or [f"q{int(round(p * 100))}" for p in probs])
+    names = list(names or [f"p{i}" for i in range(len(positions))])
     data = df.select(*groups, value).where(F.col(value).isNotNull())
     ranked = with_group_rank(data, groups, [value], "_r", size_col="_n", partitions=partitions)
     sizes = ranked.groupBy(*groups).agg(F.first("_n").alias("_n"))
-    wanted = sizes.select(*groups, "_n", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("qi"), (F.lit(float(p)) * (F.col("_n") - 1) + 1).alias("h"))
-        for i, p in enumerate(probs)])).alias("w"))
+    wanted = sizes.select(*groups, F.explode(F.array(*[
+        F.struct(F.lit(i).alias("qi"), h.cast("double").alias("h")) for i, h in enumerate(positions)])).alias("w"))
     wanted = wanted.select(*groups, "w.qi", "w.h",
                            F.floor("w.h").cast("long").alias("lo"), F.ceil("w.h").cast("long").alias("hi"))
-    need = wanted.select(*groups, F.explode(F.array_distinct(F.array("lo", "hi"))).alias("_r"))
-    picked = ranked.join(need.distinct(), [*groups, "_r"], "left_semi").select(*groups, "_r", value)
+    need = wanted.select(*groups, F.explode(F.array_distinct(F.array("lo", "hi"))).alias("_r")).distinct()
+    picked = ranked.join(need, [*groups, "_r"], "left_semi").select(*groups, "_r", value)
     lo = picked.withColumnRenamed("_r", "lo").withColumnRenamed(value, "_xlo")
     hi = picked.withColumnRenamed("_r", "hi").withColumnRenamed(value, "_xhi")
     q = (wanted.join(lo, [*groups, "lo"]).join(hi, [*groups, "hi"])
          .withColumn("_q", F.col("_xlo") + (F.col("h") - F.col("lo")) * (F.col("_xhi") - F.col("_xlo"))))
-    pivoted = q.groupBy(*groups).agg(*[
+    return q.groupBy(*groups).agg(*[
         F.max(F.when(F.col("qi") == i, F.col("_q"))).alias(nm) for i, nm in enumerate(names)])
-    return pivoted
+
+
+def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], groups: Sequence[str] = (),
+                    names: Sequence[str] | None = None, partitions: int | None = None) -> DataFrame:
+    """Exact linear-interpolation quantiles (pandas / R type 7 / ``quantile_cont``)."""
+    names = list(names or [f"q{int(round(p * 100))}" for p in probs])
+    positions = [F.lit(float(p)) * (F.col("_n") - 1) + 1 for p in probs]
+    return order_statistics(df, value, positions, groups, names, partitions)
 
 
 def running_sum(df: DataFrame, order_by, value: str, out: str, partitions: int | None = None) -> DataFrame:

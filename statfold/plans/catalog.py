@@ -1,4 +1,4 @@
 """Imports every query module so the registry is complete."""
 
-from statfold.plans import q_freq  # noqa: F401
+from statfold.plans import q_freq, q_profile  # noqa: F401
 from statfold.plans.registry import ORACLE, QUERIES  # noqa: F401
