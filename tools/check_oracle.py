@@ -26,7 +26,7 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return round(v, 6)
+        return round(v, 6) + 0.0
     if hasattr(v, "tolist"):
         return str([_norm(x) for x in v.tolist()])
     if isinstance(v, (list, tuple)):
