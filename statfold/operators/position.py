@@ -112,20 +112,27 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], groups: S
     return order_statistics(df, value, positions, groups, names, partitions)
 
 
-def running_sum(df: DataFrame, order_by, value: str, out: str, partitions: int | None = None) -> DataFrame:
-    """Cumulative sum of ``value`` along ``order_by`` for tables of any length.
+def running_sum(df: DataFrame, order_by, value, out, partitions: int | None = None) -> DataFrame:
+    """Cumulative sums of ``value`` (a column or a list) along ``order_by``, for tables of any length.
 
     Range partitions carry local running sums; the totals of the earlier
     partitions (one row per partition) are added back through a broadcast.
+    ``order_by`` must be a total order (as after a ``groupBy`` on the key).
     """
+    values = [value] if isinstance(value, str) else list(value)
+    outs = [out] if isinstance(out, str) else list(out)
     keys = _cols(order_by)
     ranged = df.repartitionByRange(_partitions(df, partitions), *keys)
     tagged = cut_lineage(ranged.withColumn("_pid", F.spark_partition_id()))
     local = Window.partitionBy("_pid").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
-    totals = tagged.groupBy("_pid").agg(F.sum(value).alias("_t"))
+    totals = tagged.groupBy("_pid").agg(*[F.sum(v).alias(f"_t{i}") for i, v in enumerate(values)])
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_pid", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"))
-    return (tagged.withColumn("_loc", F.sum(value).over(local))
-            .join(F.broadcast(offsets), "_pid")
-            .withColumn(out, F.col("_off") + F.col("_loc"))
-            .drop("_pid", "_loc", "_off"))
+    offsets = totals.select("_pid", *[F.coalesce(F.sum(f"_t{i}").over(before), F.lit(0)).alias(f"_off{i}")
+                                      for i in range(len(values))])
+    res = tagged
+    for i, v in enumerate(values):
+        res = res.withColumn(f"_loc{i}", F.sum(v).over(local))
+    res = res.join(F.broadcast(offsets), "_pid")
+    for i, o in enumerate(outs):
+        res = res.withColumn(o, F.col(f"_off{i}") + F.col(f"_loc{i}"))
+    return res.drop("_pid", *[f"_loc{i}" for i in range(len(values))], *[f"_off{i}" for i in range(len(values))])
