@@ -32,13 +32,17 @@ def to_float32(a) -> Column:
     return _c(a).cast("array<float>")
 
 
-def softmax(a) -> Column:
-    """MTH1: numerically safe softmax (subtract the maximum)."""
-    arr = _c(a).cast("array<double>")
-    m = F.array_max(arr)
-    e = F.transform(arr, lambda x: F.exp(x - m))
-    s = F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(e, lambda x: x / s)
+def with_softmax(df, col: str, out: str):
+    """MTH1: numerically safe softmax (subtract the maximum) of an array column.
+
+    The maximum and the sum are separate columns: an expression used inside a
+    lambda would be re-evaluated for every element.
+    """
+    arr = F.col(col).cast("array<double>")
+    df = df.withColumn("_sm_max", F.array_max(arr))
+    df = df.withColumn("_sm_e", F.transform(arr, lambda x: F.exp(x - F.col("_sm_max"))))
+    df = df.withColumn("_sm_s", F.aggregate("_sm_e", F.lit(0.0), lambda acc, x: acc + x))
+    return df.withColumn(out, F.transform("_sm_e", lambda x: x / F.col("_sm_s"))).drop("_sm_max", "_sm_e", "_sm_s")
 
 
 def argmax(a) -> Column:
@@ -53,11 +57,12 @@ def last_n(a, n: int) -> Column:
     return F.slice(arr, F.greatest(F.size(arr) - n + 1, F.lit(1)), F.lit(n))
 
 
-def minmax_array(a, eps: float = 1e-8) -> Column:
-    """SCL3: ``(x - min) / (max - min + eps)`` within each array."""
-    arr = _c(a).cast("array<double>")
-    lo, hi = F.array_min(arr), F.array_max(arr)
-    return F.transform(arr, lambda x: (x - lo) / (hi - lo + F.lit(eps)))
+def with_minmax(df, col: str, out: str, eps: float = 1e-8):
+    """SCL3: ``(x - min) / (max - min + eps)`` within each array (bounds as columns, see softmax)."""
+    arr = F.col(col).cast("array<double>")
+    df = df.withColumn("_mm_lo", F.array_min(arr)).withColumn("_mm_hi", F.array_max(arr))
+    return df.withColumn(out, F.transform(arr, lambda x: (x - F.col("_mm_lo")) / (F.col("_mm_hi") - F.col("_mm_lo") + F.lit(eps)))
+                         ).drop("_mm_lo", "_mm_hi")
 
 
 def whitespace_words(text) -> Column:

@@ -38,7 +38,7 @@ FROM (SELECT vec_id, embedding, list_min(CAST(embedding AS DOUBLE[])) AS lo, lis
              unnest(range(len(embedding))) AS i FROM embeddings)
 """)
 def scl3_minmax_array(spark, sf):
-    e = Tables(spark, sf).embeddings.select("vec_id", arrays.minmax_array("embedding").alias("a"))
+    e = arrays.with_minmax(Tables(spark, sf).embeddings.select("vec_id", "embedding"), "embedding", "a")
     return round_doubles(e.select("vec_id", F.posexplode("a").alias("idx", "value")), 6)
 
 
@@ -113,7 +113,7 @@ SELECT vec_id, round(1.0 / list_sum(list_transform(e, lambda x: exp(x - list_max
 FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
 """)
 def mth1_softmax(spark, sf):
-    e = Tables(spark, sf).embeddings.select("vec_id", arrays.softmax("embedding").alias("p"))
+    e = arrays.with_softmax(Tables(spark, sf).embeddings.select("vec_id", "embedding"), "embedding", "p")
     return round_doubles(e.select("vec_id", F.array_max("p").alias("p_max"), arrays.argmax("p").alias("arg")), 6)
 
 
