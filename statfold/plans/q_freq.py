@@ -254,3 +254,31 @@ _EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 def dat3_daily_by_type(spark, sf):
     ev = Tables(spark, sf).events.select(F.to_date(F.date_trunc("day", "ts")).alias("day"), "event_type")
     return freq.crosstab(ev, "day", "event_type", _EVENT_TYPES)
+
+
+@register("joi3_dense_months", """
+WITH m AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS period, count(*) AS n
+           FROM lineitem WHERE l_quantity >= 50 GROUP BY 1),
+     s AS (SELECT CAST(unnest(generate_series(min(period)::TIMESTAMP, max(period)::TIMESTAMP, INTERVAL 1 MONTH)) AS DATE) AS period FROM m)
+SELECT s.period, CAST(coalesce(m.n, 0) AS BIGINT) AS n FROM s LEFT JOIN m USING (period)
+""")
+def joi3_dense_months(spark, sf):
+    li = Tables(spark, sf).lineitem.where(F.col("l_quantity") >= 50)
+    return freq.dense_periods(freq.period_counts(li, "l_shipdate", "month"), "period", "month")
+
+
+@register("win4_global_position", """
+SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS pos FROM orders
+""")
+def win4_global_position(spark, sf):
+    from statfold.operators.position import with_position
+    o = Tables(spark, sf).orders.select("o_orderkey", "o_totalprice")
+    return with_position(o, [F.col("o_totalprice").desc(), F.col("o_orderkey")], "pos").select("o_orderkey", "pos")
+
+
+@register("srt1_sort_by_share", """
+SELECT c_mktsegment, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM customer GROUP BY 1 ORDER BY share, c_mktsegment
+""")
+def srt1_sort_by_share(spark, sf):
+    rel = freq.relative_counts(Tables(spark, sf).customer, "c_mktsegment")
+    return round_doubles(rel.orderBy("share", "c_mktsegment"), 6)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
@@ -206,3 +207,32 @@ def src4_document_files(spark, sf):
     return docs.where(~F.col("rejected")).select(
         F.regexp_extract("path", r"page_id=([0-9]+)", 1).cast("long").alias("page_id"),
         F.md5(F.regexp_replace("text", r"\n$", "")).alias("text_md5"))
+
+
+@register("udf3_model_callable")
+def udf3_model_callable(spark, sf):
+    """A user model per batch: nearest class centroid (centroids from a Spark aggregate)."""
+    from statfold.plans.q_freq import EMOTIONS
+    s = _emb_split(spark, sf)
+    train = s.where(F.col("split") == "train")
+    dim = len(train.select("embedding").first()[0])
+    cents = (train.select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("j", "x"))
+             .groupBy("label", "j").agg(F.avg("x").alias("m")).collect())
+    labels = sorted({r["label"] for r in cents})
+    c = np.zeros((len(labels), dim))
+    for r in cents:
+        c[labels.index(r["label"]), r["j"]] = r["m"]
+    # logits = -||x - c||^2 = 2 x.c - |c|^2 - |x|^2; the |x|^2 term does not change the arg-max
+    predictor = score.linear_softmax_udf(2 * c, -(c * c).sum(axis=1))
+    scored = score.score_batches(s.where(F.col("split") == "test"), "embedding", predictor,
+                                 {i: EMOTIONS.get(lbl, str(lbl)) for i, lbl in enumerate(labels)})
+    return evaluate.accuracy(scored.withColumn("pred", F.element_at(F.array(*[F.lit(v) for v in labels]),
+                                                                    F.col("predicted_class") + 1)), "label", "pred")
+
+
+@register("udf4_metric_callback")
+def udf4_metric_callback(spark, sf):
+    """Metric callback on (predictions, labels): the ML8 function applied to a cut-off classifier."""
+    from statfold.plans.q_eval import scored
+    s = scored(spark, sf).withColumn("pred", evaluate.cutoff("score", 0.5))
+    return evaluate.averaged_scores(s, "y", "pred")

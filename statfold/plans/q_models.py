@@ -217,3 +217,15 @@ def win5_durbin_watson(spark, sf):
     e = ex.select("id", (F.col("lsat") - (F.lit(res.intercept) + F.lit(res.beta["_x0"]) * F.col("ugpa")
                                             + F.lit(res.beta["_x1"]) * F.col("gpa"))).alias("e"))
     return spark.createDataFrame([(linear.durbin_watson(e, "e", "id"),)], "durbin_watson double")
+
+
+@register("reg15_qq_points")
+def reg15_qq_points(spark, sf):
+    from statfold.operators.diag import qq_points
+    return qq_points(Tables(spark, sf).customer, "c_acctbal")
+
+
+@register("reg12_profile_intervals")
+def reg12_profile_intervals(spark, sf):
+    from statfold.operators.diag import profile_intervals
+    return profile_intervals(_churn(spark, sf), "churn", ["age", "active_member"], "binomial")
