@@ -21,6 +21,8 @@ def spark():
     if not s.sparkContext.getCheckpointDir() and not s.conf.get("spark.checkpoint.dir", None):
         s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="statfold-test-ckpt-"))
     ensure_checkpoint_dir(s)
+    from statfold.session import ship_package
+    ship_package(s)
     yield s
     s.stop()
 
