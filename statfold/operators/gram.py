@@ -2,8 +2,9 @@
 
 Every linear method here (OLS, ANOVA type II, ridge, lasso, subsets, PCA,
 PCR, k-fold CV) needs only these moments. They are computed by one
-``groupBy`` with ``avg`` and ``covar_pop`` (numerically stable merge of
-partial aggregates, map-side combine); each group returns one row of
+``groupBy`` of plain ``sum``s of products of mean-shifted values (the
+shift comes from a bounded sample, so the sums do not cancel; partial sums
+are combined map-side); each group returns one row of
 ``p(p+1)/2`` numbers, so what reaches the driver is model-sized, never
 data-sized. Groups (e.g. folds) are merged exactly with the parallel-axis
 rule, so "all folds but k" costs no extra pass.
@@ -54,43 +55,68 @@ class Moments:
         return self.comoment / (self.n - ddof)
 
 
-def moment_aggregates(cols: Sequence[str]) -> list[Column]:
+SHIFT_SAMPLE_ROWS = 100_000
+
+
+def _shift(data: DataFrame, cols: list[str]) -> list[float]:
+    """A centring shift close to the means, read from a bounded sample.
+
+    Sums of products of shifted values lose no precision as long as the
+    shift is within a few standard deviations of the mean; any shift gives
+    the same result mathematically.
+    """
+    row = data.limit(SHIFT_SAMPLE_ROWS).agg(*[F.avg(c).alias(f"_s{i}") for i, c in enumerate(cols)]).first()
+    return [float(row[f"_s{i}"]) if row is not None and row[f"_s{i}"] is not None else 0.0 for i in range(len(cols))]
+
+
+def moment_aggregates(cols: Sequence[str], shift: Sequence[float]) -> list[Column]:
+    """count, sums and sums of products of the shifted columns (plain SUMs: codegen-friendly)."""
     cols = list(cols)
+    sh = [F.col(c) - F.lit(float(s)) for c, s in zip(cols, shift)]
     aggs = [F.count(F.lit(1)).alias("_n")]
-    aggs += [F.avg(c).alias(f"_m{i}") for i, c in enumerate(cols)]
-    for i, a in enumerate(cols):
+    aggs += [F.sum(x).alias(f"_m{i}") for i, x in enumerate(sh)]
+    for i in range(len(cols)):
         for j in range(i, len(cols)):
-            aggs.append(F.covar_pop(a, cols[j]).alias(f"_c{i}_{j}"))
+            aggs.append(F.sum(sh[i] * sh[j]).alias(f"_c{i}_{j}"))
     return aggs
 
 
-def _to_moments(row, names: list[str]) -> Moments:
+def _to_moments(row, names: list[str], shift: Sequence[float]) -> Moments:
     p = len(names)
     n = float(row["_n"])
-    mean = np.array([float(row[f"_m{i}"] or 0.0) for i in range(p)])
-    c = np.zeros((p, p))
+    s1 = np.array([float(row[f"_m{i}"] or 0.0) for i in range(p)])
+    s2 = np.zeros((p, p))
     for i in range(p):
         for j in range(i, p):
             v = row[f"_c{i}_{j}"]
-            c[i, j] = c[j, i] = (float(v) if v is not None else 0.0) * n
+            s2[i, j] = s2[j, i] = float(v) if v is not None else 0.0
+    mean = np.array(shift) + (s1 / n if n else 0.0)
+    c = s2 - (np.outer(s1, s1) / n if n else 0.0)
     return Moments(list(names), n, mean, c)
 
 
+def _complete(df: DataFrame, cols: list[str], key: str | None = None) -> DataFrame:
+    keep = ([F.col(key)] if key else []) + [F.col(c).cast("double").alias(c) for c in cols]
+    return df.select(*keep).na.drop("any", subset=cols)
+
+
 def moments(df: DataFrame, cols: Sequence[str]) -> Moments:
     """Moments of complete rows (any null in ``cols`` drops the row)."""
     cols = list(cols)
-    data = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).na.drop("any")
-    row = data.agg(*moment_aggregates(cols)).first()
-    return _to_moments(row, cols)
+    data = _complete(df, cols)
+    shift = _shift(data, cols)
+    row = data.agg(*moment_aggregates(cols, shift)).first()
+    return _to_moments(row, cols, shift)
 
 
 def moments_by(df: DataFrame, cols: Sequence[str], key: str) -> dict:
     """Moments per value of ``key`` (one output row per key, e.g. per fold)."""
     cols = list(cols)
-    data = df.select(F.col(key), *[F.col(c).cast("double").alias(c) for c in cols]).na.drop("any")
+    data = _complete(df, cols, key)
+    shift = _shift(data, cols)
     out = {}
-    for row in data.groupBy(key).agg(*moment_aggregates(cols)).collect():
-        out[row[key]] = _to_moments(row, cols)
+    for row in data.groupBy(key).agg(*moment_aggregates(cols, shift)).collect():
+        out[row[key]] = _to_moments(row, cols, shift)
     return out
 
 
