@@ -82,24 +82,29 @@ def order_statistics(df: DataFrame, value: str, positions, groups: Sequence[str]
 
     ``positions`` are Column expressions of ``_n`` (the non-null group size);
     position ``h`` reads ``x[floor(h)] + (h - floor(h)) * (x[ceil(h)] - x[floor(h)])``.
-    Only the needed order statistics are read back, through an equi-join on
-    (group, rank), so no group is ever gathered into one task.
+    Rows get global positions under (groups, value); each group's first
+    position and size come from a small aggregate, so the needed order
+    statistics are a handful of global positions, fetched with a broadcast
+    semi-join. No group is gathered into one task and no full-size join runs.
     """
     groups = list(groups)
     names = list(names or [f"p{i}" for i in range(len(positions))])
     data = df.select(*groups, value).where(F.col(value).isNotNull())
-    ranked = with_group_rank(data, groups, [value], "_r", size_col="_n", partitions=partitions)
-    sizes = ranked.groupBy(*groups).agg(F.first("_n").alias("_n"))
-    wanted = sizes.select(*groups, F.explode(F.array(*[
+    pos = with_position(data, [*_cols(groups), F.col(value)], "_gpos", partitions)
+    sizes = pos.groupBy(*groups).agg(F.min("_gpos").alias("_start"), F.count(F.lit(1)).alias("_n"))
+    wanted = sizes.select(*groups, "_start", F.explode(F.array(*[
         F.struct(F.lit(i).alias("qi"), h.cast("double").alias("h")) for i, h in enumerate(positions)])).alias("w"))
     wanted = wanted.select(*groups, "w.qi", "w.h",
-                           F.floor("w.h").cast("long").alias("lo"), F.ceil("w.h").cast("long").alias("hi"))
-    need = wanted.select(*groups, F.explode(F.array_distinct(F.array("lo", "hi"))).alias("_r")).distinct()
-    picked = ranked.join(need, [*groups, "_r"], "left_semi").select(*groups, "_r", value)
-    lo = picked.withColumnRenamed("_r", "lo").withColumnRenamed(value, "_xlo")
-    hi = picked.withColumnRenamed("_r", "hi").withColumnRenamed(value, "_xhi")
-    q = (wanted.join(lo, [*groups, "lo"]).join(hi, [*groups, "hi"])
-         .withColumn("_q", F.col("_xlo") + (F.col("h") - F.col("lo")) * (F.col("_xhi") - F.col("_xlo"))))
+                           (F.col("_start") + F.floor("w.h").cast("long") - 1).alias("lo"),
+                           (F.col("_start") + F.ceil("w.h").cast("long") - 1).alias("hi"),
+                           (F.col("w.h") - F.floor("w.h")).alias("frac"))
+    # at most 2 x groups x positions rows: a bounded broadcast
+    need = wanted.select(F.explode(F.array_distinct(F.array("lo", "hi"))).alias("_gpos")).distinct()
+    picked = pos.join(F.broadcast(need), "_gpos", "left_semi").select("_gpos", value)
+    lo = picked.select(F.col("_gpos").alias("lo"), F.col(value).alias("_xlo"))
+    hi = picked.select(F.col("_gpos").alias("hi"), F.col(value).alias("_xhi"))
+    q = (wanted.join(lo, "lo").join(hi, "hi")
+         .withColumn("_q", F.col("_xlo") + F.col("frac") * (F.col("_xhi") - F.col("_xlo"))))
     return q.groupBy(*groups).agg(*[
         F.max(F.when(F.col("qi") == i, F.col("_q"))).alias(nm) for i, nm in enumerate(names)])
 
