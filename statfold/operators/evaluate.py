@@ -134,8 +134,8 @@ def roc_curve(df: DataFrame, label: str, score: str, positive=1) -> DataFrame:
     t = running_sum(t, [F.col("score").desc()], ["pos", "neg"], ["tp", "fp"])
     tot = t.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     j = _one(t).join(F.broadcast(_one(tot)), "_one")
-    pts = j.select(F.col("score").alias("threshold"), (F.col("fp") / F.col("N")).alias("fpr"),
-                   (F.col("tp") / F.col("P")).alias("tpr"), F.col("tp").cast("long").alias("tp"),
+    pts = j.select(F.col("score").alias("threshold"), F.try_divide(F.col("fp"), F.col("N")).alias("fpr"),
+                   F.try_divide(F.col("tp"), F.col("P")).alias("tpr"), F.col("tp").cast("long").alias("tp"),
                    F.col("fp").cast("long").alias("fp"))
     start = tot.select(F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"),
                        F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"))
@@ -149,7 +149,9 @@ def auc(df: DataFrame, label: str, score: str, positive=1) -> DataFrame:
     rank = F.col("_cum") - F.col("cnt") + (F.col("cnt") + 1) / 2.0
     a = t.agg(F.sum(F.col("pos") * rank).alias("rs"), F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     u = F.col("rs") - F.col("P") * (F.col("P") + 1) / 2.0
-    return a.select((u / (F.col("P") * F.col("N"))).alias("auc"), F.col("P").alias("n_pos"), F.col("N").alias("n_neg"))
+    # one-class input has no AUC: null rather than a division error
+    return a.select(F.try_divide(u, F.col("P") * F.col("N")).alias("auc"), F.col("P").alias("n_pos"),
+                    F.col("N").alias("n_neg"))
 
 
 def pr_curve(df: DataFrame, label: str, score: str, positive=1) -> DataFrame:
@@ -157,8 +159,8 @@ def pr_curve(df: DataFrame, label: str, score: str, positive=1) -> DataFrame:
     roc = roc_curve(df, label, score, positive).where(F.col("threshold") != float("inf"))
     tot = roc.agg(F.max("tp").alias("P"))
     j = _one(roc).join(F.broadcast(_one(tot)), "_one")
-    pts = j.select("threshold", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
-                   (F.col("tp") / F.col("P")).alias("recall"))
+    pts = j.select("threshold", F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
+                   F.try_divide(F.col("tp"), F.col("P")).alias("recall"))
     end = tot.select(F.lit(float("inf")).alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
     return pts.unionByName(end)
 
