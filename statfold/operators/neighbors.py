@@ -43,31 +43,33 @@ def _blocks(df: DataFrame, id_col: str, vec: str, label: str | None, block_rows:
 
 
 def _topk_pairs(k: int, exclude_self: bool):
+    """Per block pair: the k best references per query, ordered by (distance, reference id)."""
     def run(it):
         for pdf in it:
-            out = []
+            parts = []
             for q, r in zip(pdf["qrows"], pdf["rrows"]):
-                qid = np.array([x["id"] for x in q], dtype=np.int64)
-                rid = np.array([x["id"] for x in r], dtype=np.int64)
-                ry = np.array([x["y"] if x["y"] is not None else -1 for x in r], dtype=np.int64)
-                qm = np.array([x["v"] for x in q], dtype=np.float64)
-                rm = np.array([x["v"] for x in r], dtype=np.float64)
-                d2 = ((qm[:, None, :] - rm[None, :, :]) ** 2).sum(axis=2)
+                qid = np.fromiter((x["id"] for x in q), dtype=np.int64, count=len(q))
+                rid = np.fromiter((x["id"] for x in r), dtype=np.int64, count=len(r))
+                ry = np.fromiter((x["y"] if x["y"] is not None else -1 for x in r), dtype=np.int64, count=len(r))
+                qm = np.stack([np.asarray(x["v"], dtype=np.float64) for x in q])
+                rm = np.stack([np.asarray(x["v"], dtype=np.float64) for x in r])
+                order = np.argsort(rid, kind="stable")  # columns by id: a stable sort then breaks ties by id
+                rid, ry, rm = rid[order], ry[order], rm[order]
+                # exact squared differences, in query chunks of bounded memory (ties stay exact)
+                step = max(1, 4_000_000 // max(1, rm.shape[0] * rm.shape[1]))
+                d2 = np.concatenate([((qm[i:i + step, None, :] - rm[None, :, :]) ** 2).sum(axis=2)
+                                     for i in range(0, qm.shape[0], step)])
                 if exclude_self:
                     d2[qid[:, None] == rid[None, :]] = np.inf
                 kk = min(k, len(rid))
-                # order by (distance, reference id): lexsort within the kk smallest distances
-                part = np.argpartition(d2, kk - 1, axis=1)[:, :kk] if kk < len(rid) else np.tile(np.arange(len(rid)), (len(qid), 1))
-                for i in range(len(qid)):
-                    cand = part[i]
-                    # include every reference tied with the kk-th distance so id tie-breaks stay exact
-                    cut = d2[i, cand].max()
-                    cand = np.nonzero(d2[i] <= cut)[0]
-                    order = np.lexsort((rid[cand], d2[i, cand]))[:kk]
-                    for j in cand[order]:
-                        if np.isfinite(d2[i, j]):
-                            out.append((int(qid[i]), float(d2[i, j]), int(rid[j]), int(ry[j])))
-            yield pd.DataFrame(out, columns=["qid", "d2", "rid", "ry"])
+                best = np.argsort(d2, axis=1, kind="stable")[:, :kk]
+                dist = np.take_along_axis(d2, best, axis=1)
+                keep = np.isfinite(dist)
+                parts.append(pd.DataFrame({"qid": np.repeat(qid, kk)[keep.ravel()], "d2": dist[keep],
+                                           "rid": rid[best][keep], "ry": ry[best][keep]}))
+            yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(
+                {"qid": pd.Series(dtype="int64"), "d2": pd.Series(dtype="float64"),
+                 "rid": pd.Series(dtype="int64"), "ry": pd.Series(dtype="int64")})
     return run
 
 
