@@ -78,8 +78,8 @@ def chi_square(df: DataFrame, a: str, b: str, correction: bool = True) -> DataFr
     rows = cells.groupBy(a).agg(F.sum("o").alias("r"))
     cols = cells.groupBy(b).agg(F.sum("o").alias("c"))
     shape = cells.agg(F.sum("o").alias("n"), F.count_distinct(a).alias("nr"), F.count_distinct(b).alias("nc"),
-                      F.collect_set(a).alias("_la"), F.collect_set(b).alias("_lb"))
-    # The level spine is only built for a 2x2 table (four cells).
+                      F.array(F.min(a), F.max(a)).alias("_la"), F.array(F.min(b), F.max(b)).alias("_lb"))
+    # The level spine is only built for a 2x2 table: with two levels, min and max are the levels.
     spine = (shape.where((F.col("nr") == 2) & (F.col("nc") == 2))
              .select(F.explode("_la").alias(a), "_lb").select(a, F.explode("_lb").alias(b)))
     full = (spine.join(cells, [a, b], "left").fillna(0, ["o"]).join(rows, a).join(cols, b)
