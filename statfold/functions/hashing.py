@@ -39,3 +39,22 @@ def sql_hash_uniform(seed, *parts: str) -> str:
     """DuckDB text of :func:`hash_uniform` (for oracle SQL)."""
     inner = " || '|' || ".join([f"'{seed}'"] + [f"CAST({p} AS VARCHAR)" for p in parts])
     return f"(('0x' || substr(md5({inner}), 1, 8))::BIGINT / 4294967296.0)"
+
+
+def hash_digest(seed, *parts) -> Column:
+    """One md5 per row; its four 32-bit windows are four independent draws."""
+    return F.md5(_key(seed, *parts))
+
+
+def digest_u32(digest: Column, k: int) -> Column:
+    """Window ``k`` (0..3) of a digest as an unsigned 32-bit long."""
+    return F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("long")
+
+
+def digest_uniform(digest: Column, k: int) -> Column:
+    return digest_u32(digest, k).cast("double") / F.lit(4294967296.0)
+
+
+def sql_digest_u32(seed, k: int, *parts: str) -> str:
+    inner = " || '|' || ".join([f"'{seed}'"] + [f"CAST({p} AS VARCHAR)" for p in parts])
+    return f"('0x' || substr(md5({inner}), {8 * k + 1}, 8))::BIGINT"
