@@ -174,9 +174,17 @@ def word_frequencies(df: DataFrame, text: str, stop_words: Sequence[str] = (), n
     return counts
 
 
-def fill_missing_levels(counts: DataFrame, key: str, levels: DataFrame, value: str = "n") -> DataFrame:
-    """JOI2: left-join a level spine to counts; absent levels get 0."""
-    return levels.join(counts, key, "left").withColumn(value, F.coalesce(F.col(value), F.lit(0)).cast("long"))
+def fill_missing_levels(counts: DataFrame, key, levels: DataFrame, value: str = "n",
+                        keep_unlisted: bool = False) -> DataFrame:
+    """JOI2: join a level spine to counts; absent levels get 0.
+
+    ``key`` is a column name or a list (e.g. ``["split", "label"]``). With
+    ``keep_unlisted`` counted keys missing from the spine are kept too (the
+    reference adds the missing dictionary keys to the observed counts).
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    joined = levels.join(counts, keys, "full" if keep_unlisted else "left")
+    return joined.withColumn(value, F.coalesce(F.col(value), F.lit(0)).cast("long"))
 
 
 def lookup_labels(df: DataFrame, key: str, mapping: dict, out: str) -> DataFrame:

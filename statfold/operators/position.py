@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from statfold.session import cut_lineage
+from statfold.session import broadcast_if_small, cut_lineage
 
 _LOCAL_BITS = 33  # monotonically_increasing_id = partition index << 33 | row index
 
@@ -68,7 +68,7 @@ def with_group_rank(df: DataFrame, groups: Sequence[str], order_by, col: str = "
             out = out.withColumn("_k", F.lit(0)).join(F.broadcast(total), "_k").drop("_k")
         return out
     starts = pos.groupBy(*groups).agg(F.min("_gpos").alias("_start"), F.count(F.lit(1)).alias("_gn"))
-    out = pos.join(starts, groups, "inner").withColumn(col, F.col("_gpos") - F.col("_start") + 1)
+    out = pos.join(broadcast_if_small(starts), groups, "inner").withColumn(col, F.col("_gpos") - F.col("_start") + 1)
     if size_col:
         out = out.withColumnRenamed("_gn", size_col)
     else:
@@ -98,9 +98,13 @@ def order_statistics(df: DataFrame, value: str, positions, groups: Sequence[str]
                            (F.col("_start") + F.floor("w.h").cast("long") - 1).alias("lo"),
                            (F.col("_start") + F.ceil("w.h").cast("long") - 1).alias("hi"),
                            (F.col("w.h") - F.floor("w.h")).alias("frac"))
-    # at most 2 x groups x positions rows: a bounded broadcast
+    # at most 2 x groups x positions rows: broadcast while that is small, else a shuffle semi-join
     need = wanted.select(F.explode(F.array_distinct(F.array("lo", "hi"))).alias("_gpos")).distinct()
-    picked = pos.join(F.broadcast(need), "_gpos", "left_semi").select("_gpos", value)
+    if groups:
+        need = broadcast_if_small(need)
+    else:
+        need = F.broadcast(need)
+    picked = pos.join(need, "_gpos", "left_semi").select("_gpos", value)
     lo = picked.select(F.col("_gpos").alias("lo"), F.col(value).alias("_xlo"))
     hi = picked.select(F.col("_gpos").alias("hi"), F.col(value).alias("_xhi"))
     q = (wanted.join(lo, "lo").join(hi, "hi")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from statfold.functions import dist
 from statfold.operators.position import exact_quantiles, with_position
+from statfold.session import broadcast_if_small
 
 
 def _one(df: DataFrame) -> DataFrame:
@@ -29,7 +30,7 @@ def box_stats(df: DataFrame, value: str, groups: Sequence[str] = (), k: float =
     lo_f, hi_f = F.col("q1") - k * iqr, F.col("q3") + k * iqr
     x = F.col(value)
     joined = df.select(*groups, value).where(x.isNotNull())
-    joined = (joined.join(F.broadcast(q), groups) if groups else
+    joined = (joined.join(broadcast_if_small(q), groups) if groups else
               _one(joined).join(F.broadcast(_one(q)), "_one").drop("_one"))
     return joined.groupBy(*groups, "q1", "median", "q3").agg(
         F.min(F.when(x >= lo_f, x)).alias("whisker_lo"), F.max(F.when(x <= hi_f, x)).alias("whisker_hi"),

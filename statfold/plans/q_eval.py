@@ -8,8 +8,9 @@ from statfold.functions import arrays
 from statfold.functions.hashing import hash_uniform, sql_hash_uniform
 from statfold.operators import evaluate
 from statfold.plans.common import round_doubles
+from statfold.plans.q_freq import USAGE, USAGE_SQL
 from statfold.plans.registry import Tables, register
-from statfold.sources import standins
+from statfold.sources import dataset, standins
 
 
 def scored(spark, sf):
@@ -211,8 +212,9 @@ def joi5_align_predictions(spark, sf):
 
 
 @register("joi6_append_batches", f"""
-SELECT vec_id, pred FROM {PRED_SQL}
+SELECT vec_id, pred, {USAGE_SQL} AS usage FROM {PRED_SQL}
 """)
 def joi6_append_batches(spark, sf):
-    p = predicted(spark, sf).select("vec_id", "pred")
-    return evaluate.append_batches([p.where(F.col("vec_id") < 250), p.where(F.col("vec_id") >= 250)])
+    # predictions made frame by frame (Training / PublicTest / PrivateTest), appended into one table
+    p = dataset.with_hash_split(predicted(spark, sf).select("vec_id", "pred"), "vec_id", USAGE, 11, "usage")
+    return evaluate.append_batches([p.where(F.col("usage") == name) for name, _ in USAGE])

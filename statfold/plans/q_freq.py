@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from statfold.functions import dates
-from statfold.functions.hashing import hash_uniform, sql_hash_uniform
+from statfold.functions.hashing import sql_hash_uniform
 from statfold.operators import freq
 from statfold.plans.common import round_doubles
 from statfold.plans.registry import Tables, register
+from statfold.sources import dataset
 
 # Minimum slice: sparse subset of orders so that empty months exist.
 SPARSE_ORDERS = "o_totalprice > 495000"
@@ -217,14 +218,23 @@ def joi1_label_lookup(spark, sf):
     return e.groupBy("label", "emotion").agg(F.count(F.lit(1)).alias("n"))
 
 
+USAGE = (("Training", 0.8), ("PublicTest", 0.1), ("PrivateTest", 0.1))
+U_VEC = sql_hash_uniform(11, "vec_id")
+USAGE_SQL = f"CASE WHEN {U_VEC} < 0.8 THEN 'Training' WHEN {U_VEC} < 0.9 THEN 'PublicTest' ELSE 'PrivateTest' END"
+
+
 @register("joi2_fill_missing_levels", f"""
-WITH c AS (SELECT label, count(*) AS n FROM embeddings WHERE {sql_hash_uniform(7, 'vec_id')} < 0.05 GROUP BY 1)
-SELECT l.label, CAST(coalesce(c.n, 0) AS BIGINT) AS n FROM (SELECT DISTINCT label FROM embeddings) l LEFT JOIN c USING (label)
+WITH c AS (SELECT {USAGE_SQL} AS usage, label, count(*) AS n FROM embeddings GROUP BY 1, 2),
+     k AS (SELECT u.usage, e.label FROM (VALUES ('Training'), ('PublicTest'), ('PrivateTest')) u(usage),
+                  (VALUES {", ".join(f"({k})" for k in EMOTIONS)}) e(label))
+SELECT usage, label, CAST(coalesce(c.n, 0) AS BIGINT) AS n FROM k FULL JOIN c USING (usage, label)
 """)
 def joi2_fill_missing_levels(spark, sf):
-    e = Tables(spark, sf).embeddings
-    sample = e.where(hash_uniform(7, "vec_id") < 0.05)
-    return freq.fill_missing_levels(freq.value_counts(sample, "label"), "label", e.select("label").distinct())
+    # counts per usage frame; emotion keys absent from a frame are added with 0
+    e = dataset.with_hash_split(Tables(spark, sf).embeddings.select("vec_id", "label"), "vec_id", USAGE, 11, "usage")
+    counts = e.groupBy("usage", "label").agg(F.count(F.lit(1)).alias("n"))
+    spine = spark.createDataFrame([(u, k) for u, _ in USAGE for k in EMOTIONS], "usage string, label int")
+    return freq.fill_missing_levels(counts, ["usage", "label"], spine, keep_unlisted=True)
 
 
 @register("dat1_parse_dates", """

@@ -31,12 +31,14 @@ def src5_prefix_percent(spark, sf):
 
 
 @register("src6_prefix_slices", """
-SELECT doc_id, CASE WHEN pos <= 100 THEN 'train' WHEN pos <= 125 THEN 'validation' ELSE 'test' END AS slice
-FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS pos FROM documents WHERE lang = 'en') WHERE pos <= 150
+SELECT doc_id, CASE WHEN pos <= 1000 THEN 'train' WHEN pos <= 1250 THEN 'validation' ELSE 'test' END AS slice
+FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS pos FROM documents WHERE text IS NOT NULL) WHERE pos <= 1500
 """)
 def src6_prefix_slices(spark, sf):
-    docs = Tables(spark, sf).documents.where(F.col("lang") == "en").select("doc_id")
-    return sampling.prefix_slices(docs, ["doc_id"], {"train": (0, 100), "validation": (100, 125), "test": (125, 150)})
+    # the reference drops rows without a summary, then slices [0:1000], [1000:1250], [1250:1500]
+    docs = Tables(spark, sf).documents.where(F.col("text").isNotNull()).select("doc_id")
+    return sampling.prefix_slices(docs, ["doc_id"], {"train": (0, 1000), "validation": (1000, 1250),
+                                                     "test": (1250, 1500)})
 
 
 @register("src7_split_frames", f"""

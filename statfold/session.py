@@ -7,6 +7,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Largest table (rows) broadcast when its size is only known after counting.
+BROADCAST_MAX_ROWS = 1_000_000
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
@@ -92,3 +96,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """``broadcast(df)`` when ``df`` has at most ``max_rows`` rows, else ``df`` unchanged.
+
+    For tables whose size grows with the number of groups (per-group
+    quantiles, group starts): the rows are counted (stopping one past the
+    bound), and a larger table goes to a shuffle join, which AQE may still
+    convert or split for skew at run time. ``spark.statfold.broadcastMaxRows``
+    overrides the bound.
+    """
+    if max_rows is None:
+        max_rows = int(df.sparkSession.conf.get("spark.statfold.broadcastMaxRows", str(BROADCAST_MAX_ROWS)))
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -42,3 +42,24 @@ def test_running_sum_distributed(spark):
     df = spark.range(1, 2001).withColumn("v", F.lit(1))
     out = running_sum(df, ["id"], "v", "cum", partitions=7)
     assert all(r["cum"] == r["id"] for r in out.collect())
+
+
+@pytest.mark.parametrize("bound", ["0", "1000000"])
+def test_grouped_quantiles_with_and_without_broadcast(spark, bound):
+    # bound 0 forces the shuffle semi-join and the shuffle join of group starts
+    df = spark.range(0, 3000).select((F.col("id") % 7).alias("g"), ((F.col("id") * 7919) % 997).cast("double").alias("x"))
+    old = spark.conf.get("spark.statfold.broadcastMaxRows", "1000000")
+    spark.conf.set("spark.statfold.broadcastMaxRows", bound)
+    try:
+        got = {r["g"]: (r["q25"], r["q50"], r["q75"]) for r in exact_quantiles(df, "x", [0.25, 0.5, 0.75], ["g"]).collect()}
+        ranks = {r["id"]: r["rank"] for r in with_group_rank(
+            df.withColumn("id", F.monotonically_increasing_id()), ["g"], ["x", "id"], "rank").collect()}
+    finally:
+        spark.conf.set("spark.statfold.broadcastMaxRows", old)
+    import numpy as np
+    vals = {}
+    for i in range(3000):
+        vals.setdefault(i % 7, []).append(float((i * 7919) % 997))
+    for g, xs in vals.items():
+        assert got[g] == pytest.approx(tuple(np.quantile(xs, [0.25, 0.5, 0.75])))
+    assert sorted(ranks.values()) == sorted(r for xs in vals.values() for r in range(1, len(xs) + 1))
