@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statfold.operators.text import words
+from statfold.session import cut_lineage
 
 
 def _bigrams(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -23,11 +24,23 @@ def _bigrams(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def fit_bigram(train: DataFrame, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Counts: bigrams (w1, w2, c12), context unigrams (w1, c1), vocabulary size (one row)."""
-    docs = train.select(F.monotonically_increasing_id().alias("_d"), text)
-    bi = _bigrams(docs, "_d", text).groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c12"))
+    """Counts: bigrams (w1, w2, c12), context unigrams (w1, c1), vocabulary size (one row).
+
+    The training text is tokenised once: every token is paired with its
+    successor (null after a document's last token), so one aggregate holds
+    the bigram counts and, through ``w1``, every word of the vocabulary. That
+    aggregate is the fitted model; it is written once to the shared folder
+    and the three tables are read from it.
+    """
+    t = F.col("_t")
+    nxt = F.concat(F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))), F.array(F.lit(None).cast("string")))
+    toks = train.select(words(text).alias("_t"))
+    pairs = (toks.select(F.explode(F.arrays_zip(t.alias("w1"), nxt.alias("w2"))).alias("b"))
+             .select("b.w1", "b.w2").where(F.col("w1").isNotNull()))
+    model = cut_lineage(pairs.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c12")))
+    bi = model.where(F.col("w2").isNotNull())
     ctx = bi.groupBy("w1").agg(F.sum("c12").alias("c1"))
-    vocab = docs.select(F.explode(words(text)).alias("w")).agg(F.count_distinct("w").alias("V"))
+    vocab = model.agg(F.count_distinct("w1").alias("V"))
     return bi, ctx, vocab
 
 

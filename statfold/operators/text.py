@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from statfold.functions import arrays
 from statfold.operators.position import with_position
+from statfold.session import broadcast_if_small
 
 
 def _c(x) -> Column:
@@ -101,21 +102,25 @@ def encode(docs: DataFrame, key: str, text: str, vocab: DataFrame, max_len: int
            left_pad: bool = False) -> DataFrame:
     """TXT7 / TXT8: ids by vocabulary, keep the last ``max_len - 2``, add start/end, pad; attention mask.
 
-    Tokens are exploded with their position, joined to the vocabulary
-    (unknown -> UNK) and regrouped per document in order.
+    Every text is tokenised whole; only the tokens the output keeps (the last
+    ``max_len - 2``) are exploded with their position, looked up in the
+    vocabulary (unknown -> UNK) and regrouped per document in order. The
+    vocabulary is broadcast while it is small (counted), so frequent words
+    never pile up in one join task; a larger one goes to a shuffle join.
     """
-    tok = docs.select(key, F.posexplode(words(text)).alias("i", "word"))
-    ids = tok.join(vocab.select("word", "token_id"), "word", "left").select(
-        key, "i", F.coalesce("token_id", F.lit(UNK_ID)).alias("token_id"))
-    grouped = ids.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "token_id"))).alias("_s"))
-    seq = grouped.select(key, F.transform("_s", lambda s: s["token_id"]).alias("_ids"))
-    seq = docs.select(key).join(seq, key, "left").withColumn(
-        "_ids", F.coalesce("_ids", F.array().cast("array<int>")))
-    body = arrays.last_n(F.col("_ids"), max_len - 2)
-    framed = F.concat(F.array(F.lit(START_ID)), body, F.array(F.lit(END_ID)))
+    body_len = max_len - 2
+    toks = docs.select(key, words(text).alias("_w"))
+    toks = toks.select(key, F.size("_w").alias("n_tokens"), arrays.last_n(F.col("_w"), body_len).alias("_w"))
+    tok = toks.select(key, "n_tokens", F.posexplode_outer("_w").alias("i", "word"))
+    ids = tok.join(broadcast_if_small(vocab.select("word", "token_id")), "word", "left").select(
+        key, "n_tokens", F.when(F.col("i").isNotNull(), F.struct(
+            "i", F.coalesce("token_id", F.lit(UNK_ID)).alias("token_id"))).alias("_e"))
+    grouped = ids.groupBy(key, "n_tokens").agg(F.array_sort(F.collect_list("_e")).alias("_s"))
+    seq = grouped.select(key, "n_tokens", F.transform("_s", lambda s: s["token_id"]).alias("_ids"))
+    framed = F.concat(F.array(F.lit(START_ID)), F.col("_ids"), F.array(F.lit(END_ID)))
     pad = F.array_repeat(F.lit(PAD_ID), F.lit(max_len) - F.size(framed))
     padded = F.concat(pad, framed) if left_pad else F.concat(framed, pad)
-    out = seq.select(key, F.size("_ids").alias("n_tokens"), F.slice(padded, 1, max_len).alias("input_ids"))
+    out = seq.select(key, "n_tokens", F.slice(padded, 1, max_len).alias("input_ids"))
     return out.withColumn("attention_mask", attention_mask("input_ids"))
 
 

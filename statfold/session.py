@@ -93,9 +93,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` as a parquet table in the shared checkpoint folder and read it back.
+
+    One job computes and writes the rows (an RDD checkpoint computes them
+    twice unless they are cached); the copy is columnar and compressed, and a
+    lost executor afterwards only costs a re-read, never a recomputation that
+    could renumber rows.
+    """
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
