@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statfold.functions import arrays
-from statfold.operators.position import with_position
+from statfold.operators.position import with_group_rank, with_position
 from statfold.session import broadcast_if_small
 
 
@@ -195,9 +195,13 @@ def extractive_summary(docs: DataFrame, key: str, text: str, max_words: int = 25
 
 def conversation_history(conv: DataFrame, keep_roles: Sequence[str] = ("assistant",)) -> DataFrame:
     """TXT15: valid turns in order per conversation with cleaned text (only assistant replies are
-    stored, quirk Q16); the position in the history comes from a window per conversation."""
+    stored, quirk Q16).
+
+    The position in the history is a per-conversation rank from range-partitioned
+    global positions, so one very long conversation is spread over many tasks
+    instead of one window partition.
+    """
     from statfold.operators.clean import valid_input
     ok = conv.where(F.col("role").isin(list(keep_roles)) & valid_input(F.col("text")))
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return ok.select("conv_id", "turn", "role", F.row_number().over(w).alias("position"),
-                     clean_prompt(F.col("text")).alias("cleaned"))
+    ranked = with_group_rank(ok.select("conv_id", "turn", "role", "text"), ["conv_id"], ["turn"], "position")
+    return ranked.select("conv_id", "turn", "role", "position", clean_prompt(F.col("text")).alias("cleaned"))
