@@ -100,14 +100,28 @@ def recode(col: Column | str, mapping: Mapping, keep_unmatched: bool = True) ->
     return F.coalesce(hit, c.try_cast(target))
 
 
-def duplicated_rows(df: DataFrame) -> DataFrame:
+# Copies emitted per generated chunk: bounds every array built by CLN4.
+COPY_CHUNK = 4096
+
+
+def duplicated_rows(df: DataFrame, chunk: int = COPY_CHUNK) -> DataFrame:
     """CLN4: second and later copies of every repeated row (nulls equal).
 
-    One ``groupBy`` on all columns; each repeated row is emitted ``n - 1`` times.
+    One ``groupBy`` on all columns (partial counts before the shuffle); a
+    repeated row is emitted ``n - 1`` times in two levels: chunks of at most
+    ``chunk`` copies, spread round-robin over the shuffle partitions, then the
+    copies of each chunk. A group of copies holding a third of all rows thus
+    never builds one array or one task of that size.
     """
     cols = df.columns
-    counts = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
-    return counts.withColumn("_copy", F.explode(F.sequence(F.lit(2), F.col("_n").cast("int")))).drop("_n", "_copy")
+    n = F.col("_n")
+    counts = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).where(n > 1)
+    chunks = counts.select(*cols, "_n", F.explode(F.sequence(
+        F.lit(0).cast("long"), F.ceil((n - 1) / chunk).cast("long") - 1)).alias("_c"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    size = F.least(F.lit(chunk).cast("long"), n - 1 - F.col("_c") * chunk)
+    copies = chunks.repartition(parts).select(*cols, F.explode(F.sequence(F.lit(1).cast("long"), size)).alias("_k"))
+    return copies.drop("_k")
 
 
 def drop_duplicates(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:

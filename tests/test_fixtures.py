@@ -162,3 +162,12 @@ def test_lcs_bit_parallel():
         a = list(rng.integers(0, 5, rng.integers(0, 40)))
         b = list(rng.integers(0, 5, rng.integers(0, 40)))
         assert lcs_length(a, b) == dp(a, b)
+
+
+@pytest.mark.parametrize("chunk", [3, 4096])
+def test_duplicated_rows_chunked(spark, chunk):
+    from statfold.operators.clean import duplicated_rows
+    rows = [("a", 1)] * 10 + [("b", 2)] * 2 + [("c", 3)] + [(None, 4)] * 3
+    df = spark.createDataFrame(rows, "k string, v int")
+    got = sorted((r["k"] or "", r["v"]) for r in duplicated_rows(df, chunk).collect())
+    assert got == sorted([("a", 1)] * 9 + [("b", 2)] + [("", 4)] * 2)
