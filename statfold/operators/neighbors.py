@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from statfold.functions.hashing import hash_u32, hash_uniform
 from statfold.operators.position import with_group_rank, with_position
+from statfold.session import BROADCAST_MAX_ROWS
 
 
 def _blocks(df: DataFrame, id_col: str, vec: str, label: str | None, block_rows: int, prefix: str) -> DataFrame:
@@ -134,8 +135,12 @@ def smote(df: DataFrame, id_col: str, vec: str, label: str, k: int = 5, seed: in
     d = df.sparkSession.range(need).select(
         F.col("id").alias("_draw"), (hash_u32(seed, F.col("id")) % n_min + 1).alias("_r"),
         hash_u32(seed + 1, F.col("id")).alias("_pick"), hash_uniform(seed + 2, F.col("id")).alias("_u"))
-    picked = d.join(ranked, "_r").withColumn("_nid", F.element_at("_nn", (F.col("_pick") % F.size("_nn") + 1).cast("int")))
     partner = mino.select(F.col(id_col).alias("_nid"), F.col(vec).alias("_nv"))
+    # both lookups hold the n_min minority rows (counted above): broadcast under that proven bound,
+    # else shuffle joins where AQE splits rows drawn very often
+    if n_min <= BROADCAST_MAX_ROWS:
+        ranked, partner = F.broadcast(ranked), F.broadcast(partner)
+    picked = d.join(ranked, "_r").withColumn("_nid", F.element_at("_nn", (F.col("_pick") % F.size("_nn") + 1).cast("int")))
     syn = picked.join(partner, "_nid").select(
         (-(F.col("_draw") + 1)).cast("long").alias(id_col),
         F.zip_with(vec, "_nv", lambda a, b: a + F.col("_u") * (b - a)).alias(vec),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from statfold.functions.hashing import hash_u32
 from statfold.operators.position import with_group_rank
+from statfold.session import BROADCAST_MAX_ROWS
 
 
 def _class_counts(df: DataFrame, label: str) -> list[tuple]:
@@ -46,6 +47,10 @@ def oversample_classes(df: DataFrame, label: str, id_col: str, targets: dict, se
     draws = draws.select(draw_col, F.col("_cls").alias(label),
                          (hash_u32(seed, F.col(draw_col)) % F.col("_nc") + 1).alias("_r"))
     ranked = with_group_rank(df.where(F.col(label).isin([p[0] for p in plan])), [label], [id_col], "_r")
+    # The sampled classes' sizes are known, so the ranked rows are broadcast only under a proven bound;
+    # otherwise a shuffle join, where AQE splits keys drawn very often (a tiny class drawn many times).
+    if sum(p[3] for p in plan) <= BROADCAST_MAX_ROWS:
+        ranked = F.broadcast(ranked)
     drawn = draws.join(ranked, [label, "_r"]).drop("_r")
     return original.unionByName(drawn.select(*original.columns))
 
