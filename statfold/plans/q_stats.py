@@ -12,7 +12,7 @@ SIGMA_QTY = 14.4
 
 
 @register("tst1_z_interval", f"""
-SELECT 0.95 AS conf, count(l_quantity) AS n, round(avg(l_quantity), 4) AS mean,
+SELECT CAST(0.95 AS DOUBLE) AS conf, count(l_quantity) AS n, round(avg(l_quantity), 4) AS mean,
        round(avg(l_quantity) - {Z95!r}::DOUBLE * {SIGMA_QTY} / sqrt(count(l_quantity)), 4) AS lower,
        round(avg(l_quantity) + {Z95!r}::DOUBLE * {SIGMA_QTY} / sqrt(count(l_quantity)), 4) AS upper,
        round((avg(l_quantity) - 25.0) / ({SIGMA_QTY} / sqrt(count(l_quantity))), 4) AS z
