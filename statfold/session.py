@@ -72,8 +72,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, taking it from the session.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is. Only when nothing is configured (unit tests, a laptop) do we
-    fall back to a private temporary folder.
+    as is (a cluster without one is refused). Only a local master with
+    nothing configured (unit tests, a laptop) falls back to a private
+    temporary folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -81,6 +82,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            # a machine-local folder is not visible to other executors and dies with the machine
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         configured = tempfile.mkdtemp(prefix="statfold-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
