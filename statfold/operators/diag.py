@@ -19,7 +19,7 @@ def qq_points(df: DataFrame, col: str, a: float = 0.0) -> DataFrame:
     """REG15: sample order statistics vs normal quantiles ``Phi^-1((i - a)/(n + 1 - 2a))``
     and the standardised line ``mean + sd * q`` (statsmodels ``line='s'``)."""
     x = df.select(F.col(col).cast("double").alias("sample")).where(F.col("sample").isNotNull())
-    ranked = with_position(x, ["sample"], "i")
+    ranked = with_position(x, ["sample"], "i", ties=True)
     stats = ranked.agg(F.count(F.lit(1)).alias("_n"), F.avg("sample").alias("_m"), F.stddev_samp("sample").alias("_s"))
     j = ranked.withColumn("_one", F.lit(1)).join(F.broadcast(stats.withColumn("_one", F.lit(1))), "_one")
     p = (F.col("i") - a) / (F.col("_n") + 1 - 2 * a)

@@ -31,25 +31,37 @@ def _partitions(df: DataFrame, partitions: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def with_position(df: DataFrame, order_by, col: str = "pos", partitions: int | None = None) -> DataFrame:
+def _ranged(df: DataFrame, keys: list[Column], partitions: int, ties: bool) -> DataFrame:
+    """Range partitions sorted inside; with ``ties`` a row tiebreak joins the key, so that
+    one value held by a third of all rows is split over many partitions instead of one."""
+    if ties:
+        df = df.withColumn("_tb", F.monotonically_increasing_id())
+        keys = [*keys, F.col("_tb")]
+    return df.repartitionByRange(partitions, *keys).sortWithinPartitions(*keys)
+
+
+def with_position(df: DataFrame, order_by, col: str = "pos", partitions: int | None = None,
+                  ties: bool = False) -> DataFrame:
     """Add a 1-based global position under ``order_by``.
 
-    ``order_by`` must be a total order (add an id as the last key), otherwise
-    ties are numbered in an arbitrary but fixed way. The numbered rows are
-    checkpointed in the shared folder, so the partition ids behind the
-    numbering never change on recomputation.
+    ``order_by`` should be a total order (add an id as the last key). With
+    ``ties=True`` rows with equal keys are treated as interchangeable (order
+    statistics, ranks of sorted values): they are numbered in an arbitrary
+    order and may be spread over several range partitions. The numbered rows
+    are written once to the shared folder, so the numbering never changes on
+    recomputation.
     """
-    keys = _cols(order_by)
-    ranged = df.repartitionByRange(_partitions(df, partitions), *keys).sortWithinPartitions(*keys)
+    ranged = _ranged(df, _cols(order_by), _partitions(df, partitions), ties)
     tagged = cut_lineage(ranged.withColumn("_mid", F.monotonically_increasing_id()))
     tagged = (tagged.withColumn("_pid", F.shiftright("_mid", _LOCAL_BITS))
               .withColumn("_loc", F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))))
     sizes = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    return (tagged.join(F.broadcast(offsets), "_pid")
-            .withColumn(col, (F.col("_off") + F.col("_loc") + 1).cast("long"))
-            .drop("_mid", "_pid", "_loc", "_off"))
+    out = (tagged.join(F.broadcast(offsets), "_pid")
+           .withColumn(col, (F.col("_off") + F.col("_loc") + 1).cast("long"))
+           .drop("_mid", "_pid", "_loc", "_off"))
+    return out.drop("_tb") if ties else out
 
 
 def with_group_rank(df: DataFrame, groups: Sequence[str], order_by, col: str = "rank",
@@ -90,7 +102,7 @@ def order_statistics(df: DataFrame, value: str, positions, groups: Sequence[str]
     groups = list(groups)
     names = list(names or [f"p{i}" for i in range(len(positions))])
     data = df.select(*groups, value).where(F.col(value).isNotNull())
-    pos = with_position(data, [*_cols(groups), F.col(value)], "_gpos", partitions)
+    pos = with_position(data, [*_cols(groups), F.col(value)], "_gpos", partitions, ties=True)
     sizes = pos.groupBy(*groups).agg(F.min("_gpos").alias("_start"), F.count(F.lit(1)).alias("_n"))
     wanted = sizes.select(*groups, "_start", F.explode(F.array(*[
         F.struct(F.lit(i).alias("qi"), h.cast("double").alias("h")) for i, h in enumerate(positions)])).alias("w"))

@@ -249,7 +249,7 @@ def shapiro_wilk(df: DataFrame, col: str) -> DataFrame:
     work is a handful of scalars (n, sum m^2, the two extreme scores).
     """
     x = df.select(F.col(col).cast("double").alias("x")).where(F.col("x").isNotNull())
-    ranked = with_position(x, ["x"], "i")
+    ranked = with_position(x, ["x"], "i", ties=True)
     stats = ranked.agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean")).first()
     n = int(stats["n"])
     if n < 3:

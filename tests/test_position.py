@@ -63,3 +63,16 @@ def test_grouped_quantiles_with_and_without_broadcast(spark, bound):
     for g, xs in vals.items():
         assert got[g] == pytest.approx(tuple(np.quantile(xs, [0.25, 0.5, 0.75])))
     assert sorted(ranks.values()) == sorted(r for xs in vals.values() for r in range(1, len(xs) + 1))
+
+
+def test_ties_split_a_hot_value_over_partitions(spark):
+    from statfold.operators.position import _ranged
+    # value 0 is held by a third of the rows
+    df = spark.range(0, 9000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("x"))
+    sizes = [r["n"] for r in _ranged(df, [F.col("x")], 8, True)
+             .groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert max(sizes) < 3000
+    q = exact_quantiles(df, "x", [0.25, 0.5, 0.75]).first()
+    import numpy as np
+    xs = [0 if i % 3 == 0 else i for i in range(9000)]
+    assert (q["q25"], q["q50"], q["q75"]) == pytest.approx(tuple(np.quantile(xs, [0.25, 0.5, 0.75])))
