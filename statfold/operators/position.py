@@ -26,9 +26,16 @@ def _cols(cols) -> list[Column]:
 
 
 def _partitions(df: DataFrame, partitions: int | None) -> int:
+    """Range partitions: explicit, else ``spark.statfold.rangePartitions``, else the larger of the
+    shuffle-partition setting and twice the task slots, so the sort pieces shrink as the cluster grows."""
     if partitions:
         return partitions
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    spark = df.sparkSession
+    configured = spark.conf.get("spark.statfold.rangePartitions", None)
+    if configured:
+        return int(configured)
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(shuffle, 2 * spark.sparkContext.defaultParallelism)
 
 
 def _ranged(df: DataFrame, keys: list[Column], partitions: int, ties: bool) -> DataFrame:
