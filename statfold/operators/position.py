@@ -140,27 +140,50 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], groups: S
     return order_statistics(df, value, positions, groups, names, partitions)
 
 
+def _local_sums(values: list[str], names: list[str]):
+    """mapInPandas body: running sums along one sorted range partition (state kept across batches)."""
+    def run(batches):
+        from pyspark import TaskContext
+        pid = TaskContext.get().partitionId()
+        carry = [0] * len(values)
+        for pdf in batches:
+            pdf["_pid"] = pid
+            for i, (v, nm) in enumerate(zip(values, names)):
+                local = pdf[v].fillna(0).cumsum() + carry[i]
+                if len(local):
+                    carry[i] = local.iloc[-1]
+                pdf[nm] = local
+            yield pdf
+    return run
+
+
 def running_sum(df: DataFrame, order_by, value, out, partitions: int | None = None) -> DataFrame:
     """Cumulative sums of ``value`` (a column or a list) along ``order_by``, for tables of any length.
 
-    Range partitions carry local running sums; the totals of the earlier
-    partitions (one row per partition) are added back through a broadcast.
-    ``order_by`` must be a total order (as after a ``groupBy`` on the key).
+    Range partitions are sorted and each carries its local running sums,
+    computed in one pass over the sorted rows (``mapInPandas`` keeps the
+    range partitioning, so no second shuffle is needed); the totals of the
+    earlier partitions (one row per partition) are added back through a
+    broadcast. ``order_by`` must be a total order (as after a ``groupBy`` on
+    the key).
     """
+    from pyspark.sql import types as T
+
     values = [value] if isinstance(value, str) else list(value)
     outs = [out] if isinstance(out, str) else list(out)
     keys = _cols(order_by)
-    ranged = df.repartitionByRange(_partitions(df, partitions), *keys)
-    tagged = cut_lineage(ranged.withColumn("_pid", F.spark_partition_id()))
-    local = Window.partitionBy("_pid").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    ranged = _ranged(df, keys, _partitions(df, partitions), False)
+    locs = [f"_loc{i}" for i in range(len(values))]
+    sum_types = [T.LongType() if isinstance(ranged.schema[v].dataType, T.IntegralType) else T.DoubleType()
+                 for v in values]
+    schema = T.StructType(ranged.schema.fields + [T.StructField("_pid", T.IntegerType())]
+                          + [T.StructField(nm, t) for nm, t in zip(locs, sum_types)])
+    tagged = cut_lineage(ranged.mapInPandas(_local_sums(values, locs), schema))
     totals = tagged.groupBy("_pid").agg(*[F.sum(v).alias(f"_t{i}") for i, v in enumerate(values)])
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_pid", *[F.coalesce(F.sum(f"_t{i}").over(before), F.lit(0)).alias(f"_off{i}")
                                       for i in range(len(values))])
-    res = tagged
-    for i, v in enumerate(values):
-        res = res.withColumn(f"_loc{i}", F.sum(v).over(local))
-    res = res.join(F.broadcast(offsets), "_pid")
+    res = tagged.join(F.broadcast(offsets), "_pid")
     for i, o in enumerate(outs):
         res = res.withColumn(o, F.col(f"_off{i}") + F.col(f"_loc{i}"))
-    return res.drop("_pid", *[f"_loc{i}" for i in range(len(values))], *[f"_off{i}" for i in range(len(values))])
+    return res.drop("_pid", *locs, *[f"_off{i}" for i in range(len(values))])

@@ -76,3 +76,16 @@ def test_ties_split_a_hot_value_over_partitions(spark):
     import numpy as np
     xs = [0 if i % 3 == 0 else i for i in range(9000)]
     assert (q["q25"], q["q50"], q["q75"]) == pytest.approx(tuple(np.quantile(xs, [0.25, 0.5, 0.75])))
+
+
+def test_running_sum_two_columns_many_partitions(spark):
+    df = spark.range(0, 5000).select("id", ((F.col("id") * 37) % 11).alias("a"), (F.col("id") % 7 * 0.5).alias("b"))
+    out = running_sum(df.repartition(5), ["id"], ["a", "b"], ["ca", "cb"], partitions=13).collect()
+    ca = cb = 0
+    expect = {}
+    for i in range(5000):
+        ca += (i * 37) % 11
+        cb += i % 7 * 0.5
+        expect[i] = (ca, cb)
+    assert all(r["ca"] == expect[r["id"]][0] and r["cb"] == pytest.approx(expect[r["id"]][1]) for r in out)
+    assert len(out) == 5000
