@@ -170,13 +170,17 @@ STOP_WORDS = ["the", "a", "an", "and", "or", "of", "to", "in", "on", "for", "wit
               "by", "as", "at", "from", "be", "are", "was", "were"]
 
 
+# Fixed value: a word cloud shows at most 200 words by default.
+CLOUD_WORDS = 200
+
+
 @register("agg14_word_frequencies", r"""
 WITH w AS (SELECT unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}'']+')) AS word FROM documents)
 SELECT word, count(*) AS n FROM w WHERE length(word) > 0 AND word NOT IN (""" + ", ".join(f"'{w}'" for w in STOP_WORDS)
-    + """) GROUP BY 1 ORDER BY n DESC, word LIMIT 50
+    + f""") GROUP BY 1 ORDER BY n DESC, word LIMIT {CLOUD_WORDS}
 """)
 def agg14_word_frequencies(spark, sf):
-    return freq.word_frequencies(Tables(spark, sf).documents, "text", STOP_WORDS, 50)
+    return freq.word_frequencies(Tables(spark, sf).documents, "text", STOP_WORDS, CLOUD_WORDS)
 
 
 @register("top1_top10", """
