@@ -141,7 +141,7 @@ def tukey_fences(df: DataFrame, cols: Sequence[str], k: float = 1.5, method: str
         positions = [0.25 * (F.col("_n") - 1) + 1, 0.75 * (F.col("_n") - 1) + 1]
     else:
         raise ValueError("method must be 'hinges' or 'quartiles'")
-    q = order_statistics(long, "value", positions, ["col_name"], ["lower_hinge", "upper_hinge"])
+    q = order_statistics(long, "value", positions, ["col_name"], ["lower_hinge", "upper_hinge"], max_groups=len(cols))
     iqr = F.col("upper_hinge") - F.col("lower_hinge")
     return q.select("col_name", "lower_hinge", "upper_hinge",
                     (F.col("lower_hinge") - k * iqr).alias("lower_fence"),

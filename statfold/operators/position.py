@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from statfold.session import broadcast_if_small, cut_lineage
+from statfold.session import BROADCAST_MAX_ROWS, broadcast_if_small, cut_lineage
 
 _LOCAL_BITS = 33  # monotonically_increasing_id = partition index << 33 | row index
 
@@ -96,7 +96,8 @@ def with_group_rank(df: DataFrame, groups: Sequence[str], order_by, col: str = "
 
 
 def order_statistics(df: DataFrame, value: str, positions, groups: Sequence[str] = (),
-                     names: Sequence[str] | None = None, partitions: int | None = None) -> DataFrame:
+                     names: Sequence[str] | None = None, partitions: int | None = None,
+                     max_groups: int | None = None) -> DataFrame:
     """Values at fractional 1-based positions, interpolated linearly.
 
     ``positions`` are Column expressions of ``_n`` (the non-null group size);
@@ -105,6 +106,9 @@ def order_statistics(df: DataFrame, value: str, positions, groups: Sequence[str]
     position and size come from a small aggregate, so the needed order
     statistics are a handful of global positions, fetched with a broadcast
     semi-join. No group is gathered into one task and no full-size join runs.
+    ``max_groups`` is a known bound on the number of groups (e.g. the number of
+    unpivoted columns); under it the needed positions are broadcast without
+    counting them first.
     """
     groups = list(groups)
     names = list(names or [f"p{i}" for i in range(len(positions))])
@@ -119,10 +123,10 @@ def order_statistics(df: DataFrame, value: str, positions, groups: Sequence[str]
                            (F.col("w.h") - F.floor("w.h")).alias("frac"))
     # at most 2 x groups x positions rows: broadcast while that is small, else a shuffle semi-join
     need = wanted.select(F.explode(F.array_distinct(F.array("lo", "hi"))).alias("_gpos")).distinct()
-    if groups:
-        need = broadcast_if_small(need)
-    else:
+    if not groups or (max_groups is not None and 2 * max_groups * len(positions) <= BROADCAST_MAX_ROWS):
         need = F.broadcast(need)
+    else:
+        need = broadcast_if_small(need)
     picked = pos.join(need, "_gpos", "left_semi").select("_gpos", value)
     lo = picked.select(F.col("_gpos").alias("lo"), F.col(value).alias("_xlo"))
     hi = picked.select(F.col("_gpos").alias("hi"), F.col(value).alias("_xhi"))
@@ -133,11 +137,12 @@ def order_statistics(df: DataFrame, value: str, positions, groups: Sequence[str]
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], groups: Sequence[str] = (),
-                    names: Sequence[str] | None = None, partitions: int | None = None) -> DataFrame:
+                    names: Sequence[str] | None = None, partitions: int | None = None,
+                    max_groups: int | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles (pandas / R type 7 / ``quantile_cont``)."""
     names = list(names or [f"q{int(round(p * 100))}" for p in probs])
     positions = [F.lit(float(p)) * (F.col("_n") - 1) + 1 for p in probs]
-    return order_statistics(df, value, positions, groups, names, partitions)
+    return order_statistics(df, value, positions, groups, names, partitions, max_groups)
 
 
 def _local_sums(values: list[str], names: list[str]):

@@ -76,7 +76,8 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = Tru
         F.count(F.lit(1)).alias("count"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
     if exact:
-        quart = exact_quantiles(long, "value", [0.25, 0.5, 0.75], ["col_name"], ["q25", "q50", "q75"])
+        quart = exact_quantiles(long, "value", [0.25, 0.5, 0.75], ["col_name"], ["q25", "q50", "q75"],
+                                max_groups=len(cols))
     else:
         quart = long.groupBy("col_name").agg(
             F.percentile_approx("value", [0.25, 0.5, 0.75], 10000).alias("_q")).select(
@@ -124,5 +125,5 @@ def range_quartiles(df: DataFrame, col: str) -> DataFrame:
     """PRF9: max - min and the three quartiles of one column."""
     data = df.select(F.lit(col).alias("col_name"), F.col(col).cast("double").alias("value"))
     rng = data.groupBy("col_name").agg((F.max("value") - F.min("value")).alias("range"))
-    q = exact_quantiles(data, "value", [0.25, 0.5, 0.75], ["col_name"], ["q25", "q50", "q75"])
+    q = exact_quantiles(data, "value", [0.25, 0.5, 0.75], ["col_name"], ["q25", "q50", "q75"], max_groups=1)
     return rng.join(q, "col_name")
