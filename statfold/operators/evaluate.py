@@ -11,10 +11,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from statfold.operators.position import running_sum, with_position
+from statfold.operators.position import _partitions, _ranged, running_sum, with_position
 
 
 def _one(df: DataFrame) -> DataFrame:
@@ -165,18 +168,48 @@ def pr_curve(df: DataFrame, label: str, score: str, positive=1) -> DataFrame:
     return pts.unionByName(end)
 
 
+def _segment_areas(x: str, y: str):
+    """mapInPandas body: trapezoids between consecutive points of one sorted range partition,
+    plus the partition's first and last point (state kept across batches)."""
+    def run(batches):
+        from pyspark import TaskContext
+        pid = TaskContext.get().partitionId()
+        area, n, first, last = 0.0, 0, None, None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            xs, ys = pdf[x].to_numpy(dtype=float), pdf[y].to_numpy(dtype=float)
+            if last is not None:
+                xs, ys = np.concatenate([[last[0]], xs]), np.concatenate([[last[1]], ys])
+            elif first is None:
+                first = (xs[0], ys[0])
+            area += float(np.sum((xs[1:] - xs[:-1]) * (ys[1:] + ys[:-1]) / 2))
+            last = (xs[-1], ys[-1])
+            n += len(pdf)
+        if n:
+            yield pd.DataFrame({"_pid": [pid], "_area": [area], "_fx": [first[0]], "_fy": [first[1]],
+                                "_lx": [last[0]], "_ly": [last[1]]})
+    return run
+
+
 def curve_area(points: DataFrame, x: str, y: str, order_by=None) -> DataFrame:
     """Trapezoid area under a curve (``metrics.auc``) with points taken in ``order_by``
     (default: threshold descending, the order the curve is traced in).
 
-    Neighbours are paired by global position and an equi-join on ``pos = pos + 1``.
+    Points are range-partitioned and sorted once; each sorted partition
+    returns its own trapezoid sum with its first and last point (one row per
+    partition), and the seams between neighbouring partitions are added from
+    that small table. ``order_by`` must be a total order.
     """
     order = order_by if order_by is not None else [F.col("threshold").desc()]
-    keep = [c for c in points.columns if c in (x, y, "threshold")]
-    pos = with_position(points.select(*keep), order, "_p")
-    prev = pos.select((F.col("_p") + 1).alias("_p"), F.col(x).alias("_x0"), F.col(y).alias("_y0"))
-    return pos.join(prev, "_p").agg(
-        F.sum((F.col(x) - F.col("_x0")) * (F.col(y) + F.col("_y0")) / 2).alias("area"))
+    keys = [F.col(c) if isinstance(c, str) else c for c in (order if isinstance(order, list) else [order])]
+    ranged = _ranged(points, keys, _partitions(points, None), False)
+    parts = ranged.select(x, y).mapInPandas(
+        _segment_areas(x, y), "_pid int, _area double, _fx double, _fy double, _lx double, _ly double")
+    prev = Window.orderBy("_pid")
+    seams = parts.select("_area", "_fx", "_fy", F.lag("_lx").over(prev).alias("_px"), F.lag("_ly").over(prev).alias("_py"))
+    seam = F.coalesce((F.col("_fx") - F.col("_px")) * (F.col("_fy") + F.col("_py")) / 2, F.lit(0.0))
+    return seams.agg(F.coalesce(F.sum(F.col("_area") + seam), F.lit(0.0)).alias("area"))
 
 
 def compare_distributions(a: DataFrame, b: DataFrame, label: str) -> DataFrame:

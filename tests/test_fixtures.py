@@ -171,3 +171,17 @@ def test_duplicated_rows_chunked(spark, chunk):
     df = spark.createDataFrame(rows, "k string, v int")
     got = sorted((r["k"] or "", r["v"]) for r in duplicated_rows(df, chunk).collect())
     assert got == sorted([("a", 1)] * 9 + [("b", 2)] + [("", 4)] * 2)
+
+
+def test_curve_area_stitches_partitions(spark):
+    rng = np.random.default_rng(7)
+    xs = np.sort(rng.random(3000))
+    ys = rng.random(3000)
+    pts = spark.createDataFrame([(float(i), float(a), float(b)) for i, (a, b) in enumerate(zip(xs, ys))],
+                                "threshold double, x double, y double").repartition(6)
+    spark.conf.set("spark.statfold.rangePartitions", "11")
+    try:
+        got = evaluate.curve_area(pts, "x", "y", [F.col("threshold")]).first()["area"]
+    finally:
+        spark.conf.unset("spark.statfold.rangePartitions")
+    assert got == pytest.approx(float(np.sum((xs[1:] - xs[:-1]) * (ys[1:] + ys[:-1]) / 2)))
