@@ -15,12 +15,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from statfold.functions import dist
 from statfold.operators import gram
-from statfold.operators.position import with_position
+from statfold.operators.position import _cols, _partitions, _ranged, with_previous
 
 
 # ---------------------------------------------------------------- design
@@ -202,22 +202,53 @@ def residual_diagnostics(d: Design, res: OlsResult, order_by: str | None = None)
         "omnibus_p_value double, durbin_watson double")
 
 
+def _dw_parts(resid: str):
+    """mapInPandas body: squared successive differences along one sorted range partition,
+    with the partition's sum of squares and its first and last residual."""
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+        from pyspark import TaskContext
+        pid = TaskContext.get().partitionId()
+        num = den = 0.0
+        first = last = None
+        for pdf in batches:
+            e = pdf[resid].to_numpy(dtype=float)
+            if not len(e):
+                continue
+            if first is None:
+                first = e[0]
+            chain = e if last is None else np.concatenate([[last], e])
+            num += float(np.sum(np.diff(chain) ** 2))
+            den += float(np.sum(e * e))
+            last = e[-1]
+        if first is not None:
+            yield pd.DataFrame({"_pid": [pid], "_num": [num], "_den": [den], "_first": [first], "_last": [last]})
+    return run
+
+
 def durbin_watson(df: DataFrame, resid: str, order_by) -> float:
-    """WIN5: ``sum((e_t - e_{t-1})^2) / sum(e_t^2)`` along an explicit order."""
+    """WIN5: ``sum((e_t - e_{t-1})^2) / sum(e_t^2)`` along an explicit (total) order.
+
+    One range shuffle: each sorted partition returns its own sums and its
+    first and last residual; the differences across partition seams are
+    added from that one-row-per-partition table.
+    """
     keys = list(order_by) if isinstance(order_by, (list, tuple)) else [order_by]
-    pos = with_position(df.select(*keys, resid), keys, "_p")
-    cur = pos.select(F.col("_p"), F.col(resid).alias("_cur"))
-    prev = pos.select((F.col("_p") + 1).alias("_p"), F.col(resid).alias("_prev"))
-    num = cur.join(prev, "_p").agg(F.sum(F.pow(F.col("_cur") - F.col("_prev"), 2)).alias("num")).first()["num"]
-    den = pos.agg(F.sum(F.col(resid) * F.col(resid)).alias("den")).first()["den"]
-    return float(num) / float(den)
+    ranged = _ranged(df.select(*keys, resid), _cols(keys), _partitions(df, None), False)
+    parts = ranged.select(resid).mapInPandas(
+        _dw_parts(resid), "_pid int, _num double, _den double, _first double, _last double")
+    prev = F.lag("_last").over(Window.orderBy("_pid"))
+    seam = F.coalesce(F.pow(F.col("_first") - prev, 2), F.lit(0.0))
+    row = parts.select((F.col("_num") + seam).alias("_num"), "_den").agg(
+        F.sum("_num").alias("num"), F.sum("_den").alias("den")).first()
+    return float(row["num"]) / float(row["den"])
 
 
 def lagged_differences(df: DataFrame, value: str, order_by: Sequence[str], out: str = "diff") -> DataFrame:
-    """WIN5 as a table: ``value - lag(value)`` along ``order_by`` via a position join."""
-    pos = with_position(df, list(order_by), "_p")
-    prev = pos.select((F.col("_p") + 1).alias("_p"), F.col(value).alias("_prev"))
-    return pos.join(prev, "_p", "left").withColumn(out, F.col(value) - F.col("_prev")).drop("_prev", "_p")
+    """WIN5 as a table: ``value - lag(value)`` along ``order_by`` (null for the first row)."""
+    prev = with_previous(df, list(order_by), value, "_prev")
+    return prev.withColumn(out, F.col(value) - F.col("_prev")).drop("_prev")
 
 
 # ---------------------------------------------------------------- ANOVA type II

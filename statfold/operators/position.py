@@ -192,3 +192,45 @@ def running_sum(df: DataFrame, order_by, value, out, partitions: int | None = No
     for i, o in enumerate(outs):
         res = res.withColumn(o, F.col(f"_off{i}") + F.col(f"_loc{i}"))
     return res.drop("_pid", *locs, *[f"_off{i}" for i in range(len(values))])
+
+
+def _previous_values(value: str, out: str):
+    """mapInPandas body: the previous row's ``value`` along one sorted range partition."""
+    def run(batches):
+        from pyspark import TaskContext
+        pid = TaskContext.get().partitionId()
+        carry, seen = None, 0
+        for pdf in batches:
+            prev = pdf[value].shift(1)
+            if len(pdf):
+                prev.iloc[0] = carry
+                carry = pdf[value].iloc[-1]
+            pdf[out] = prev
+            pdf["_pid"] = pid
+            pdf["_loc"] = range(seen, seen + len(pdf))
+            seen += len(pdf)
+            yield pdf
+    return run
+
+
+def with_previous(df: DataFrame, order_by, value: str, out: str, partitions: int | None = None) -> DataFrame:
+    """Add ``lag(value)`` along ``order_by`` (a total order) for tables of any length.
+
+    Rows are range-partitioned and sorted once; a pass along each sorted
+    partition carries the previous value (narrow, no second shuffle) and the
+    rows are written once. The first row of every partition then takes the
+    last value of the partition before it, from a table with one row per
+    partition (broadcast).
+    """
+    from pyspark.sql import types as T
+
+    ranged = _ranged(df, _cols(order_by), _partitions(df, partitions), False)
+    schema = T.StructType(ranged.schema.fields + [T.StructField(out, ranged.schema[value].dataType),
+                                                  T.StructField("_pid", T.IntegerType()),
+                                                  T.StructField("_loc", T.LongType())])
+    tagged = cut_lineage(ranged.mapInPandas(_previous_values(value, out), schema))
+    lasts = tagged.groupBy("_pid").agg(F.max_by(value, "_loc").alias("_last"))
+    before = Window.orderBy("_pid")
+    seams = lasts.select("_pid", F.lit(0).cast("long").alias("_loc"), F.lag("_last").over(before).alias("_seam"))
+    res = tagged.join(F.broadcast(seams), ["_pid", "_loc"], "left")
+    return res.withColumn(out, F.coalesce(F.col(out), F.col("_seam"))).drop("_pid", "_loc", "_seam")

@@ -89,3 +89,20 @@ def test_running_sum_two_columns_many_partitions(spark):
         expect[i] = (ca, cb)
     assert all(r["ca"] == expect[r["id"]][0] and r["cb"] == pytest.approx(expect[r["id"]][1]) for r in out)
     assert len(out) == 5000
+
+
+def test_previous_and_durbin_watson_across_partitions(spark):
+    import numpy as np
+    from statfold.operators.linear import durbin_watson
+    from statfold.operators.position import with_previous
+    e = [float(((i * 7919) % 101) - 50) for i in range(4000)]
+    df = spark.createDataFrame(list(enumerate(e)), "id long, e double").repartition(5)
+    spark.conf.set("spark.statfold.rangePartitions", "9")
+    try:
+        prev = {r["id"]: r["p"] for r in with_previous(df, ["id"], "e", "p").collect()}
+        dw = durbin_watson(df, "e", "id")
+    finally:
+        spark.conf.unset("spark.statfold.rangePartitions")
+    assert prev[0] is None and all(prev[i] == e[i - 1] for i in range(1, 4000))
+    arr = np.array(e)
+    assert dw == pytest.approx(float(np.sum(np.diff(arr) ** 2) / np.sum(arr ** 2)))
