@@ -59,6 +59,8 @@ def with_position(df: DataFrame, order_by, col: str = "pos", partitions: int | N
     recomputation.
     """
     ranged = _ranged(df, _cols(order_by), _partitions(df, partitions), ties)
+    if ties:
+        ranged = ranged.drop("_tb")  # only needed to place and sort the rows
     tagged = cut_lineage(ranged.withColumn("_mid", F.monotonically_increasing_id()))
     tagged = (tagged.withColumn("_pid", F.shiftright("_mid", _LOCAL_BITS))
               .withColumn("_loc", F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))))
@@ -68,7 +70,7 @@ def with_position(df: DataFrame, order_by, col: str = "pos", partitions: int | N
     out = (tagged.join(F.broadcast(offsets), "_pid")
            .withColumn(col, (F.col("_off") + F.col("_loc") + 1).cast("long"))
            .drop("_mid", "_pid", "_loc", "_off"))
-    return out.drop("_tb") if ties else out
+    return out
 
 
 def with_group_rank(df: DataFrame, groups: Sequence[str], order_by, col: str = "rank",
