@@ -179,15 +179,20 @@ def prediction(beta: dict, intercept: float) -> Column:
     return expr
 
 
+def residuals(d: Design, res: OlsResult, out: str = "resid") -> DataFrame:
+    """The design frame with ``y - prediction`` (the model's ``resid``)."""
+    return d.frame.withColumn(out, F.col(d.y) - prediction(res.beta, res.intercept))
+
+
 def residual_diagnostics(d: Design, res: OlsResult, order_by: str | None = None) -> DataFrame:
     """Residual skew, kurtosis, Jarque-Bera, omnibus and Durbin-Watson (``summary()`` footer).
 
-    Durbin-Watson needs the row order: residuals get global positions and
-    ``e[t] - e[t-1]`` is an equi-join on ``pos = pos + 1`` (WIN5), which
-    stitches partition boundaries without a single-partition window.
+    Durbin-Watson needs the row order: residuals are range-partitioned on it and
+    each sorted partition is walked once (seams stitched from one row per
+    partition), never a single-partition window.
     """
     from statfold.operators.stats import omnibus
-    e = d.frame.withColumn("_e", F.col(d.y) - prediction(res.beta, res.intercept))
+    e = residuals(d, res, "_e")
     mo = e.agg(F.count(F.lit(1)).alias("n"), F.skewness("_e").alias("skew"), F.kurtosis("_e").alias("kurt"),
                F.sum(F.col("_e") * F.col("_e")).alias("ss")).first()
     n, skew, kurt = int(mo["n"]), float(mo["skew"]), float(mo["kurt"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from statfold.operators import gram, linear, reduce, sampling
+from statfold.operators import gram, linear, reduce, sampling, stats
 from statfold.plans.common import round_doubles
 from statfold.plans.registry import Tables, register
 from statfold.sources import standins
@@ -225,6 +225,21 @@ def reg15_qq_points(spark, sf):
     return qq_points(Tables(spark, sf).customer, "c_acctbal")
 
 
+@register("reg15_qq_residuals")
+def reg15_qq_residuals(spark, sf):
+    """``sm.qqplot(ols.resid, line='s')``: QQ points of the exam model's residuals."""
+    from statfold.operators.diag import qq_points
+    _, _, d, res = linear.ols(_exam(spark, sf), "lsat", EXAM_TERMS)
+    return qq_points(linear.residuals(d, res), "resid")
+
+
+@register("tst11_shapiro_wilk_residuals")
+def tst11_shapiro_wilk_residuals(spark, sf):
+    """``stats.shapiro(ols.resid)`` on the exam model's residuals."""
+    _, _, d, res = linear.ols(_exam(spark, sf), "lsat", EXAM_TERMS)
+    return stats.shapiro_wilk(linear.residuals(d, res), "resid")
+
+
 @register("reg12_profile_intervals")
 def reg12_profile_intervals(spark, sf):
     from statfold.operators.diag import profile_intervals

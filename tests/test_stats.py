@@ -66,3 +66,18 @@ def test_shapiro_normal_vs_skewed(spark):
     w_s = stats.shapiro_wilk(skewed, "x").first()
     assert w_n["W"] > 0.99 and w_n["p_value"] > 0.5
     assert w_s["W"] < 0.8 and w_s["p_value"] < 1e-6
+
+
+def test_ols_residuals_feed_qq_and_shapiro(spark):
+    from statfold.operators import linear, stats
+    from statfold.operators.diag import qq_points
+    rows = [(float(i), float(i % 7), 2.0 + 0.5 * i + (i % 7) + ((i * 7919) % 13 - 6) / 10) for i in range(300)]
+    df = spark.createDataFrame(rows, "a double, b double, y double")
+    _, _, d, res = linear.ols(df, "y", ["a", "b"])
+    e = linear.residuals(d, res)
+    total = e.agg(F.sum("resid").alias("s"), F.count(F.lit(1)).alias("n")).first()
+    assert abs(total["s"]) < 1e-6 and total["n"] == 300
+    qq = qq_points(e, "resid")
+    assert qq.count() == 300
+    w = stats.shapiro_wilk(e, "resid").first()
+    assert 0.0 < w["W"] <= 1.0
