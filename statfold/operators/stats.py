@@ -246,7 +246,9 @@ def shapiro_wilk(df: DataFrame, col: str) -> DataFrame:
 
     Ranks come from :func:`with_position`; normal scores
     ``m_i = Phi^-1((i - 3/8)/(n + 1/4))`` are an Arrow UDF; the only driver
-    work is a handful of scalars (n, sum m^2, the two extreme scores).
+    work is a handful of scalars. Two passes over the ranked rows: count and
+    mean, then one aggregate with sum m^2, the sum of squares, sum m*x and
+    the values at the end ranks, from which the weighted sum follows.
     """
     x = df.select(F.col(col).cast("double").alias("x")).where(F.col("x").isNotNull())
     ranked = with_position(x, ["x"], "i", ties=True)
@@ -256,31 +258,35 @@ def shapiro_wilk(df: DataFrame, col: str) -> DataFrame:
         raise ValueError("Shapiro-Wilk needs at least 3 values")
     m = dist.norm_quantile_col((F.col("i") - 0.375) / (n + 0.25))
     scored = ranked.withColumn("m", m)
-    sums = scored.agg(F.sum(F.col("m") * F.col("m")).alias("mm"),
-                      F.sum(F.pow(F.col("x") - float(stats["mean"]), 2)).alias("ss")).first()
-    mm, ss = float(sums["mm"]), float(sums["ss"])
+    i, xc, mc = F.col("i"), F.col("x"), F.col("m")
+    ends = {1: "1", 2: "2", n - 1: "n1", n: "n"}
+    # one pass: sum m^2, sum of squares, sum m*x and the scores / values at the four end ranks
+    sums = scored.agg(F.sum(mc * mc).alias("mm"), F.sum(F.pow(xc - float(stats["mean"]), 2)).alias("ss"),
+                      F.sum(mc * xc).alias("mx"),
+                      *[F.max(F.when(i == k, xc)).alias(f"x{nm}") for k, nm in ends.items()],
+                      *[F.max(F.when(i == k, mc)).alias(f"m{nm}") for k, nm in ends.items()]).first()
+    mm, ss, mx = float(sums["mm"]), float(sums["ss"]), float(sums["mx"])
+    xv = {nm: float(sums[f"x{nm}"]) for nm in ends.values()}
+    mv = {nm: float(sums[f"m{nm}"]) for nm in ends.values()}
     m_n = dist.norm_ppf((n - 0.375) / (n + 0.25))
     m_n1 = dist.norm_ppf((n - 1 - 0.375) / (n + 0.25))
     u = 1.0 / math.sqrt(n)
     a_n = m_n / math.sqrt(mm) + _poly(_SW_AN, u)
-    if n > 5:
-        a_n1 = m_n1 / math.sqrt(mm) + _poly(_SW_AN1, u)
-        phi = (mm - 2 * m_n ** 2 - 2 * m_n1 ** 2) / (1 - 2 * a_n ** 2 - 2 * a_n1 ** 2)
-        edge = 2
-    else:
-        a_n1 = 0.0
-        phi = (mm - 2 * m_n ** 2) / (1 - 2 * a_n ** 2)
-        edge = 1
     if n == 3:
-        a_n, phi, edge = math.sqrt(0.5), None, 1
-    i = F.col("i")
-    if phi is None:
-        a = F.when(i == 1, -a_n).when(i == n, a_n).otherwise(0.0)
+        # coefficients (-sqrt(1/2), 0, sqrt(1/2))
+        num = math.sqrt(0.5) * (xv["n"] - xv["1"])
     else:
-        a = (F.when(i == 1, -a_n).when(i == n, a_n)
-             .when((i == 2) & F.lit(edge == 2), -a_n1).when((i == n - 1) & F.lit(edge == 2), a_n1)
-             .otherwise(F.col("m") / math.sqrt(phi)))
-    num = scored.agg(F.sum(a * F.col("x")).alias("ax")).first()["ax"]
+        if n > 5:
+            a_n1 = m_n1 / math.sqrt(mm) + _poly(_SW_AN1, u)
+            phi = (mm - 2 * m_n ** 2 - 2 * m_n1 ** 2) / (1 - 2 * a_n ** 2 - 2 * a_n1 ** 2)
+            fixed = ["1", "2", "n1", "n"]
+            num = a_n * (xv["n"] - xv["1"]) + a_n1 * (xv["n1"] - xv["2"])
+        else:
+            phi = (mm - 2 * m_n ** 2) / (1 - 2 * a_n ** 2)
+            fixed = ["1", "n"]
+            num = a_n * (xv["n"] - xv["1"])
+        # middle ranks take m_i / sqrt(phi): their sum is sum(m x) less the end ranks' terms
+        num += (mx - sum(mv[k] * xv[k] for k in fixed)) / math.sqrt(phi)
     w = min(1.0, float(num) ** 2 / ss)
     if n == 3:
         p = max(0.0, 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75))))
