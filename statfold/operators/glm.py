@@ -10,6 +10,7 @@ import math
 from collections.abc import Sequence
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -30,30 +31,38 @@ def glm(df: DataFrame, y: str, terms: Sequence[str], family: str = "gaussian", l
     has estimate, se, t/z, p and Wald intervals (``confint.default``).
     """
     d = design(df, y, terms)
-    vec = VectorAssembler(inputCols=d.columns, outputCol="_features").transform(d.frame)
+    # IRLS and the summary statistics each pass over the rows: keep the narrow assembled design
+    # (label + features) in executor storage for the fit instead of re-deriving it every pass
+    vec = (VectorAssembler(inputCols=d.columns, outputCol="_features").transform(d.frame)
+           .select(d.y, "_features").persist(StorageLevel.MEMORY_AND_DISK))
     params = dict(family=family, featuresCol="_features", labelCol=d.y, maxIter=100, tol=1e-10)
     if link:
         params["link"] = link
-    model = GeneralizedLinearRegression(**params).fit(vec)
-    s = model.summary
+    try:
+        model = GeneralizedLinearRegression(**params).fit(vec)
+        s = model.summary
+        se = list(s.coefficientStandardErrors)
+        tv = list(s.tValues)
+        pv = list(s.pValues)
+        n = int(s.numInstances)
+        aic, deviance, null_deviance = float(s.aic), float(s.deviance), float(s.nullDeviance)
+        df_resid, df_null = int(s.residualDegreeOfFreedom), int(s.residualDegreeOfFreedomNull)
+        dispersion = float(s.dispersion)
+    finally:
+        vec.unpersist()
     z = dist.norm_ppf(1 - (1 - conf) / 2)
     names = ["Intercept"] + d.labels
     est = [model.intercept] + list(model.coefficients)
-    se = list(s.coefficientStandardErrors)
-    tv = list(s.tValues)
-    pv = list(s.pValues)
     # MLlib lists the intercept last
     se, tv, pv = [se[-1]] + se[:-1], [tv[-1]] + tv[:-1], [pv[-1]] + pv[:-1]
     coef = pd.DataFrame({"term": names, "estimate": est, "se": se, "statistic": tv, "p_value": pv})
     coef["wald_lo"] = coef["estimate"] - z * coef["se"]
     coef["wald_hi"] = coef["estimate"] + z * coef["se"]
-    n = int(s.numInstances)
     k = len(est) + (1 if family == "gaussian" else 0)
-    aic = float(s.aic)
     model_row = pd.DataFrame([{
-        "family": family, "n": n, "deviance": float(s.deviance), "null_deviance": float(s.nullDeviance),
-        "df_resid": int(s.residualDegreeOfFreedom), "df_null": int(s.residualDegreeOfFreedomNull),
-        "dispersion": float(s.dispersion), "aic": aic, "bic": aic - 2 * k + k * math.log(n)}])
+        "family": family, "n": n, "deviance": deviance, "null_deviance": null_deviance,
+        "df_resid": df_resid, "df_null": df_null,
+        "dispersion": dispersion, "aic": aic, "bic": aic - 2 * k + k * math.log(n)}])
     spark = df.sparkSession
     return spark.createDataFrame(coef), spark.createDataFrame(model_row), model, d
 
