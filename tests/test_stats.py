@@ -81,3 +81,13 @@ def test_ols_residuals_feed_qq_and_shapiro(spark):
     assert qq.count() == 300
     w = stats.shapiro_wilk(e, "resid").first()
     assert 0.0 < w["W"] <= 1.0
+
+
+def test_levels_of_several_columns_in_one_pass(spark):
+    from statfold.operators.linear import _levels
+    df = spark.createDataFrame([(10, "b", 1.5), (2, "a", None), (10, None, 0.5), (None, "c", 1.5)],
+                               "i int, s string, d double")
+    got = _levels(df, ["i", "s", "d"])
+    assert got == {"i": [2, 10], "s": ["a", "b", "c"], "d": [0.5, 1.5]}
+    with pytest.raises(ValueError):
+        _levels(df, ["s", "i"], max_levels=2)
