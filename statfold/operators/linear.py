@@ -17,11 +17,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from statfold.functions import dist
 from statfold.operators import gram
 from statfold.operators.position import _cols, _partitions, _ranged, with_previous
+from statfold.operators.profile import distinct_levels
 
 
 # ---------------------------------------------------------------- design
@@ -35,49 +35,11 @@ class Design:
     terms: dict[str, list[str]] = field(default_factory=dict)  # term -> its columns
 
 
-def _typed(value: str, dtype: T.DataType):
-    if isinstance(dtype, T.IntegralType):
-        return int(value)
-    if isinstance(dtype, T.FractionalType):
-        return float(value)
-    if isinstance(dtype, T.BooleanType):
-        return value == "true"
-    return value
-
-
-def _levels(df: DataFrame, cols: Sequence[str], max_levels: int = 200) -> dict:
-    """Sorted distinct non-null values of every column in ``cols``, in one distinct pass.
-
-    Values travel as strings (one union of (column, value) pairs) and are read
-    back in the column's type. The pass keeps at most ``len(cols) * (max_levels + 1)``
-    rows: when every column is within the bound nothing is cut, and a column
-    above it is refused.
-    """
-    cols = list(cols)
-    if not cols:
-        return {}
-    parts = [df.where(F.col(c).isNotNull()).select(F.lit(c).alias("_k"), F.col(c).cast("string").alias("_v"))
-             for c in cols]
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
-    found: dict[str, list] = {c: [] for c in cols}
-    for r in union.distinct().limit(len(cols) * (max_levels + 1)).collect():
-        found[r["_k"]].append(r["_v"])
-    out = {}
-    for c in cols:
-        if len(found[c]) > max_levels:
-            raise ValueError(f"{c}: too many levels for a dummy expansion")
-        dtype = df.schema[c].dataType
-        out[c] = sorted(_typed(v, dtype) for v in found[c])
-    return out
-
-
 def design(df: DataFrame, y: str, terms: Sequence[str], levels: dict | None = None) -> Design:
     """REG2: numeric terms as they are, ``C(x)`` as treatment dummies (first level is the base)."""
     levels = dict(levels or {})
     wanted = [t[2:-1] for t in terms if t.startswith("C(") and t.endswith(")") and not levels.get(t[2:-1])]
-    levels.update(_levels(df, wanted))
+    levels.update(distinct_levels(df, wanted, 200))
     exprs: list[Column] = [F.col(y).cast("double").alias("_y")]
     needed = [F.col(y).isNotNull()]
     cols, labels, groups = [], [], {}

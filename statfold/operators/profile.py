@@ -127,3 +127,41 @@ def range_quartiles(df: DataFrame, col: str) -> DataFrame:
     rng = data.groupBy("col_name").agg((F.max("value") - F.min("value")).alias("range"))
     q = exact_quantiles(data, "value", [0.25, 0.5, 0.75], ["col_name"], ["q25", "q50", "q75"], max_groups=1)
     return rng.join(q, "col_name")
+
+
+def _typed(value: str, dtype: T.DataType):
+    if isinstance(dtype, T.IntegralType):
+        return int(value)
+    if isinstance(dtype, T.FractionalType):
+        return float(value)
+    if isinstance(dtype, T.BooleanType):
+        return value == "true"
+    return value
+
+
+def distinct_levels(df: DataFrame, cols: Sequence[str], max_levels: int = 200) -> dict:
+    """Sorted distinct non-null values of every column in ``cols``, in one distinct pass.
+
+    Values travel as strings (one union of (column, value) pairs) and are read
+    back in the column's type. The pass keeps at most ``len(cols) * (max_levels + 1)``
+    rows: when every column is within the bound nothing is cut, and a column
+    above it is refused.
+    """
+    cols = list(cols)
+    if not cols:
+        return {}
+    parts = [df.where(F.col(c).isNotNull()).select(F.lit(c).alias("_k"), F.col(c).cast("string").alias("_v"))
+             for c in cols]
+    union = parts[0]
+    for part in parts[1:]:
+        union = union.unionByName(part)
+    found: dict[str, list] = {c: [] for c in cols}
+    for r in union.distinct().limit(len(cols) * (max_levels + 1)).collect():
+        found[r["_k"]].append(r["_v"])
+    out = {}
+    for c in cols:
+        if len(found[c]) > max_levels:
+            raise ValueError(f"{c}: too many levels for a dummy expansion")
+        dtype = df.schema[c].dataType
+        out[c] = sorted(_typed(v, dtype) for v in found[c])
+    return out

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from statfold.operators.profile import distinct_levels
+
 
 def fit_standard(df: DataFrame, cols: Sequence[str], ddof: int = 1) -> DataFrame:
     """Moments for z-scores: ddof=1 (R ``scale``), ddof=0 (sklearn ``StandardScaler``)."""
@@ -34,19 +36,19 @@ def standardize(df: DataFrame, cols: Sequence[str], ddof: int = 1, fit_on: DataF
 
 
 def levels_of(df: DataFrame, col: str, max_levels: int = 1000) -> list:
-    found = df.select(col).where(F.col(col).isNotNull()).distinct().limit(max_levels + 1).collect()
-    if len(found) > max_levels:
-        raise ValueError(f"{col} has more than {max_levels} levels")
-    return sorted(r[0] for r in found)
+    return distinct_levels(df, [col], max_levels)[col]
 
 
 def one_hot_wide(df: DataFrame, cols: Sequence[str], levels: dict | None = None, drop: bool = True) -> DataFrame:
-    """ENC1: ``get_dummies``: one 0/1 column per level of each string column (all levels kept)."""
+    """ENC1: ``get_dummies``: one 0/1 column per level of each string column (all levels kept).
+
+    Levels of all columns are found in one distinct pass; the dummies are one projection.
+    """
     levels = dict(levels or {})
-    for c in cols:
-        for lv in levels.get(c) or levels_of(df, c):
-            df = df.withColumn(f"{c}_{lv}", (F.col(c) == F.lit(lv)).cast("int"))
-    return df.drop(*cols) if drop else df
+    levels.update(distinct_levels(df, [c for c in cols if not levels.get(c)], 1000))
+    dummies = [(F.col(c) == F.lit(lv)).cast("int").alias(f"{c}_{lv}") for c in cols for lv in levels[c]]
+    keep = [F.col(x) for x in df.columns if not (drop and x in cols)]
+    return df.select(*keep, *dummies)
 
 
 def one_hot_array(label: Column | str, k: int) -> Column:

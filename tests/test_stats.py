@@ -84,7 +84,7 @@ def test_ols_residuals_feed_qq_and_shapiro(spark):
 
 
 def test_levels_of_several_columns_in_one_pass(spark):
-    from statfold.operators.linear import _levels
+    from statfold.operators.profile import distinct_levels as _levels
     df = spark.createDataFrame([(10, "b", 1.5), (2, "a", None), (10, None, 0.5), (None, "c", 1.5)],
                                "i int, s string, d double")
     got = _levels(df, ["i", "s", "d"])
