@@ -74,11 +74,14 @@ def with_position(df: DataFrame, order_by, col: str = "pos", partitions: int | N
 
 
 def with_group_rank(df: DataFrame, groups: Sequence[str], order_by, col: str = "rank",
-                    size_col: str | None = None, partitions: int | None = None) -> DataFrame:
+                    size_col: str | None = None, partitions: int | None = None,
+                    max_groups: int | None = None) -> DataFrame:
     """1-based position inside each group (``row_number`` semantics), skew-safe.
 
     A group holding a third of all rows is spread over many range partitions
-    instead of landing in one window task.
+    instead of landing in one window task. ``max_groups`` is a known bound on
+    the number of groups (e.g. classes); under it the group starts are
+    broadcast without counting them first.
     """
     groups = list(groups)
     pos = with_position(df, [*_cols(groups), *_cols(order_by)], "_gpos", partitions)
@@ -89,7 +92,9 @@ def with_group_rank(df: DataFrame, groups: Sequence[str], order_by, col: str = "
             out = out.withColumn("_k", F.lit(0)).join(F.broadcast(total), "_k").drop("_k")
         return out
     starts = pos.groupBy(*groups).agg(F.min("_gpos").alias("_start"), F.count(F.lit(1)).alias("_gn"))
-    out = pos.join(broadcast_if_small(starts), groups, "inner").withColumn(col, F.col("_gpos") - F.col("_start") + 1)
+    small = (F.broadcast(starts) if max_groups is not None and max_groups <= BROADCAST_MAX_ROWS
+             else broadcast_if_small(starts))
+    out = pos.join(small, groups, "inner").withColumn(col, F.col("_gpos") - F.col("_start") + 1)
     if size_col:
         out = out.withColumnRenamed("_gn", size_col)
     else:

@@ -46,7 +46,8 @@ def oversample_classes(df: DataFrame, label: str, id_col: str, targets: dict, se
     draws = draws.join(F.broadcast(ranges), (F.col(draw_col) >= F.col("_lo")) & (F.col(draw_col) < F.col("_hi")))
     draws = draws.select(draw_col, F.col("_cls").alias(label),
                          (hash_u32(seed, F.col(draw_col)) % F.col("_nc") + 1).alias("_r"))
-    ranked = with_group_rank(df.where(F.col(label).isin([p[0] for p in plan])), [label], [id_col], "_r")
+    ranked = with_group_rank(df.where(F.col(label).isin([p[0] for p in plan])), [label], [id_col], "_r",
+                             max_groups=len(plan))
     # The sampled classes' sizes are known, so the ranked rows are broadcast only under a proven bound;
     # otherwise a shuffle join, where AQE splits keys drawn very often (a tiny class drawn many times).
     if sum(p[3] for p in plan) <= BROADCAST_MAX_ROWS:
