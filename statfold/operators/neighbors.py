@@ -34,13 +34,29 @@ from statfold.session import BROADCAST_MAX_ROWS
 
 
 def _blocks(df: DataFrame, id_col: str, vec: str, label: str | None, block_rows: int, prefix: str) -> DataFrame:
-    """Rows cut into blocks of exactly ``block_rows`` (the last may be shorter), one array row per block."""
+    """Rows cut into blocks of exactly ``block_rows`` (the last may be shorter), one row per block:
+    ids, labels and the vectors flattened into one double array, all in id order.
+
+    The three arrays come from one id-sorted list split on the JVM side, so
+    the Python task receives plain numeric arrays and reshapes them.
+    """
     y = F.col(label).cast("long") if label else F.lit(None).cast("long")
-    data = df.select(F.col(id_col).cast("long").alias("_id"), F.col(vec).cast("array<double>").alias("_v"), y.alias("_y"))
+    data = df.where(F.col(vec).isNotNull()).select(
+        F.col(id_col).cast("long").alias("_id"), F.col(vec).cast("array<double>").alias("_v"), y.alias("_y"))
     pos = with_position(data, ["_id"], "_bp")
     blk = pos.withColumn(f"{prefix}block", F.floor((F.col("_bp") - 1) / block_rows).cast("long"))
-    fields = [F.col("_id").alias("id"), F.col("_v").alias("v"), F.col("_y").alias("y")]
-    return blk.groupBy(f"{prefix}block").agg(F.collect_list(F.struct(*fields)).alias(f"{prefix}rows"))
+    rows = F.array_sort(F.collect_list(F.struct("_id", "_v", "_y")))
+    return blk.groupBy(f"{prefix}block").agg(rows.alias("_r")).select(
+        f"{prefix}block", F.transform("_r", lambda s: s["_id"]).alias(f"{prefix}ids"),
+        F.transform("_r", lambda s: s["_y"]).alias(f"{prefix}ys"),
+        F.flatten(F.transform("_r", lambda s: s["_v"])).alias(f"{prefix}vecs"))
+
+
+def _matrix(flat, n: int) -> np.ndarray:
+    arr = np.asarray(flat, dtype=np.float64)
+    if n == 0 or arr.size % n:
+        raise ValueError("all vectors must have the same length")
+    return arr.reshape(n, -1)
 
 
 def _topk_pairs(k: int, exclude_self: bool):
@@ -48,12 +64,11 @@ def _topk_pairs(k: int, exclude_self: bool):
     def run(it):
         for pdf in it:
             parts = []
-            for q, r in zip(pdf["qrows"], pdf["rrows"]):
-                qid = np.fromiter((x["id"] for x in q), dtype=np.int64, count=len(q))
-                rid = np.fromiter((x["id"] for x in r), dtype=np.int64, count=len(r))
-                ry = np.fromiter((x["y"] if x["y"] is not None else -1 for x in r), dtype=np.int64, count=len(r))
-                qm = np.stack([np.asarray(x["v"], dtype=np.float64) for x in q])
-                rm = np.stack([np.asarray(x["v"], dtype=np.float64) for x in r])
+            for qids, qv, rids, rys, rv in zip(pdf["qids"], pdf["qvecs"], pdf["rids"], pdf["rys"], pdf["rvecs"]):
+                qid = np.asarray(qids, dtype=np.int64)
+                rid = np.asarray(rids, dtype=np.int64)
+                ry = pd.Series(list(rys), dtype="float64").fillna(-1).to_numpy(dtype=np.int64)
+                qm, rm = _matrix(qv, len(qid)), _matrix(rv, len(rid))
                 order = np.argsort(rid, kind="stable")  # columns by id: a stable sort then breaks ties by id
                 rid, ry, rm = rid[order], ry[order], rm[order]
                 # exact squared differences, in query chunks of bounded memory (ties stay exact)
@@ -82,9 +97,9 @@ def nearest(queries: DataFrame, reference: DataFrame, id_col: str, vec: str, lab
     n_ref_blocks = rb.agg(F.max("rblock").alias("m")).withColumn("_one", F.lit(1))
     # every query block lists all reference block ids (one small array), then an equi-join on the id
     fan = (qb.withColumn("_one", F.lit(1)).join(F.broadcast(n_ref_blocks), "_one")
-           .select("qblock", "qrows", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m"))).alias("rblock")))
+           .select("qblock", "qids", "qvecs", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m"))).alias("rblock")))
     pairs = fan.join(rb, "rblock")
-    part = pairs.select("qrows", "rrows").mapInPandas(_topk_pairs(k, exclude_self), "qid long, d2 double, rid long, ry long")
+    part = pairs.select("qids", "qvecs", "rids", "rys", "rvecs").mapInPandas(_topk_pairs(k, exclude_self), "qid long, d2 double, rid long, ry long")
     w = Window.partitionBy("qid").orderBy("d2", "rid")
     top = part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return top.select("qid", "rank", "rid", "ry", F.sqrt("d2").alias("dist"))
