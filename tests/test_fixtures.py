@@ -185,3 +185,13 @@ def test_curve_area_stitches_partitions(spark):
     finally:
         spark.conf.unset("spark.statfold.rangePartitions")
     assert got == pytest.approx(float(np.sum((xs[1:] - xs[:-1]) * (ys[1:] + ys[:-1]) / 2)))
+
+
+def test_spread_only_under_split_inputs(spark):
+    from statfold.sources.tables import spread, table
+    slots = spark.sparkContext.defaultParallelism
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    assert docs.rdd.getNumPartitions() >= slots
+    assert docs.count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+    wide = spark.range(0, 1000, numPartitions=slots * 2)
+    assert spread(wide) is wide
