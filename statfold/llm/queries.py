@@ -75,3 +75,41 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from statfold.llm.tokens import count_tokens
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@register("op4_warc_segments")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from statfold.llm.warc import read_archives, resolve, write_archives
+    from statfold.session import scratch_path
+    path = scratch_path(spark, "warc")
+    write_archives(table(spark, sf_dir, "pages"), path)
+    found = resolve(read_archives(spark, path, with_payload=False))
+    return found.select(F.col("page").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                        F.col("refers_to").cast("long").alias("refers_to"))
+
+
+@register("op5_html_extraction")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from statfold.llm.boilerplate import extract
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def _of_kind(kind: str):
+    return lambda x: x["kind"] == kind
+
+
+@register("op6_pii_boosted")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from statfold.llm.pii import BASE, find_spans, span_list
+    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    found = find_spans(docs)
+    base = F.filter("spans", lambda x: x["base"])
+    counts = [F.size(F.filter(base, _of_kind(k))).cast("long").alias(f"n_{k}") for k in BASE]
+    return found.select("doc_id", *counts, F.sha2(span_list(base), 256).alias("base_sha256"),
+                        span_list(F.col("spans")).alias("spans"))
+
+
+@register("op9_suffix_array_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from statfold.llm.suffix import remove_repeats
+    return remove_repeats(table(spark, sf_dir, "documents"), with_kept=False)
