@@ -13,6 +13,7 @@ import os
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -96,8 +97,10 @@ class Encoder:
         if self.kind == "json":
             enc = self.tok.encode(text, add_special_tokens=False)
             return enc.ids, [a for a, _ in enc.offsets]
-        found = self.tok.encode(text, out_type="immutable_proto").pieces
-        return [p.id for p in found], [p.begin for p in found]
+        found = self.tok.encode(text, return_type="proto").pieces
+        raw = np.frombuffer(text.encode("utf-8"), np.uint8)  # its places are bytes
+        chars = np.cumsum((raw & 0xC0) != 0x80)
+        return [p.id for p in found], [int(chars[p.begin]) - 1 if p.begin < len(raw) else len(text) for p in found]
 
     def stable(self, text: str, at: int) -> bool:
         """True if no token of any longer text can cross ``at``, whatever stands on either side.
