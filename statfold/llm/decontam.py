@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from statfold.llm.common import field, pieces
-from statfold.session import broadcast_if_small, cut_lineage
+from statfold.session import cut_lineage
 
 SHINGLE, OVERLAP = 5, 0.8
 BLOCK = 16              # items in a block of the index
@@ -210,9 +210,24 @@ def _parts(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield part
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
-                      text_col: str = "text") -> DataFrame:
-    """The input's rows and columns without documents that hold a test item."""
-    bad = cut_lineage(contaminated(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("_bad")).distinct())
-    bad = broadcast_if_small(bad)
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad"]), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
+                      item_text: str = "text") -> DataFrame:
+    """The input's rows and columns without documents that hold a test item (as ``contaminated`` finds them)."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    arrow, at = to_arrow_schema(docs.schema), docs.columns.index(text_col)
+    items = benchmark.select(F.col(item_col).alias("row"), F.coalesce(item_text, F.lit("")).alias("text"))
+
+    def keep(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = shared.value
+            for batch in pieces(batches, at, 4 << 20):
+                texts = pc.fill_null(batch.column(at).cast(pa.string()), "")
+                bad = {r for r, _ in _search(index, texts)}
+                left = batch.filter(pa.array([k not in bad for k in range(batch.num_rows)], pa.bool_()))
+                if left.num_rows:
+                    yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(left.columns, arrow)], schema=arrow)
+        return run
+
+    for part in _parts(items):
+        docs = docs.mapInArrow(keep(docs.sparkSession.sparkContext.broadcast(Index(part))), docs.schema)
+    return docs
