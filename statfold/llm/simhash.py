@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,17 +54,23 @@ def _fingerprint(text: str, shingle: int) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  shingle: int = SHINGLE) -> DataFrame:
-    """Rows (id, fp) with the 64-bit fingerprint as a signed long."""
-    schema = T.StructType([field(docs, id_col, "id"), T.StructField("fp", T.LongType())])
+    """Rows (id, fp, key): the 64-bit fingerprint as a signed long, and a key that tells texts of one id apart."""
+    schema = T.StructType([field(docs, id_col, "id"), T.StructField("fp", T.LongType()),
+                           T.StructField("key", T.LongType())])
     from pyspark.sql.pandas.types import to_arrow_schema
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 1):
             fps = [_fingerprint(t or "", shingle) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(arrow.field(0).type), pa.array(fps, pa.int64())],
-                                             schema=arrow)
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(arrow.field(0).type), pa.array(fps, pa.int64()),
+                                              batch.column(2)], schema=arrow)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), _text_key(F.col(text_col))
+                       .alias("key")).mapInArrow(run, schema)
+
+
+def _text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def pivots(count: int = PIVOTS) -> np.ndarray:
@@ -184,6 +190,14 @@ def components(edges: DataFrame) -> DataFrame:
         mark = tuple(after)
 
 
+def _rooted(prints: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, root, least): the component of each different fingerprint and its smallest id."""
+    distinct = cut_lineage(prints.groupBy("fp").agg(F.min("id").alias("least")))
+    roots = components(links(distinct.select("fp"), max_bits))
+    return cut_lineage(distinct.join(roots, distinct.fp == roots.vertex, "left")
+                       .select("fp", "least", F.coalesce("root", "fp").alias("root")))
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                        max_bits: int = MAX_BITS) -> DataFrame:
     """Rows (id, fingerprint, component_id), one per input row.
@@ -194,10 +208,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Repeated rows give repeated results; extra columns are ignored.
     """
     prints = cut_lineage(fingerprints(docs, id_col, text_col, shingle))
-    distinct = cut_lineage(prints.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = components(links(distinct.select("fp"), max_bits))
-    placed = cut_lineage(distinct.join(roots, distinct.fp == roots.vertex, "left")
-                         .select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    placed = _rooted(prints, max_bits)
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = placed.join(ids, "root").select("fp", "component_id")
     return (prints.join(by_fp, "fp")
@@ -207,8 +218,16 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                      max_bits: int = MAX_BITS) -> DataFrame:
-    """The input's rows and columns with one document of each component: the one with the smallest id."""
-    found = simhash_components(docs, id_col, text_col, shingle, max_bits)
-    gone = found.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_gone"))
-    gone = broadcast_if_small(cut_lineage(gone.distinct()))
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    """The input's rows and columns with one document of each component: the one with the smallest id.
+
+    A null id comes after all others; rows equal in id and text are one document and stay or go together.
+    """
+    prints = cut_lineage(fingerprints(docs, id_col, text_col, shingle))
+    rows = prints.join(_rooted(prints, max_bits).select("fp", "root"), "fp")
+    order = F.struct(F.col("id").isNull().alias("n"), "id", "key")
+    least = rows.groupBy("root").agg(F.min(order).alias("least"))
+    gone = rows.join(least, "root").filter(order != F.col("least")).select(
+        F.col("id").alias("_gone"), F.col("key").alias("_key")).distinct()
+    gone = broadcast_if_small(cut_lineage(gone))
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]) & (_text_key(docs[text_col]) == gone["_key"]),
+                     "left_anti")
