@@ -50,7 +50,7 @@ def test_drop_keeps_columns_and_one_row(spark):
     assert rows(left, "doc_id", "text") == [(2, "same"), (3, "other")]
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.text(alphabet="aAbé ", max_size=9), max_size=12))
 def test_any_texts(spark, texts):
     data = list(enumerate(texts))
