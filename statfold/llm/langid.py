@@ -21,6 +21,7 @@ from statfold.llm.common import field, has_letter, pieces
 DIMS = 4096
 CENTROIDS = 3
 SAMPLE_PER_LANG = 400   # labelled rows a language's centroids are fitted on
+SAMPLE_PARTS = 64       # parts of a language that choose rows for its sample before it does
 MAX_LANGS = 500         # more label values than this are refused
 REJECT_QUANTILE, REJECT_MARGIN = 0.001, 0.5
 UNDECIDED = "und"
@@ -92,8 +93,15 @@ def fit(train: DataFrame, lang_col: str = "lang", text_col: str = "text", order_
     rows = train.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"),
         F.xxhash64(F.col(order_col)).alias("h"), F.xxhash64(F.col(text_col)).alias("t"))
-    first = Window.partitionBy("lang").orderBy("h", "t")
-    sample = rows.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= per_lang)
+    if rows.select("lang").distinct().limit(MAX_LANGS + 1).count() > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
+    # whole numbers only, and first within parts of a language: one may hold most rows
+    light = rows.select("lang", "h", "t").distinct()
+    for part in (["lang", F.pmod("t", F.lit(SAMPLE_PARTS))], ["lang"]):
+        first = Window.partitionBy(*part).orderBy("h", "t")
+        light = light.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= per_lang)
+    # at most MAX_LANGS * per_lang rows, each once however often it is repeated
+    sample = rows.join(F.broadcast(light), ["lang", "h", "t"]).dropDuplicates(["lang", "h", "t"])
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("at", T.ArrayType(T.IntegerType())),
                            T.StructField("n", T.ArrayType(T.IntegerType())), T.StructField("r", T.IntegerType())])
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -106,8 +114,6 @@ def fit(train: DataFrame, lang_col: str = "lang", text_col: str = "text", order_
                                               pa.array([n for _, n in got], arrow.field(2).type), batch.column(2)],
                                              schema=arrow)
 
-    if rows.select("lang").distinct().limit(MAX_LANGS + 1).count() > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
     got = sorted(sample.select("lang", "text", "r").mapInArrow(counts, schema).collect(), key=lambda x: (x.lang, x.r))
     vectors = np.zeros((len(got), DIMS), np.float32)
     for i, row in enumerate(got):
