@@ -44,10 +44,10 @@ def exact_names(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         F.xxhash64(F.length("norm"), F.transform(_blocks(F.col("norm"), block_chars),
                                                                  lambda b: F.xxhash64(b))).alias("vector"))
     light = cut_lineage(keyed.select("id", "sha", "vector"))
-    shared = light.groupBy("vector").count().filter("count > 1").select("vector")
+    shared = broadcast_if_small(cut_lineage(light.groupBy("vector").count().filter("count > 1").select("vector")))
     copies = light.join(shared, "vector", "left_semi").groupBy("id", "sha").agg(F.count(F.lit(1)).alias("copies"))
     # one text for each (id, sha): repeated rows need no second one
-    text = keyed.join(broadcast_if_small(cut_lineage(shared)), "vector", "left_semi").select("id", "sha", "norm")
+    text = keyed.join(shared, "vector", "left_semi").select("id", "sha", "norm")
     level = cut_lineage(text.select("id", "sha", F.posexplode(_blocks(F.col("norm"), block_chars)).alias("k", "block"))
                         .dropDuplicates(["id", "sha", "k"]))
     names = with_position(level.select("block").distinct(), "block", "name")
