@@ -2,7 +2,8 @@
 
 A text is the TF-IDF vector of its byte n-grams (letters only, lower case, hashed to ``DIMS`` places),
 normalised to length one. Each language is described by a few centroids (spherical k-means of its sample);
-a text gets the language of the centroid with the largest cosine and is rejected if even that is too far.
+a text gets the language of the centroid with the largest cosine, and is rejected if that is no nearer than
+n-grams drawn by chance would be.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ CENTROIDS = 3
 SAMPLE_PER_LANG = 400   # labelled rows a language's centroids are fitted on
 SAMPLE_PARTS = 64       # parts of a language that choose rows for its sample before it does
 MAX_LANGS = 500         # more label values than this are refused
-REJECT_QUANTILE, REJECT_MARGIN = 0.001, 0.5
+REJECT_DEVIATIONS = 4   # a text must be nearer than chance by this many standard deviations
 UNDECIDED = "und"
 
 _KEEP = np.full(256, 32, np.uint8)
@@ -69,18 +70,26 @@ class Model:
     langs: list[str]       # language of each centroid
     centroids: np.ndarray  # a row each, length one
     idf: np.ndarray
-    floor: float           # texts whose best cosine is lower are rejected
 
-    def scores(self, texts: list[str]) -> np.ndarray:
-        """Cosine of each text with each centroid."""
-        out = np.zeros((len(texts), len(self.langs)), np.float64)
-        for i, text in enumerate(texts):
+    def nearest(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(centroid with the largest cosine, that cosine, whether it is no better than chance) of each text.
+
+        The same weights on places drawn at random would have a cosine with the centroid whose mean is the
+        centroid's mean times the weights' sum, and whose deviation is the centroid's (weights of length one).
+        """
+        best, top, far = np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.ones(len(texts), bool)
+        mean, spread = self.centroids.mean(axis=1), self.centroids.std(axis=1)
+        for i, text in enumerate(texts if self.langs else []):
             at, n = ngram_counts(text)
             w = (1 + np.log(n)) * self.idf[at]
             size = np.sqrt((w * w).sum())
             if size > 0:
-                out[i] = self.centroids[:, at] @ (w / size)
-        return out
+                w = w / size
+                cosine = self.centroids[:, at] @ w
+                best[i] = j = int(cosine.argmax())
+                top[i] = cosine[j]
+                far[i] = cosine[j] < mean[j] * w.sum() + REJECT_DEVIATIONS * spread[j]
+        return best, top, far
 
 
 def fit(train: DataFrame, lang_col: str = "lang", text_col: str = "text", order_col: str = "doc_id",
@@ -121,15 +130,13 @@ def fit(train: DataFrame, lang_col: str = "lang", text_col: str = "text", order_
     seen = (vectors > 0).sum(axis=0)
     idf = np.log((1 + len(got)) / (1 + seen)) + 1 if got else np.ones(DIMS)
     vectors = _unit(vectors * idf.astype(np.float32))
-    langs, centres, best = [], [], []
+    langs, centres = [], []
     for lang in sorted({x.lang for x in got}):
         own = vectors[[i for i, x in enumerate(got) if x.lang == lang]]
         found = _k_means(own, k)
         langs += [lang] * len(found)
         centres.append(found)
-        best.append((own @ found.T).max(axis=1))
-    floor = float(np.quantile(np.concatenate(best), REJECT_QUANTILE)) * REJECT_MARGIN if best else 0.0
-    return Model(langs, np.vstack(centres).astype(np.float64) if centres else np.zeros((0, DIMS)), idf, floor)
+    return Model(langs, np.vstack(centres).astype(np.float64) if centres else np.zeros((0, DIMS)), idf)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -137,8 +144,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     ``lang_pred`` is the nearest centroid's language and ``score`` its cosine, cut to 0..1; texts that are
     null or have no letter get ``und`` and 0, as does everything under a model without languages. Ties go
-    to the alphabetically first language. ``rejected`` marks ``und`` and texts farther than the model's
-    floor. Only the text is looked at; extra columns are ignored.
+    to the alphabetically first language. ``rejected`` marks ``und`` and texts that are no nearer than chance.
+    Only the text is looked at; extra columns are ignored.
     """
     schema = T.StructType([field(docs, id_col, id_col), T.StructField("lang_pred", T.StringType()),
                            T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
@@ -151,12 +158,11 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         for batch in pieces(batches, 1, 4 << 20):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             told = np.array([bool(m.langs) and has_letter(t) for t in texts], bool)
-            score = m.scores(texts) if m.langs else np.zeros((len(texts), 1))
-            best = score.argmax(axis=1)
-            top = np.where(told, np.clip(score[np.arange(len(texts)), best], 0, 1), 0.0)
+            best, score, far = m.nearest(texts)
             pred = [m.langs[j] if ok else UNDECIDED for j, ok in zip(best, told)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(arrow.field(0).type), pa.array(pred, pa.string()),
-                                              pa.array(top), pa.array(~told | (top < m.floor))], schema=arrow)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).cast(arrow.field(0).type), pa.array(pred, pa.string()),
+                 pa.array(np.where(told, np.clip(score, 0, 1), 0.0)), pa.array(~told | far)], schema=arrow)
     return docs.select(F.col(id_col), F.col(text_col).alias("_text")).mapInArrow(run, schema)
 
 
@@ -176,11 +182,8 @@ def drop_unknown(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col
         m = shared.value
         for batch in pieces(batches, at, 4 << 20):
             texts = [t or "" for t in batch.column(at).to_pylist()]
-            if m.langs:
-                near = m.scores(texts).max(axis=1) >= m.floor
-                keep = pa.array([bool(n) and has_letter(t) for n, t in zip(near, texts)], pa.bool_())
-            else:
-                keep = pa.array([has_letter(t) for t in texts], pa.bool_())
+            far = m.nearest(texts)[2] if m.langs else np.zeros(len(texts), bool)
+            keep = pa.array([has_letter(t) and not x for t, x in zip(texts, far)], pa.bool_())
             left = batch.filter(keep)
             if left.num_rows:
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(left.columns, arrow)], schema=arrow)

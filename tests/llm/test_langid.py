@@ -56,3 +56,12 @@ def test_a_label_with_one_row_is_learned(spark):
 def test_counts_ignore_what_is_no_letter():
     a, b = ngram_counts("Ab  cd!"), ngram_counts("ab, 1 cd")
     assert a[0].tolist() == b[0].tolist() and a[1].tolist() == b[1].tolist()
+
+
+def test_other_scripts_are_rejected_and_short_clean_texts_kept(spark):
+    d = _table(spark)
+    model = fit(d.filter(~held_out()))
+    odd = ["Съешь же ещё этих мягких французских булок да выпей чаю " * n for n in (1, 5, 40)] + ["漢字と仮名の文章です " * 9]
+    assert model.nearest(odd)[2].all()
+    clean = [" ".join(r.text.split()[:n]) for r in d.limit(60).collect() for n in (5, 30, 10_000) if len(r.text.split()) >= 5]
+    assert model.nearest(clean)[2].mean() < 0.02

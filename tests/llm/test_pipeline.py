@@ -30,8 +30,8 @@ def test_run_equals_brute_force(spark):
     table = pq.read_table(f"{SF_SMALL}/documents.parquet").to_pydict()
     left = sorted(zip(table["doc_id"], table["text"]))
     model = langid.fit(spark.read.parquet(f"{SF_SMALL}/documents.parquet").filter(~langid.held_out()))
-    near = model.scores([t or "" for _, t in left]).max(axis=1)
-    left = [x for x, s in zip(left, near) if langid.has_letter(x[1] or "") and s >= model.floor]
+    far = model.nearest([t or "" for _, t in left])[2]
+    left = [x for x, f in zip(left, far) if langid.has_letter(x[1] or "") and not f]
     best = {}
     for i, t in left:
         best[lower(t)] = max(i, best.get(lower(t), i))
