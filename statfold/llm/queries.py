@@ -42,7 +42,7 @@ FROM n WINDOW w AS (PARTITION BY t)
 @register("op1_exact_dedup", EXACT_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from statfold.llm.blocknames import exact_dedup
-    return exact_dedup(table(spark, sf_dir, "documents"))
+    return exact_dedup(spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet"))
 
 
 @register("op2_simhash_near_dedup")
