@@ -139,7 +139,8 @@ def _thresholds(table: DataFrame) -> tuple[object, dict[int, float]]:
         return None, {}
     vector = VectorAssembler(inputCols=FEATURES, outputCol="features")
     trees = GBTClassifier(labelCol="label", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7)
-    model = trees.fit(vector.transform(known.filter("fold > 0")).coalesce(1))
+    # in one order: sums of floats, and so the splits, are then the same in every run
+    model = trees.fit(vector.transform(known.filter("fold > 0")).coalesce(1).sortWithinPartitions(*FEATURES, "label"))
     scored = model.transform(vector.transform(known.filter("fold = 0"))).select(
         "f_gen", "label", "weight", F.round(vector_to_array("probability")[1], 6).alias("p"))
     # one row for each feature vector: their number is bounded by the features' values
@@ -165,7 +166,7 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     nothing is fitted and the base matches are the result.
     """
     rows = cut_lineage(_features(proposals(docs, id_col, text_col)).drop("prev", "next", "digits"))
-    table = (rows.filter("kind is not null").withColumn("fold", F.pmod(F.xxhash64("uid"), F.lit(FOLDS)))
+    table = (rows.filter("kind is not null").withColumn("fold", F.pmod(F.xxhash64("id"), F.lit(FOLDS)))
              .withColumn("fold", F.when(F.col("fold") == 0, 0).otherwise(1))
              .groupBy(*FEATURES, "label", "fold").agg(F.count(F.lit(1)).cast("double").alias("weight")))
     table = cut_lineage(table)
