@@ -26,7 +26,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 CHUNK_CHARS = 65_536
 OVERLAP_CHARS = 1_024
-CACHE_WORDS = 400_000
+CACHE_WORDS, CACHE_RUNS = 120_000, 200_000  # entries in each of two generations: under 100 MB a worker
 AGREE = 2  # tokens on either side of a splice that must be the same in both encodings
 
 # ASCII white space that every supported tokenizer treats as a separator
@@ -84,7 +84,7 @@ class Encoder:
             import sentencepiece
             self.kind, self.tok = "model", sentencepiece.SentencePieceProcessor(model_file=path)
             self.by_word = False
-        self.words, self.runs = Cache(CACHE_WORDS), Cache(CACHE_WORDS)
+        self.words, self.runs = Cache(CACHE_WORDS), Cache(CACHE_RUNS)
         self.bytes = _byte_chars()
 
     def ids(self, text: str) -> list[int]:
