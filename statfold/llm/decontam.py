@@ -5,8 +5,8 @@ item scores ``1`` against a passage that holds ``recall`` of its own score. Item
 and each term has its largest weight in every block. Every training document is read as overlapping
 passages; every passage is a query. A passage whose terms cannot reach the threshold in any block is
 skipped, then blocks that cannot, and only the items of the rest are scored: all above the threshold are
-retrieved, none is cut. Retrieved pairs are verified by the share of the item's word shingles, of its
-question and of its answer (its last sentence), that the document holds.
+retrieved, none is cut. The share of the item's word shingles that the passage holds decides a retrieved
+pair; the shares of its question and of its answer (its last sentence) are told beside it.
 """
 
 from __future__ import annotations
@@ -61,13 +61,13 @@ def shingles(ws: list[str], n: int = SHINGLE) -> set[tuple[str, ...]]:
 
 
 def overlaps(passage: list[str], item: list[str], question: list[str], answer: list[str]):
-    """(similarity, question, answer) shares of the item's shingles that the passage holds; None if one is too low."""
+    """(similarity, question, answer) shares of the item's shingles that the passage holds; None if similarity is too low."""
     share = []
     for part in (item, question, answer):
         own = shingles(part)
         held = shingles(passage, min(SHINGLE, len(part))) if part else set()
         share.append(len(own & held) / len(own) if own else 1.0)
-        if share[-1] < OVERLAP:
+        if share[0] < OVERLAP:
             return None
     return tuple(share)
 
@@ -156,8 +156,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """Rows (id, item, similarity, question_overlap, answer_overlap): every document and the items it leaks.
 
     ``similarity`` is the share of the item's different 5-word shingles (all its words, if it has fewer)
-    found in one passage of the document, at least 0.8, as are the shares of its question and its answer;
-    of several passages the best counts. Items and documents without a word match nothing (null counts as
+    found in one passage of the document, at least 0.8; of several passages the best counts. The shares of
+    its question and its answer in that passage only tell where the copy differs. Items and documents without a word match nothing (null counts as
     empty); repeated rows give repeated results; extra columns are ignored. The items are indexed in parts
     of bounded size.
     """

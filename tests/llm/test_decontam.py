@@ -86,3 +86,25 @@ def test_question_and_answer():
     assert question_answer("One two. Three four!") == (["one", "two"], ["three", "four"])
     assert question_answer("a b c d e") == (["a", "b", "c", "d"], ["e"])
     assert question_answer("?!") == ([], [])
+
+
+def test_near_copies_of_four_fifths_are_leaks(spark):
+    """One word changed, or the last one left out: the item's own shingle share decides, counted here by itself."""
+    def grams(ws):
+        return {" ".join(ws[k:k + 5]) for k in range(len(ws) - 4)}
+
+    items, data, want = [], [], []
+    for i in range(12):
+        own = [f"t{i}x{k}" for k in range(26 + i)]
+        items.append((i, " ".join([*own[:10], own[10] + ".", *own[11:-1]]) + f". {own[-1]}.", 0, ""))
+        for n, changed in enumerate([own[:-1], *[[*own[:k], "other", *own[k + 1:]] for k in range(len(own))]]):
+            doc = 1000 * i + n
+            data.append((doc, " ".join(["before", *changed, "after"])))
+            share = len(grams(own) & grams(changed)) / len(grams(own))
+            if share >= 0.8:
+                want.append((doc, i, round(share, 9)))
+    found = contaminated(docs(spark, data), _items(spark, items))
+    assert sorted((r.doc_id, r.item_id, round(r.similarity, 9)) for r in found.collect()) == sorted(want)
+    assert drop_contaminated(docs(spark, data), _items(spark, items)).count() == len(data) - len(want)
+    without = {r.doc_id: r.answer_overlap for r in found.collect()}
+    assert without[0] == 0.0 and without[2] == 1.0  # the answer is left out; a word of the question is changed
