@@ -94,3 +94,13 @@ def test_redaction(spark):
         "array(named_struct('kind', 'phone', 'start', 5L, 'end', 19L), named_struct('kind', 'number', 'start', 8L, 'end', 19L),"
         " named_struct('kind', 'email', 'start', 23L, 'end', 28L))"))
     assert df.select(redact(F.col("t"), F.col("s"))).first()[0] == "call [phone] or [email]!"
+
+
+def test_long_secrets_are_proposed_whole(spark):
+    long, key = "eyJ0." * 100, "sk-" + "a1B2" * 30
+    data = [(1, f"the token={long} ends"), (3, "token=" + "x" * 100_000)]
+    got = proposals(docs(spark, data)).filter("name = 'secret'").select("id", "m").collect()
+    assert sorted(map(tuple, got)) == [(1, f"token={long}"), (3, data[1][1])]
+    marked = [(4, f"key: 1, use {key} here")]
+    got = proposals(docs(spark, marked)).filter("name = 'secret'").select("id", "m").collect()
+    assert sorted(map(tuple, got)) == [(4, key)]
