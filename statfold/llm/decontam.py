@@ -5,7 +5,8 @@ item scores ``1`` against a passage that holds ``recall`` of its own score. Item
 and each term has its largest weight in every block. Every training document is read as overlapping
 passages; every passage is a query. A passage whose terms cannot reach the threshold in any block is
 skipped, then blocks that cannot, and only the items of the rest are scored: all above the threshold are
-retrieved, none is cut. The share of the item's word shingles that the passage holds decides a retrieved
+retrieved, none is cut. This is not block-max WAND (no pivots over posting cursors): the maxima of a passage's
+terms are summed for every block. The share of the item's word shingles that the passage holds decides a retrieved
 pair; the shares of its question and of its answer (its last sentence) are told beside it.
 """
 
