@@ -113,3 +113,15 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from statfold.llm.suffix import remove_repeats
     return remove_repeats(table(spark, sf_dir, "documents"), with_kept=False)
+
+
+@register("op11_byte_bpe")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from statfold.llm.bpe import decode, encode
+    ranks, pattern = tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    coded = encode(table(spark, sf_dir, "documents"), ranks, pattern)
+    coded = coded.withColumn("ids_sha256", F.sha2("ids", 256))
+    back = decode(coded, ranks, pattern, keep=("n_tokens", "ids_sha256"))
+    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
