@@ -125,3 +125,34 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = coded.withColumn("ids_sha256", F.sha2("ids", 256))
     back = decode(coded, ranks, pattern, keep=("n_tokens", "ids_sha256"))
     return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+NEGATIVES_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS y,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS aid, r.vec_id AS id, a.y = r.y AS same, list_dot_product(a.q, r.q)::BIGINT AS score
+  FROM v a JOIN v r ON a.vec_id <> r.vec_id WHERE a.vec_id % 50 = 0),
+p AS (
+  SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY aid ORDER BY score DESC, id) <= 5),
+n AS (
+  SELECT p.aid, p.id AS pid, p.score AS ps, s.id AS nid, s.score AS ns,
+         row_number() OVER (PARTITION BY p.aid, p.id ORDER BY s.score DESC, s.id) AS rank
+  FROM p JOIN s ON s.aid = p.aid AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT aid AS anchor_id, pid AS positive_id, rank::INTEGER AS rank, nid AS negative_id, ps AS positive_score,
+       ns AS negative_score
+FROM n WHERE rank <= 3
+"""
+
+
+@register("op13_hard_negatives", NEGATIVES_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from statfold.llm.negatives import hard_negatives, scaled
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    data = rows.select("vec_id", moved.alias("label"), scaled(rows, "embedding").alias("vec"))
+    return hard_negatives(data, F.col("vec_id") % 50 == 0, id_col="vec_id")
