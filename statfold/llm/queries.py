@@ -156,3 +156,92 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     data = rows.select("vec_id", moved.alias("label"), scaled(rows, "embedding").alias("vec"))
     return hard_negatives(data, F.col("vec_id") % 50 == 0, id_col="vec_id")
+
+
+def _repair_sql() -> str:
+    """Damage, faults, and the cheapest repair row by row (states e, s, u, a of a recursive query)."""
+    def add(way, cost, letter, line=None):
+        line = f"list_append({way}.t, {line})" if line else f"{way}.t"
+        return f"CASE WHEN {way} IS NOT NULL THEN {{'c': {way}.c + {cost}, 'a': {way}.a || '{letter}', 't': {line}}} END"
+
+    def least(*ways):
+        return f"list_sort(list_filter([{', '.join(ways)}], lambda x: x IS NOT NULL))[1]"
+    user, assistant = "'user:'", "'assistant:'"
+    kept = "r.role || ':' || r.text"
+
+    def taken(way, initial, line):
+        keep, change = add(way, "r.extra", "K", kept), add(way, "r.extra + 3", "R", f"{line} || r.text")
+        return f"CASE WHEN NOT r.removed THEN CASE WHEN r.initial = '{initial}' THEN {keep} ELSE {change} END END"
+    return f"""
+WITH RECURSIVE bits AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+                          lambda x, y: xor(x >> 1, (x & 1) * 3988292384)) ORDER BY i) AS t
+  FROM (SELECT unnest(range(256)) AS i)),
+keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+hashed AS (
+  SELECT keyed.*, xor(4294967295, list_reduce(
+           list_prepend(4294967295, list_transform(string_split(k, ''), lambda x: ascii(x)::BIGINT)),
+           lambda x, y: xor(x >> 8, t[(xor(x, y) & 255) + 1]))) % 20 AS kind
+  FROM keyed, bits),
+d AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM hashed WHERE kind <> 0),
+n AS (
+  SELECT *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body, role[1] AS initial,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth FROM d),
+f AS (
+  SELECT *, CASE WHEN body = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate'
+                 WHEN body[-1] NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+         lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM n),
+r AS (
+  SELECT conv_id, i, role, text, initial, fault IN ('blank', 'duplicate') AS removed,
+         CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS extra FROM f),
+dp AS (
+  SELECT conv_id, 0::BIGINT AS i, {{'c': 0, 'a': '', 't': []::VARCHAR[]}} AS e,
+         NULL::STRUCT(c INTEGER, a VARCHAR, t VARCHAR[]) AS s, NULL::STRUCT(c INTEGER, a VARCHAR, t VARCHAR[]) AS u,
+         NULL::STRUCT(c INTEGER, a VARCHAR, t VARCHAR[]) AS a
+  FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT r.conv_id, r.i, {add('w.e', 4, 'D')},
+         {least(add('w.s', 4, 'D'),
+                f"CASE WHEN r.initial = 's' AND NOT r.removed THEN {add('w.e', 'r.extra', 'K', kept)} END")},
+         {least(add('w.u', 4, 'D'), *[taken(f'w.{x}', 'u', user) for x in 'esa'])},
+         {least(add('w.a', 4, 'D'), taken('w.u', 'a', assistant))}
+  FROM (SELECT conv_id, i, e, s,
+               {least('dp.u', *[add(f'dp.{x}', 3, 'I', user) for x in 'esa'])} AS u,
+               {least('dp.a', add('dp.u', 3, 'I', assistant),
+                      *[add(f'({add(f"dp.{x}", 3, "I", user)})', 3, 'I', assistant) for x in 'es'])} AS a
+        FROM dp) w
+  JOIN r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1),
+last AS (
+  SELECT conv_id, {least('e', 'a', add('u', 3, 'I', assistant),
+                         add(f'({add("s", 3, "I", user)})', 3, 'I', assistant))} AS w
+  FROM dp QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+         count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM f GROUP BY conv_id)
+SELECT l.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, w.c::BIGINT AS cost, w.a AS audit,
+       sha256(array_to_string(w.t, chr(10))) AS repaired_sha256
+FROM last l LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM l.conv_id
+"""
+
+
+@register("op12_conversation_repair", _repair_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from statfold.llm.repair import SUMMARY, damaged, repair, summaries
+    rows = table(spark, sf_dir, "conversations")
+    found = summaries(repair(damaged(rows), together=True)).withColumnRenamed("conv_id", "found_id")
+    ids = rows.select("conv_id").distinct()
+    return ids.join(found, F.col("conv_id").eqNullSafe(F.col("found_id")), "left").select(
+        "conv_id", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in SUMMARY],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
