@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from statfold.operators import neighbors
@@ -46,3 +47,46 @@ def test_smote_points_lie_between_minority_neighbours(spark):
             if ok:
                 break
         assert ok
+
+
+@pytest.mark.parametrize("share", [65_536, 20])
+def test_hot_vectors_ties_and_few_rows(spark, monkeypatch, share):
+    """A third of all rows share one vector; cells smaller than k; fewer rows than k; blocks with many queries."""
+    monkeypatch.setattr(neighbors, "SHARE_ROWS", share)
+    rng = np.random.default_rng(3)
+    pts = [[5.0, 5.0] if i % 3 == 0 else [float(x) for x in rng.integers(-9, 10, 2)] for i in range(400)]
+    df = spark.createDataFrame([(i, p, i % 4) for i, p in enumerate(pts)], "id long, v array<double>, y int").repartition(5)
+    got = neighbors.nearest(df, df, "id", "v", "y", 30, block_rows=50, exclude_self=True).collect()
+    got = {(r["qid"], r["rank"]): r["rid"] for r in got}
+    m = np.array(pts)
+    for i in range(400):
+        d = ((m - m[i]) ** 2).sum(1)
+        order = [int(j) for j in np.lexsort((np.arange(400), d)) if j != i][:30]
+        assert [got[(i, k + 1)] for k in range(30)] == order
+    few = neighbors.nearest(df.where("id < 3"), df.where("id < 5"), "id", "v", None, 9, exclude_self=True)
+    assert {tuple(r) for r in few.groupBy("qid").count().collect()} == {(0, 4), (1, 4), (2, 4)}
+    assert neighbors.nearest(df, df.where("id < 0"), "id", "v", "y", 3).count() == 0
+    assert neighbors.nearest(df.where("id < 0"), df, "id", "v", "y", 3).count() == 0
+
+
+def test_clustered_rows_compare_a_fifth_of_all_pairs(spark):
+    rng = np.random.default_rng(8)
+    middle = rng.normal(size=(40, 8)) * 50
+    pts = middle[rng.integers(0, 40, 6000)] + rng.normal(size=(6000, 8))
+    df = spark.createDataFrame([(i, [float(x) for x in p], 0) for i, p in enumerate(pts)], "id long, v array<double>, y int")
+    looked = spark.sparkContext.accumulator(0)
+    q = df.where("id % 10 = 0")
+    got = neighbors.nearest(q, df, "id", "v", "y", 5, block_rows=1024, exclude_self=True, looked_at=looked).collect()
+    assert 0 < looked.value <= 600 * 6000 / 5
+    got = {(r["qid"], r["rank"]): r["rid"] for r in got}
+    for i in range(0, 6000, 10):
+        d = ((pts - pts[i]) ** 2).sum(1)
+        d[i] = np.inf
+        assert [got[(i, k + 1)] for k in range(5)] == np.argsort(d, kind="stable")[:5].tolist()
+
+
+def test_looks_only_inside_the_radius():
+    r = {"d": np.arange(1000.0), "id": np.arange(1000), "v": np.stack([np.arange(1000.0), np.zeros(1000)], 1)}
+    q = {"d": np.array([500.2]), "radius": np.array([2.5]), "v": np.array([[500.2, 0.0]]), "id": np.array([-1])}
+    i, j, d2, looked = neighbors.near_rows(q, r, 3, False, 1e-6)
+    assert j.tolist() == [500, 501, 499] and looked == 5
