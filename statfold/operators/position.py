@@ -9,10 +9,12 @@ bounded by the partition count, not by the data.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from statfold.session import BROADCAST_MAX_ROWS, broadcast_if_small, cut_lineage
 
@@ -109,13 +111,46 @@ def order_statistics(df: DataFrame, value: str, positions, groups: Sequence[str]
 
     ``positions`` are Column expressions of ``_n`` (the non-null group size);
     position ``h`` reads ``x[floor(h)] + (h - floor(h)) * (x[ceil(h)] - x[floor(h)])``.
+    The positions are found by counting value buckets (:mod:`statfold.operators.select`): a few
+    scans with map-side counts, nothing sorted or written. Where the groups are too many for
+    that, rows get global positions instead (:func:`sorted_statistics`). ``max_groups`` is a
+    known bound on the number of groups (e.g. the number of unpivoted columns).
+    """
+    from statfold.operators.select import NUMERIC, interpolated, values_at
+
+    groups = list(groups)
+    names = list(names or [f"p{i}" for i in range(len(positions))])
+    data = df.select(*groups, value).where(F.col(value).isNotNull())
+    if not isinstance(data.schema[value].dataType, NUMERIC):
+        return sorted_statistics(df, value, positions, groups, names, partitions, max_groups)
+    spark, read = df.sparkSession, {}
+
+    def places(n: int) -> list[float]:
+        if n not in read:
+            row = spark.range(1).select(F.lit(n).cast("long").alias("_n")).select(
+                *[h.cast("double").alias(f"h{i}") for i, h in enumerate(positions)]).first()
+            read[n] = [float(x) for x in row]
+        return read[n]
+    found = values_at(data, value, lambda n: [r for h in places(n) for r in (math.floor(h), math.ceil(h))], groups,
+                      bounded=not groups or (max_groups is not None and max_groups <= 1000))
+    if found is None:
+        return sorted_statistics(df, value, positions, groups, names, partitions, max_groups)
+    schema = T.StructType([*[df.schema[g] for g in groups], *[T.StructField(n, T.DoubleType()) for n in names]])
+    rows = [(*group, *[interpolated(at, h) for h in places(n)]) for group, (n, at) in found.items()]
+    return spark.createDataFrame(rows, schema)
+
+
+def sorted_statistics(df: DataFrame, value: str, positions, groups: Sequence[str] = (),
+                      names: Sequence[str] | None = None, partitions: int | None = None,
+                      max_groups: int | None = None) -> DataFrame:
+    """:func:`order_statistics` from global positions, for any number of groups.
+
     Rows get global positions under (groups, value); each group's first
     position and size come from a small aggregate, so the needed order
     statistics are a handful of global positions, fetched with a broadcast
     semi-join. No group is gathered into one task and no full-size join runs.
-    ``max_groups`` is a known bound on the number of groups (e.g. the number of
-    unpivoted columns); under it the needed positions are broadcast without
-    counting them first.
+    ``max_groups`` is a known bound on the number of groups; under it the needed
+    positions are broadcast without counting them first.
     """
     groups = list(groups)
     names = list(names or [f"p{i}" for i in range(len(positions))])
@@ -179,8 +214,6 @@ def running_sum(df: DataFrame, order_by, value, out, partitions: int | None = No
     broadcast. ``order_by`` must be a total order (as after a ``groupBy`` on
     the key).
     """
-    from pyspark.sql import types as T
-
     values = [value] if isinstance(value, str) else list(value)
     outs = [out] if isinstance(out, str) else list(out)
     keys = _cols(order_by)
@@ -229,8 +262,6 @@ def with_previous(df: DataFrame, order_by, value: str, out: str, partitions: int
     last value of the partition before it, from a table with one row per
     partition (broadcast).
     """
-    from pyspark.sql import types as T
-
     ranged = _ranged(df, _cols(order_by), _partitions(df, partitions), False)
     schema = T.StructType(ranged.schema.fields + [T.StructField(out, ranged.schema[value].dataType),
                                                   T.StructField("_pid", T.IntegerType()),

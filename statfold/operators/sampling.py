@@ -2,11 +2,15 @@
 
 Randomness is a hash of (seed, id), never ``rand()``: the same rows are
 chosen for any partitioning and on recomputation after a lost executor.
-Exact sizes come from global positions (:mod:`statfold.operators.position`).
+Exact sizes come from the row at the cut, found by counting buckets of the
+order key (:mod:`statfold.operators.select`): rows are then only filtered.
+Where equal rows lie on both sides of a cut, or the key is not numeric, rows
+get global positions instead (:mod:`statfold.operators.position`).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -14,6 +18,7 @@ from pyspark.sql import functions as F
 
 from statfold.functions.hashing import hash_uniform
 from statfold.operators.position import with_group_rank, with_position
+from statfold.operators.select import first_rows
 
 
 def with_hash_order(df: DataFrame, id_col: str, seed: int, col: str = "_u") -> DataFrame:
@@ -28,6 +33,9 @@ def exact_split(df: DataFrame, id_col: str, test_size: float = 0.25, seed: int =
     are the test set.
     """
     u = with_hash_order(df, id_col, seed)
+    cut = first_rows(u, ["_u", id_col], lambda n: [math.ceil(float(test_size) * n)])
+    if cut is not None:
+        return u.withColumn(out, F.when(cut[0], F.lit("test")).otherwise(F.lit("train"))).drop("_u")
     pos = with_position(u, ["_u", id_col], "_pos")
     n = pos.agg(F.count(F.lit(1)).alias("_n")).withColumn("_one", F.lit(1))
     joined = pos.withColumn("_one", F.lit(1)).join(F.broadcast(n), "_one")
@@ -52,11 +60,14 @@ def bernoulli_split(df: DataFrame, id_col: str, probs: Sequence[float] = (0.7, 0
 def sample_rows(df: DataFrame, id_col: str, n: int, seed: int = 42, topk_limit: int = 100_000) -> DataFrame:
     """SPL3 / TXT14: simple random sample of ``n`` rows without replacement.
 
-    Small ``n``: a top-k on the hash (no full sort). Large ``n``: positions.
+    Small ``n``: a top-k on the hash (no full sort). Large ``n``: the row at the cut.
     """
     u = with_hash_order(df, id_col, seed)
     if n <= topk_limit:
         return u.orderBy("_u", id_col).limit(n).drop("_u")
+    cut = first_rows(u, ["_u", id_col], lambda _: [n])
+    if cut is not None:
+        return u.where(cut[0]).drop("_u")
     return with_position(u, ["_u", id_col], "_pos").where(F.col("_pos") <= n).drop("_u", "_pos")
 
 
@@ -85,6 +96,12 @@ def kfold(df: DataFrame, id_col: str, k: int = 10, mode: str = "shuffled", seed:
         return ranked.withColumn(out, ((F.col("_r") - 1) % k).cast("int")).drop("_u", "_r")
     order = ["_u", id_col] if mode == "shuffled" else [id_col]
     base = with_hash_order(df, id_col, seed) if mode == "shuffled" else df
+    ends = first_rows(base, order, lambda n: [n // k * (i + 1) + min(i + 1, n % k) for i in range(k - 1)])
+    if ends is not None:
+        fold = F.lit(k - 1)
+        for i in reversed(range(k - 1)):
+            fold = F.when(ends[i], F.lit(i)).otherwise(fold)
+        return base.withColumn(out, fold.cast("int")).drop("_u")
     pos = with_position(base, order, "_pos")
     n = pos.agg(F.count(F.lit(1)).alias("_n")).withColumn("_one", F.lit(1))
     joined = pos.withColumn("_one", F.lit(1)).join(F.broadcast(n), "_one")
@@ -108,6 +125,10 @@ def prefix_percent(df: DataFrame, order_by: Sequence[str], percent: float, round
     """
     if not 1 <= percent <= 100:
         raise ValueError("percent must be within 1..100")
+    whole = (lambda n: math.floor(n * float(percent) / 100)) if rounding == "floor" else (lambda n: round(n * float(percent) / 100))
+    cut = first_rows(df, order_by, lambda n: [whole(n)])
+    if cut is not None:
+        return df.where(cut[0])
     pos = with_position(df, list(order_by), "_pos")
     n = pos.agg(F.count(F.lit(1)).alias("_n")).withColumn("_one", F.lit(1))
     raw = F.col("_n") * F.lit(float(percent)) / 100
@@ -119,6 +140,13 @@ def prefix_percent(df: DataFrame, order_by: Sequence[str], percent: float, round
 def prefix_slices(df: DataFrame, order_by: Sequence[str], bounds: dict[str, tuple[int, int]],
                   out: str = "slice") -> DataFrame:
     """SRC6: positional slices ``[lo, hi)`` (0-based) after any filter."""
+    flat = [b for pair in bounds.values() for b in pair]
+    cut = first_rows(df, order_by, lambda n: flat)
+    if cut is not None:
+        expr = F.lit(None).cast("string")
+        for i, name in reversed(list(enumerate(bounds))):
+            expr = F.when(cut[2 * i + 1] & ~cut[2 * i], F.lit(name)).otherwise(expr)
+        return df.withColumn(out, expr).where(F.col(out).isNotNull())
     pos = with_position(df, list(order_by), "_pos")
     expr = None
     for name, (lo, hi) in bounds.items():
