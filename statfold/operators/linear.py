@@ -375,16 +375,90 @@ def ridge_loo(frame: DataFrame, m: gram.Moments, xs: Sequence[str], y: str,
 
 def _subset_rss(m: gram.Moments, xs: Sequence[str], y: str, mask: int) -> float:
     cols = [x for i, x in enumerate(xs) if mask >> i & 1]
-    return _fit(m, cols, y)[1]
+    return _fit(m, _kept_columns(m, cols), y)[1]
+
+
+def _reverse_sweep(mats: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Take variable ``k[i]`` out of the swept matrix ``mats[i]``, for all at once."""
+    at = np.arange(len(mats))
+    col = mats[at, :, k]
+    d = col[at, k]
+    out = mats - col[:, :, None] * col[:, None, :] / d[:, None, None]
+    line = -col / d[:, None]
+    line[at, k] = -1 / d
+    out[at, k, :] = line
+    out[at, :, k] = line
+    return out
+
+
+def search_subsets(cross: np.ndarray, nvmax: int, batch: int = 512) -> tuple[dict[int, tuple[float, int]], int]:
+    """Best (residual sum, mask) of every size up to ``nvmax`` by branch and bound, and the subsets looked at.
+
+    ``cross`` is the (p + 1)-square matrix of centred cross-products, the response last. The search starts at all
+    variables and takes variables out. A subset's residual sum bounds those of all it contains, so a branch ends
+    where no size that it can still reach has a worse best. The variables of a branch are tried in the order of
+    what their loss costs: the largest sub-branches then lie below the dearest losses and end at once. Branches
+    wait as swept matrices and are advanced ``batch`` at a time; the one with the least residual sum goes first.
+    """
+    p = len(cross) - 1
+    scale = np.sqrt(np.where(np.diag(cross) > 0, np.diag(cross), 1))
+    mat = cross / np.outer(scale, scale)
+    tss = scale[p] ** 2
+    spread = np.linalg.eigvalsh(mat[:p, :p]) if p else np.ones(1)
+    if spread.min(initial=1.0) < 1e-10:   # dependent variables: the same bound holds for the penalised sum
+        mat = mat.copy()
+        mat[np.arange(p), np.arange(p)] += 1e-8
+    for k in range(p):
+        d, col = mat[k, k], mat[:, k].copy()
+        mat = mat - np.outer(col, col) / d
+        mat[k, :] = mat[:, k] = col / d
+        mat[k, k] = -1 / d
+    everything = (1 << p) - 1
+    best: dict[int, tuple[float, int]] = {p: (float(mat[p, p]), everything)}
+    looked = 1
+    # a first bound of every size by taking out the cheapest variable again and again
+    one, mask = mat[None], everything
+    for size in range(p - 1, 0, -1):
+        left = np.array([j for j in range(p) if mask >> j & 1])
+        cost = one[0, p, p] - one[0, left, p] ** 2 / one[0, left, left]
+        j = int(left[cost.argmin()])
+        one, mask = _reverse_sweep(one, np.array([j])), mask & ~(1 << j)
+        best[size] = (float(one[0, p, p]), mask)
+    waiting = [(mat, list(range(p)), everything, p)]   # matrix, variables that may go, subset, its size
+    while waiting:
+        waiting.sort(key=lambda w: -w[0][p, p])
+        nodes = waiting[-batch:]
+        del waiting[-batch:]
+        grown = []
+        for k, (own, free, mask, size) in enumerate(nodes):
+            if not _can_improve(best, own[p, p], size - len(free), size - 1, nvmax):
+                continue
+            loss = own[p, p] - own[free, p] ** 2 / own[free, free]
+            order = np.argsort(-loss, kind="stable").tolist()
+            for i, place in enumerate(order):
+                rss, less, rest = float(loss[place]), mask & ~(1 << free[place]), order[i + 1:]
+                looked += 1
+                if size > 1 and (rss, less) < best[size - 1]:
+                    best[size - 1] = (rss, less)
+                if rest and _can_improve(best, rss, size - 1 - len(rest), size - 2, nvmax):
+                    grown.append((k, free[place], [free[r] for r in rest], less, size - 1))
+        if grown:
+            mats = _reverse_sweep(np.stack([nodes[g[0]][0] for g in grown]), np.array([g[1] for g in grown]))
+            waiting += [(mats[i], *g[2:]) for i, g in enumerate(grown)]
+    return {size: (rss * tss, mask) for size, (rss, mask) in best.items() if size <= nvmax}, looked
+
+
+def _can_improve(best: dict, rss: float, least: int, most: int, nvmax: int) -> bool:
+    return any(best[size][0] > rss for size in range(max(1, least), min(most, nvmax) + 1))
 
 
 def best_subsets(m: gram.Moments, xs: Sequence[str], y: str, method: str = "exhaustive",
-                 nvmax: int | None = None, spark: SparkSession | None = None) -> pd.DataFrame:
+                 nvmax: int | None = None) -> pd.DataFrame:
     """REG14: best model per size with R2, adj R2, BIC (offset form) and Cp.
 
-    Exhaustive search evaluates the 2^p masks as a Spark job over
-    ``spark.range`` (the Gram is broadcast as p x p numbers); forward,
-    backward and sequential-replacement search are greedy on the driver.
+    The data are read once for the Gram matrix; every search works on those p x p numbers on the driver.
+    ``exhaustive`` finds what trying all subsets would, by branch and bound (:func:`search_subsets`);
+    forward, backward and sequential-replacement search are greedy.
     """
     xs = list(xs)
     p = len(xs)
@@ -392,25 +466,13 @@ def best_subsets(m: gram.Moments, xs: Sequence[str], y: str, method: str = "exha
     n = m.n
     iy = m.index([y])[0]
     tss = m.comoment[iy, iy]
-    full_rss = _fit(m, xs, y)[1]
+    full_rss = _subset_rss(m, xs, y, (1 << p) - 1)
     s2 = full_rss / (n - p - 1)
     best: dict[int, tuple[float, int]] = {}
     if method == "exhaustive":
-        if spark is None:
-            raise ValueError("exhaustive search needs a session")
-        payload = (m.names, m.n, m.mean.tolist(), m.comoment.tolist())
-
-        def score(it):
-            names, nn, mean, com = payload
-            mm = gram.Moments(list(names), nn, np.array(mean), np.array(com))
-            for pdf in it:
-                masks = pdf["id"].to_numpy()
-                rss = [_subset_rss(mm, xs, y, int(k)) for k in masks]
-                yield pd.DataFrame({"mask": masks, "size": [bin(int(k)).count("1") for k in masks], "rss": rss})
-        res = (spark.range(1, 1 << p).where(F.expr(f"bit_count(id) <= {nvmax}"))
-               .mapInPandas(score, "mask long, size long, rss double"))
-        top = res.groupBy("size").agg(F.min_by(F.struct("rss", "mask"), F.col("rss")).alias("b")).collect()
-        best = {int(r["size"]): (float(r["b"]["rss"]), int(r["b"]["mask"])) for r in top}
+        idx = m.index([*xs, y])
+        found, _ = search_subsets(m.comoment[np.ix_(idx, idx)], nvmax)
+        best = {size: (_subset_rss(m, xs, y, mask), mask) for size, (_, mask) in found.items()}
     else:
         chosen: list[int] = [] if method in ("forward", "seqrep") else list(range(p))
         if method in ("forward", "seqrep"):

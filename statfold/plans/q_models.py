@@ -141,10 +141,29 @@ def reg13_pcr_cv(spark, sf):
 def reg14_best_subsets(spark, sf):
     ch = _churn(spark, sf)
     m = gram.moments(ch, CHURN_NUM + ["churn"])
-    out = linear.best_subsets(m, CHURN_NUM, "churn", "exhaustive", spark=spark)
+    out = linear.best_subsets(m, CHURN_NUM, "churn", "exhaustive")
     return spark.createDataFrame(out)
 
 
+def _small_subsets_sql() -> str:
+    """R2 of every single variable and pair from correlations, and the best of either size."""
+    corr = ", ".join(f"corr({a}, {b}) AS r{i}_{j}" for i, a in enumerate(CHURN_NUM) for j, b in enumerate(CHURN_NUM) if i < j)
+    corr += ", " + ", ".join(f"corr({a}, churn) AS y{i}" for i, a in enumerate(CHURN_NUM))
+    ways = [f"SELECT 1 AS size, '{a}' AS variables, y{i} * y{i} AS r2 FROM c" for i, a in enumerate(CHURN_NUM)]
+    ways += [f"SELECT 2, '{a},{b}', (y{i} * y{i} + y{j} * y{j} - 2 * y{i} * y{j} * r{i}_{j}) / (1 - r{i}_{j} * r{i}_{j}) FROM c"
+             for i, a in enumerate(CHURN_NUM) for j, b in enumerate(CHURN_NUM) if i < j]
+    return f"""WITH c AS (SELECT {corr} FROM {standins.churn_sql()}), w AS ({' UNION ALL '.join(ways)})
+SELECT CAST(size AS BIGINT) AS size, variables, round(r2, 8) AS r2 FROM w
+QUALIFY row_number() OVER (PARTITION BY size ORDER BY r2 DESC) = 1"""
+
+
+@register("reg14_small_subsets", _small_subsets_sql())
+def reg14_small_subsets(spark, sf):
+    m = gram.moments(_churn(spark, sf), CHURN_NUM + ["churn"])
+    out = linear.best_subsets(m, CHURN_NUM, "churn", "exhaustive", nvmax=2)[["size", "variables", "r2"]]
+    return round_doubles(spark.createDataFrame(out), 8)
+
+
 @register("reg14_forward_backward")
 def reg14_forward_backward(spark, sf):
     ch = _churn(spark, sf)
