@@ -95,35 +95,113 @@ def pcr_cv(train: DataFrame, cols: Sequence[str], y: str, fold_col: str, scale:
     return pd.DataFrame(rows, columns=["k", "cv_rmse", "mean_fold_rmse"]), p
 
 
+def _assigned(centers: np.ndarray, schema):
+    """mapInArrow body: per centre of every restart the count and sums of its rows, and their squared distances."""
+    import pyarrow as pa
+
+    def run(batches):
+        runs, k, d = centers.shape
+        count, total, cost = np.zeros((runs, k), np.int64), np.zeros((runs, k, d)), np.zeros((runs, k))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            for r in range(runs):
+                apart = np.stack([((x - c) ** 2).sum(axis=1) for c in centers[r]], axis=1)
+                near = apart.argmin(axis=1)
+                count[r] += np.bincount(near, minlength=k)
+                cost[r] += np.bincount(near, apart[np.arange(len(x)), near], minlength=k)
+                for j in range(d):
+                    total[r, :, j] += np.bincount(near, x[:, j], minlength=k)
+        yield pa.RecordBatch.from_arrays([
+            pa.array(np.repeat(np.arange(runs, dtype=np.int32), k)), pa.array(np.tile(np.arange(k, dtype=np.int32), runs)),
+            pa.array(count.ravel()), pa.array(cost.ravel()), *[pa.array(total[:, :, j].ravel()) for j in range(d)]],
+            schema=schema)
+    return run
+
+
+def lloyd_together(rows: DataFrame, starts: np.ndarray, max_iter: int = 300, tol: float = 0.0):
+    """k-means from every start at once: (centres, cost of each run, passes over the rows).
+
+    ``rows`` has numeric columns without nulls, ``starts`` is runs x k x columns. A pass assigns each row to the
+    nearest centre of every run that still moves and sums counts and coordinates per task, so only
+    runs x k sums a task are shuffled. A run whose centres move by at most ``tol`` (squared, in all) is measured
+    once more and drops out. A centre without rows stays where it is.
+    """
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+    runs, k, d = starts.shape
+    schema = T.StructType([T.StructField("r", T.IntegerType()), T.StructField("j", T.IntegerType()),
+                           T.StructField("n", T.LongType()), T.StructField("cost", T.DoubleType()),
+                           *[T.StructField(f"s{i}", T.DoubleType()) for i in range(d)]])
+    centers, cost = starts.astype(float).copy(), np.full(runs, np.inf)
+    live, settled, passes = list(range(runs)), set(), 0
+    while live:
+        found = rows.mapInArrow(_assigned(centers[live], to_arrow_schema(schema)), schema).groupBy("r", "j").agg(
+            F.sum("n").alias("n"), F.sum("cost").alias("cost"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(d)]).collect()
+        passes += 1
+        count, total, spent = np.zeros((len(live), k)), np.zeros((len(live), k, d)), np.zeros(len(live))
+        for row in found:
+            count[row["r"], row["j"]] = row["n"]
+            total[row["r"], row["j"]] = [row[f"s{i}"] for i in range(d)]
+            spent[row["r"]] += row["cost"]
+        still = []
+        for at, r in enumerate(live):
+            cost[r] = spent[at]
+            if r in settled:
+                continue
+            moved = np.where(count[at][:, None] > 0, total[at] / np.maximum(count[at], 1)[:, None], centers[r])
+            shift = ((moved - centers[r]) ** 2).sum()
+            if shift == 0:
+                continue
+            centers[r] = moved
+            if shift <= tol or passes >= max_iter:
+                settled.add(r)
+            still.append(r)
+        live = still
+    return centers, cost, passes
+
+
+START_POOL = 4_096   # rows, chosen by hash, from which the starts are drawn
+
+
+def random_starts(rows: DataFrame, k: int, restarts: int, seed: int = 0) -> np.ndarray:
+    """``restarts`` draws of k different rows out of a pool of at most ``START_POOL`` rows."""
+    cols = rows.columns
+    pool = rows.withColumn("_h", F.xxhash64(F.lit(seed), *cols)).orderBy("_h").limit(START_POOL).drop("_h").toPandas()
+    points = np.unique(pool.to_numpy(dtype=float).reshape(len(pool), len(cols)), axis=0)
+    k = min(k, len(points))
+    return np.stack([points[np.random.default_rng([seed, r]).choice(len(points), k, replace=False)] for r in range(restarts)])
+
+
 def kmeans_best_of(df: DataFrame, features: Sequence[str], k: int = 2, restarts: int = 10, max_iter: int = 300,
                    tol: float = 1e-4, seed: int = 0, scale: bool = True):
-    """CLU1: k-means with random init, the lowest-cost of ``restarts`` MLlib fits.
+    """CLU1: k-means with random starts, the lowest-cost of ``restarts`` runs, all of which share each pass.
 
-    Returns (assignments DataFrame with ``cluster``, centroids pandas frame, cost).
+    ``tol`` is relative to the mean variance of the features. Returns (assignments DataFrame with ``cluster``,
+    centroids pandas frame, cost). Rows with a null or NaN feature are left out.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-
-    data = df
     cols = list(features)
     if scale:
         from statfold.operators.scale import standardize
-        data = standardize(df, cols, ddof=0)
-    vec = VectorAssembler(inputCols=cols, outputCol="_features", handleInvalid="skip").transform(data)
-    vec = vec.persist()
-    best = None
-    for r in range(restarts):
-        model = KMeans(k=k, initMode="random", maxIter=max_iter, tol=tol, seed=seed + r,
-                       featuresCol="_features", predictionCol="cluster").fit(vec)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[1]:
-            best = (model, cost)
-    model, cost = best
-    out = model.transform(vec).drop("_features")
-    centers = pd.DataFrame([list(c) for c in model.clusterCenters()], columns=cols)
-    centers.insert(0, "cluster", range(len(centers)))
-    vec.unpersist()
-    return out, centers, float(cost)
+        df = standardize(df, cols, ddof=0)
+    keep = F.lit(True)
+    for c in cols:
+        keep = keep & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    data = df.where(keep)
+    rows = data.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)]).persist()
+    variance = rows.agg(*[F.var_pop(c).alias(c) for c in rows.columns]).first()
+    starts = random_starts(rows, k, restarts, seed)
+    centers, cost, _ = lloyd_together(rows, starts, max_iter, tol * float(np.mean([v or 0.0 for v in variance])))
+    rows.unpersist()
+    best = int(cost.argmin())
+    apart = F.array(*[sum((F.pow(F.col(c).cast("double") - F.lit(float(x)), 2) for c, x in zip(cols, center)), F.lit(0.0))
+                      for center in centers[best]])
+    out = data.withColumn("_apart", apart).withColumn(
+        "cluster", (F.array_position("_apart", F.array_min("_apart")) - 1).cast("int")).drop("_apart")
+    frame = pd.DataFrame(centers[best], columns=cols)
+    frame.insert(0, "cluster", range(len(frame)))
+    return out, frame, float(cost[best])
 
 
 def explained_variance_check(p: Pca) -> float:

@@ -1,4 +1,4 @@
-"""MLlib-backed model queries (REG8, REG10-11, ML1-2, ML14-17, SNK1, UDF*) and file sources (SRC1, SRC3-4, SRC8)."""
+"""Model queries (REG8, REG10-11, ML1-2, ML14-17, SNK1, UDF*) and file sources (SRC1, SRC3-4, SRC8)."""
 
 from __future__ import annotations
 
@@ -78,11 +78,42 @@ def ml1_random_forest(spark, sf):
     return evaluate.accuracy(pred, "_label", "prediction")
 
 
+_EXAM_FEATURES = ["ugpa", "gpa", "fam_inc", "tier"]
+
+
+@register("reg8_first_split", f"""
+WITH t AS (
+  SELECT l_extendedprice / 1000 AS lsat, l_discount * 40 AS ugpa, l_tax * 50 + l_discount * 10 AS gpa,
+         l_linenumber::DOUBLE AS fam_inc, (l_partkey % 6 + 1)::DOUBLE AS tier
+  FROM lineitem),
+m AS (SELECT avg(lsat) AS mean, count(*) AS rows FROM t),
+runs AS (
+  SELECT f, v, count(*) AS n, sum(y) AS s FROM (
+    {" UNION ALL ".join(f"SELECT {i} AS f, {c} AS v, lsat - mean AS y FROM t, m" for i, c in enumerate(_EXAM_FEATURES))})
+  GROUP BY f, v),
+c AS (
+  SELECT f, (v + lead(v) OVER w) / 2 AS threshold, v, sum(n) OVER w AS ln, sum(s) OVER w AS ls,
+         sum(n) OVER (PARTITION BY f) AS n, sum(s) OVER (PARTITION BY f) AS s
+  FROM runs WINDOW w AS (PARTITION BY f ORDER BY v)),
+g AS (
+  SELECT *, ls * ls / ln + (s - ls) * (s - ls) / (n - ln) - s * s / n AS gain
+  FROM c, m WHERE ln >= ceil(0.1 * rows) AND n - ln >= ceil(0.1 * rows))
+SELECT ['ugpa', 'gpa', 'fam_inc', 'tier'][f + 1] AS feature, round(threshold, 6) AS threshold, ln::BIGINT AS n_left,
+       (n - ln)::BIGINT AS n_right, round(gain, 3) AS gain
+FROM g ORDER BY gain DESC, f, v LIMIT 1
+""")
+def reg8_first_split(spark, sf):
+    tree = trees.regression_tree(standins.exam(Tables(spark, sf).lineitem), _EXAM_FEATURES, "lsat", 1, 0.1)
+    top = tree.frame(spark)
+    sides = top.where("depth = 1").agg(F.min_by("n", "node").alias("n_left"), F.max_by("n", "node").alias("n_right"))
+    return top.where("depth = 0").join(sides).select("feature", F.round("threshold", 6).alias("threshold"), "n_left",
+                                                     "n_right", F.round("gain", 3).alias("gain"))
+
+
 @register("reg8_regression_tree")
 def reg8_regression_tree(spark, sf):
     ex = sampling.exact_split(standins.exam(Tables(spark, sf).lineitem), "id", 0.2, 42)
-    feats = ["ugpa", "gpa", "fam_inc", "tier"]
-    model = trees.regression_tree(ex.where(F.col("split") == "train"), feats, "lsat", 4, 0.1)
+    model = trees.regression_tree(ex.where(F.col("split") == "train"), _EXAM_FEATURES, "lsat", 4, 0.1)
     pred = model.transform(ex.where(F.col("split") == "test"))
     from statfold.operators.linear import mse
     return mse(pred, "lsat", "prediction")

@@ -215,7 +215,7 @@ def pca2_scores(spark, sf):
 @register("clu1_kmeans")
 def clu1_kmeans(spark, sf):
     ex = _exam(spark, sf)
-    _, centers, cost = reduce.kmeans_best_of(ex, ["lsat", "ugpa", "gpa"], k=2, restarts=3, seed=1)
+    _, centers, cost = reduce.kmeans_best_of(ex, ["lsat", "ugpa", "gpa"], k=2, restarts=10, seed=1)
     centers["cost"] = cost
     return spark.createDataFrame(centers)
 
