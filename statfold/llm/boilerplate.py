@@ -1,7 +1,8 @@
 """Main text of HTML pages by two-pass block rules.
 
 A page is cut at its block-level tags. What stands in menus, page headers, footers, sidebars, forms and the
-like goes by its markup. Of the other blocks the first pass decides the clear ones by link density, length
+like goes by its element; what a class, id or role calls so goes too, unless it turns out to hold the main element,
+or most of the text of a page without a marked article: names are habits, not facts. Of the other blocks the first pass decides the clear ones by link density, length
 and stop-word density; in the second the short ones take the label of their nearest decided neighbours.
 """
 
@@ -53,16 +54,30 @@ ad ads adsense advert advertisement advertising adverts banner breadcrumb breadc
 cookies copyright disclaimer disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice
 notification overlay pager pagination popup promo promoted promotion recommended related replies reply respond search
 share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar topbar widget
-alert alertdialog complementary contentinfo form
+alert alertdialog complementary contentinfo
+""".split())
+#: words that stand beside them in a name without changing what it says
+PLACE_WORDS = frozenset("""
+site page main global top bottom left right primary secondary post article entry section block box container wrapper
+list area inner outer bar item items sticky fixed mobile desktop js id
+""".split())
+#: reader comments, which may well be longer than the article
+COMMENT_WORDS = frozenset("comment comments disqus replies reply respond".split())
+DROP_ROLES = frozenset("""
+alert alertdialog banner complementary contentinfo dialog form menu menubar navigation note search toolbar tooltip
 """.split())
 HEADER_WORDS = frozenset("header".split())
+MOST = 0.5   # share of the page's text above which a wrapper is kept whatever it is called
 
-_TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)"""
-    r"""(?P<attrs>(?:[^>"']++|"[^"]{0,4000}+"|'[^']{0,4000}+')*+)>"""
-    r"""|<(?P<close2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""", re.S)
-_HINT = re.compile(r"""\b(class|id|role)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++))""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?(?:false|until))|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_COMMENT = r"<!--.*?(?:-->|\Z)"
+_PLAIN_TAG = r"<(?P<close2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)"
+_TAG = re.compile(_COMMENT + r"""|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)"""
+                  r"""(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|""" + _PLAIN_TAG, re.S)
+# once a quote has run to the end of the page, later tags end at their first >: reading on is linear
+_LOOSE_TAG = re.compile(_COMMENT + "|(?P<close>(?!))(?P<name>)(?P<attrs>)|" + _PLAIN_TAG, re.S)
+_ATTR = re.compile(r"""([^\s"'=<>/]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"']++)))?""")
+_NAMED = re.compile(r"hidden|class|id|role|style", re.I)
+_NONE = re.compile(r"display\s*:\s*none", re.I)
 _SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -70,32 +85,54 @@ _WORD = re.compile(r"[^\W\d_]+")
 @dataclass
 class Block:
     text: str
-    links: int         # characters in links
-    container: bool    # inside article or main
+    links: int               # characters in links
+    container: bool          # inside article or main
+    named: tuple[int, ...]   # the wrappers around it that are called something else than text
 
 
-def _dropped(name: str, attrs: str, inside: bool) -> bool:
-    """True for elements whose tag, class, id or role says that they hold no article text."""
-    if name in DROP_TAGS or (name == "header" and not inside):
-        return True
-    if not attrs or "=" not in attrs and "hidden" not in attrs.lower():
-        return False
-    if _HIDDEN.search(attrs):
-        return True
-    if name in ("html", "body", "main"):
-        return False
-    for key, *values in _HINT.findall(attrs):
-        value = "".join(values)
-        found = {w.lower() for w in _SPLIT.split(value)}
-        if found & DROP_WORDS or (not inside and found & HEADER_WORDS) or (key.lower() == "role" and value.lower() == "banner"):
-            return True
-    return False
+@dataclass
+class Wrapper:
+    """An element whose name says that it holds no article text."""
+    comments: bool
+    main: bool = False   # holds the main element
+    mass: int = 0        # characters of running text
+
+
+def _named(name: str, attrs: str, inside: bool) -> Wrapper | None:
+    """The element as a wrapper if its attributes say that it holds no article text.
+
+    Only whole names count: each word of a class or id must be such a word or one of place.
+    """
+    if name in ("html", "body", "main") or not attrs or not _NAMED.search(attrs):
+        return None
+    for key, *values in _ATTR.findall(attrs):
+        key, value = key.lower(), "".join(values)
+        if key == "hidden" and value.lower() not in ("false", "until-found"):
+            return Wrapper(False)
+        if (key == "aria-hidden" and value.strip().lower() == "true") or (key == "style" and _NONE.search(value)):
+            return Wrapper(False)
+        if key == "role" and value.strip().lower() in DROP_ROLES:
+            return Wrapper(False)
+        if key in ("class", "id"):
+            for token in value.split():
+                words = {w.lower() for w in _SPLIT.split(token) if w}
+                told = words & DROP_WORDS or (not inside and words & HEADER_WORDS)
+                if told and words <= DROP_WORDS | PLACE_WORDS | HEADER_WORDS:
+                    return Wrapper(bool(words & COMMENT_WORDS))
+    return None
+
+
+def _dropped(name: str, inside: bool) -> bool:
+    """True for elements that hold no article text."""
+    return name in DROP_TAGS or (name == "header" and not inside)
 
 
 def blocks(page: str) -> list[Block]:
     """Text blocks of a page in order, without those that go by their markup."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # (element, dropped, container) of what is open
+    wrappers: list[Wrapper] = []
+    stack: list[tuple[str, bool, bool, tuple]] = []  # (element, dropped, container, wrappers) of what is open
+    tags = _TAG
     count: dict[str, int] = {}  # open elements by name
     parts: list[str] = []
     linked: list[str] = []
@@ -109,11 +146,11 @@ def blocks(page: str) -> list[Block]:
             text = " ".join((_html.unescape(raw) if "&" in raw else raw).split())
             if text:
                 link = " ".join(_html.unescape("".join(linked)).split())
-                out.append(Block(text, len(link), bool(stack) and stack[-1][2]))
+                out.append(Block(text, len(link), bool(stack) and stack[-1][2], stack[-1][3] if stack else ()))
             parts, linked = [], []
 
     while at < end:
-        m = _TAG.search(page, at)
+        m = tags.search(page, at)
         stop = m.start() if m else end
         if stop > at and not (stack and stack[-1][1]):
             parts.append(page[at:stop])
@@ -125,6 +162,8 @@ def blocks(page: str) -> list[Block]:
         name = (m["name"] or m["name2"] or "").lower()
         if not name:
             continue
+        if m["name2"]:
+            tags = _LOOSE_TAG
         if name == "br":
             parts.append(" ")
             continue
@@ -138,9 +177,9 @@ def blocks(page: str) -> list[Block]:
                 if stack[k][0] == name:
                     if name not in BLOCK_TAGS and any(x[0] in BLOCK_TAGS for x in stack[k + 1:]):
                         break  # a stray end of an inline element closes no block
-                    if stack[-1][2] != (k > 0 and stack[k - 1][2]) or stack[-1][1]:
+                    if stack[-1][1:] != (stack[k - 1][1:] if k else (False, False, ())):
                         close()
-                    for x, _, _ in stack[k:]:
+                    for x, *_ in stack[k:]:
                         count[x] -= 1
                     del stack[k:]
                     break
@@ -159,13 +198,41 @@ def blocks(page: str) -> list[Block]:
             count[name] -= 1
         held = bool(stack) and stack[-1][2]
         container = held or name in ("article", "main")
-        gone = bool(stack and stack[-1][1]) or _dropped(name, attrs, held)
-        if gone and not (stack and stack[-1][1]):
+        gone, around = (stack[-1][1], stack[-1][3]) if stack else (False, ())
+        if not gone and _dropped(name, held):
+            gone = True
             close()
-        stack.append((name, gone, container))
+        if not gone:
+            wrapper = _named(name, attrs, held)
+            if name == "main":
+                for w in around:
+                    wrappers[w].main = True
+            if wrapper:
+                close()
+                around = (*around, len(wrappers))
+                wrappers.append(wrapper)
+        stack.append((name, gone, container, around))
         count[name] = count.get(name, 0) + 1
     close()
-    return out
+    return _kept(out, wrappers)
+
+
+def _kept(found: list[Block], wrappers: list[Wrapper]) -> list[Block]:
+    """The blocks outside all wrappers, and those in wrappers that hold the main element or most of the text.
+
+    How much a wrapper holds counts only where no article or main element stands outside all wrappers.
+    """
+    if not wrappers:
+        return found
+    total = 0
+    for b in found:
+        size = len(b.text) if b.links <= LINK_DENSITY * len(b.text) else 0
+        total += size
+        for w in b.named:
+            wrappers[w].mass += size
+    marked = any(b.container and not b.named for b in found)
+    kept = [w.main or not marked and (w.mass >= total if w.comments else w.mass > MOST * total) for w in wrappers]
+    return [b for b in found if all(kept[w] for w in b.named)]
 
 
 def stop_density(text: str) -> float:
@@ -184,10 +251,20 @@ def _first_pass(b: Block) -> bool | None:
     return None
 
 
+def _marked(found: list[Block]) -> bool:
+    """True if article and main elements hold the larger share of the running text (a teaser does not)."""
+    if not any(b.container for b in found):
+        return False
+    running = [b for b in found if b.links <= LINK_DENSITY * len(b.text)]
+    spoken = [b for b in running if stop_density(b.text) >= STOP_DENSITY] or running
+    inside = sum(len(b.text) for b in spoken if b.container)
+    return 2 * inside >= sum(len(b.text) for b in spoken)
+
+
 def main_text(page: str) -> str:
     """The article of a page: its blocks joined by one space, empty if there is none."""
     found = blocks(page)
-    if any(b.container for b in found):  # a marked article: what stands outside it is not part of it
+    if _marked(found):  # what stands outside the article is not part of it
         found = [b for b in found if b.container]
     first = [_first_pass(b) for b in found]
     before, after, last = [], [], None
@@ -213,8 +290,9 @@ def main_text(page: str) -> str:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Rows (id, url, text, n_chars), one per page: the main text of the whole html.
 
-    Null and empty pages, and pages without an article, have an empty text. Null ids and urls, repeated
-    rows and extra columns are ordinary.
+    Null and empty pages, and pages without an article, have an empty text; an empty table gives an empty one.
+    Null ids and urls, repeated rows and extra columns are ordinary. Pages of any length are read whole, in time
+    that grows with the length. Between equally near neighbours of different kinds a short block counts as text.
     """
     schema = T.StructType([field(pages, id_col, id_col), field(pages, url_col, url_col),
                            T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])

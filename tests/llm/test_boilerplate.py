@@ -1,6 +1,8 @@
 import html
 import re
+import time
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -74,3 +76,80 @@ def test_pages_of_the_fixture(spark):
         body = re.search(r"<article>(.*?)</article>", p.html, re.S)[1]
         plain = re.sub(r"<(?!/?b>)[^>]+>", " ", body)
         assert main_text(p.html) == " ".join(html.unescape(re.sub(r"</?b>", "", plain)).split())
+
+
+ARTICLE = " ".join(["The report of the city says that the river was higher than it has been in many years."] * 3)
+
+
+@pytest.mark.parametrize("open_, close", [
+    ('<body style="overflow:hidden">', "</body>"), ('<body class="no-js overflow-hidden">', "</body>"),
+    ('<div class="hidden-xs">', "</div>"), ('<article class="post comments-open">', "</article>"),
+    ('<article id="related-work">', "</article>"), ('<div class="has-sidebar">', "</div>"),
+    ('<div id="content" class="social-news">', "</div>"), ('<section class="form">', "</section>"),
+    ('<div class="nav-tabs-content">', "</div>"), ('<div class="modal">', "</div>"), ("<div hidden>", "</div>"),
+    ('<div class="sidebar"><main>', "</main></div>"), ('<body class="comments">', "</body>"),
+    ('<div data-note="hidden">', "</div>"), ('<div title="class=ad">', "</div>")])
+def test_no_article_is_lost_for_a_name(open_, close):
+    assert main_text(f"<html><nav>Menu</nav>{open_}<p>{ARTICLE}</p>{close}<footer>f</footer></html>") == ARTICLE
+
+
+def test_named_parts_go():
+    parts = ['<div class="site-footer">', '<div id="cookie-banner">', '<div class="post-comments">', "<p hidden>",
+             '<div style="color:red; display : none">', '<section role="complementary">', '<ul class="mainNav">',
+             '<div class="a breadcrumb b">', '<div aria-hidden="true">', '<article class="comment">']
+    page = "".join(f"{x}The other text of the page is not of it.</{x[1:].split()[0].rstrip('>')}>" for x in parts)
+    assert main_text(f"<div><p>{ARTICLE}</p>{page}<p>{ARTICLE}</p></div>" + f"<p>{ARTICLE}</p>" * 4) == " ".join([ARTICLE] * 6)
+
+
+def test_comments_longer_than_the_article():
+    page = f'<article><p>{ARTICLE}</p></article><section class="comments">' + f"<article><p>{ARTICLE}</p></article>" * 9
+    assert main_text(page) == ARTICLE
+    assert main_text(f"<p>{ARTICLE}</p><div id=comments>" + f"<p>I read the whole of it and it is {ARTICLE}</p>" * 9) == ARTICLE
+
+
+def test_a_teaser_is_not_the_article():
+    page = f"<p>{ARTICLE}</p><p>{ARTICLE}</p><article><p>The teaser of a related page.</p></article>"
+    assert main_text(page) == f"{ARTICLE} {ARTICLE} The teaser of a related page."
+
+
+def test_long_attributes():
+    value = "x > y " * 5_000
+    assert main_text(f'<article data-x="{value}"><p title=\'{value}\'>{ARTICLE}</p></article>') == ARTICLE
+    assert main_text(f'<p>{ARTICLE}</p><p title="{ARTICLE}') == ARTICLE
+
+
+def test_time_grows_with_the_page():
+    unit = f'<div class="x"><p title="a > b">{ARTICLE}</p></div><p title=\'">\'>'
+
+    def took(page):
+        start = time.process_time()
+        main_text(page)
+        return time.process_time() - start
+    assert took(unit * 8_000) < 16 * max(took(unit * 1_000), 0.02)
+    took('<a title=">" ' * 50_000 + '"')
+
+
+WORDS = ["the", "of", "and", "is", "that", "river", "city", "report", "water", "in"]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["p", "h2", "li", "nav", "footer", "aside", "ad", "links", "script"]),
+                          st.integers(1, 60)), min_size=1, max_size=12), st.randoms(use_true_random=False))
+def test_generated_pages_equal_a_plain_reading(parts, rnd):
+    """Pages of marked-up parts inside an article; a plain reading keeps the paragraphs, headings and items."""
+    page, want = [], []
+    for kind, n in parts:
+        text = " ".join(rnd.choice(WORDS) for _ in range(n))
+        if kind in ("p", "h2", "li"):
+            page.append(f"<{kind} class='c{n}'>{text}</{kind}>")
+            want.append(text)
+        elif kind == "links":
+            page.append("<nav>" + "".join(f"<a href='{w}'>{w}</a> " for w in text.split()) + "</nav>")
+        else:
+            page.append(f"<div class='ad'>{text}</div>" if kind == "ad" else f"<{kind}>{text}</{kind}>")
+    body = "".join(f"<p>{ARTICLE}</p>{x}" for x in page)
+    text = [ARTICLE, *sum(([w, ARTICLE] for w in want), [])]
+    got = main_text(f"<html><body><article>{body}</article></body></html>")
+    plain = " ".join([x for p, kind in zip(page, parts) for x in
+                      ([ARTICLE, re.sub("<[^>]+>", "", p)] if kind[0] in ("p", "h2", "li") else [ARTICLE])])
+    assert got == plain and set(text) <= {ARTICLE, *want}
