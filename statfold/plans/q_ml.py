@@ -10,7 +10,7 @@ from statfold.operators import evaluate, freq, glm, sampling, score, trees
 from statfold.plans.common import round_doubles
 from statfold.plans.registry import Tables, register
 from statfold.session import scratch_path
-from statfold.sources import dataset, files, standins
+from statfold.sources import archives, dataset, files, standins
 
 CHURN_TERMS = ["credit_score", "C(country)", "C(gender)", "age", "tenure", "balance", "products_number",
                "credit_card", "active_member", "estimated_salary"]
@@ -240,6 +240,19 @@ def src4_document_files(spark, sf):
         F.md5(F.regexp_replace("text", r"\n$", "")).alias("text_md5"))
 
 
+@register("src4_document_archives", """
+SELECT page_id, octet_length(encode(html)) AS bytes, md5(html) AS text_md5 FROM pages
+""")
+def src4_document_archives(spark, sf):
+    path = scratch_path(spark, "archives")
+    pages = Tables(spark, sf).pages.select(F.concat(F.lit("page/"), F.col("page_id"), F.lit(".html")).alias("name"), "html")
+    archives.write_archives(pages, path, "name", "html")
+    docs = archives.read_archives(spark, path)
+    return docs.where(~F.col("rejected")).select(
+        F.regexp_extract("member", r"^page/([0-9]+)\.html$", 1).cast("long").alias("page_id"), "bytes",
+        F.md5("text").alias("text_md5"))
+
+
 @register("udf3_model_callable")
 def udf3_model_callable(spark, sf):
     """A user model per batch: nearest class centroid (centroids from a Spark aggregate)."""
