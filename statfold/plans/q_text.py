@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from statfold.functions.hashing import sql_hash_uniform
-from statfold.operators import ngram, rouge, sampling, text
+from statfold.operators import ngram, phrases, rouge, sampling, text
 from statfold.plans.common import round_doubles
 from statfold.plans.registry import Tables, register
 from statfold.sources import dataset
@@ -146,6 +146,55 @@ def agg15_entity_sets(spark, sf):
                        F.array_join("entities", "|").alias("entities"))
 
 
+_CANDIDATES_SQL = r"""
+WITH runs AS (
+  SELECT doc_id, regexp_split_to_array(lower(unnest(regexp_extract_all(text,
+         '\p{Lu}[\p{L}\p{N}]*(?:[ \t]+\p{Lu}[\p{L}\p{N}]*)+'))), '[ \t]+') AS r FROM documents),
+grams AS (
+  SELECT doc_id, r[i:i + n - 1] AS w, n
+  FROM (SELECT doc_id, r, n, unnest(range(1, len(r) - n + 2)) AS i FROM runs, (VALUES (2), (3), (4)) AS x(n))),
+cand AS (
+  SELECT array_to_string(w, ' ') AS phrase, n AS n_words, count(*) AS n, count(DISTINCT doc_id) AS docs
+  FROM grams WHERE len(list_distinct(w)) = n GROUP BY 1, 2)"""
+
+
+@register("txt9_phrase_candidates", _CANDIDATES_SQL + """
+SELECT phrase, n_words, n, docs FROM cand
+""")
+def txt9_phrase_candidates(spark, sf):
+    return phrases.candidate_counts(Tables(spark, sf).documents, "doc_id", "text")
+
+
+@register("txt9_named_phrases", _CANDIDATES_SQL + r""",
+frequent AS (SELECT * FROM cand WHERE docs >= 3),
+tokens AS (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS part FROM documents),
+parts AS (
+  SELECT part, count(*) AS m FROM tokens GROUP BY 1 UNION ALL SELECT phrase, n FROM frequent),
+cuts AS (
+  SELECT phrase, n_words, n, docs, array_to_string(w[1:k], ' ') AS a, array_to_string(w[k + 1:], ' ') AS b
+  FROM (SELECT *, string_split(phrase, ' ') AS w, unnest(range(1, n_words)) AS k FROM frequent)),
+kept AS (
+  SELECT phrase, n_words, n, docs, min(ln(n::DOUBLE * total / (pa.m * pb.m)) / -ln(n::DOUBLE / total)) AS npmi
+  FROM cuts JOIN parts pa ON pa.part = a JOIN parts pb ON pb.part = b, (SELECT count(*) AS total FROM tokens)
+  GROUP BY ALL HAVING npmi >= 0.3)
+SELECT phrase, n_words, n, docs, round(npmi, 6) AS npmi FROM kept k
+WHERE coalesce((SELECT max(o.n) FROM kept o WHERE o.phrase <> k.phrase AND contains(' ' || o.phrase || ' ', ' ' || k.phrase || ' ')), 0)
+      < 0.8 * n
+""")
+def txt9_named_phrases(spark, sf):
+    found = phrases.mine_phrases(Tables(spark, sf).documents, "doc_id", "text")
+    return found.withColumn("npmi", F.round("npmi", 6))
+
+
+@register("agg15_name_sets")
+def agg15_name_sets(spark, sf):
+    docs = Tables(spark, sf).documents
+    names = phrases.tag_phrases(docs, "doc_id", "text", phrases.mine_phrases(docs, "doc_id", "text"))
+    sets = text.entity_sets(text.entities(docs, "doc_id", "text").unionByName(names), "doc_id")
+    return sets.select("doc_id", "label", F.size("entities").alias("n_entities"),
+                       F.array_join("entities", "|").alias("entities"))
+
+
 def _summary_sql(source: str) -> str:
     return f"""
 WITH s0 AS (SELECT doc_id, unnest(regexp_extract_all(text, '{text.SENTENCE}')) AS raw,
