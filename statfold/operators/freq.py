@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from statfold.operators.heavy import most_frequent
+
 
 def with_total(df: DataFrame, value: str, out: str = "total") -> DataFrame:
     """Append the column total of ``value`` to every row (one-row broadcast)."""
@@ -115,7 +117,7 @@ def period_end_label(df: DataFrame, key: str, out: str = "period_end") -> DataFr
 
 def top_values(df: DataFrame, col: str, n: int = 10) -> DataFrame:
     """TOP1: the n most frequent values; ties broken by value ascending."""
-    return value_counts(df, col).orderBy(F.desc("n"), F.asc(col)).limit(n)
+    return most_frequent(df, col, n)
 
 
 def histogram(df: DataFrame, col: str, bins: int = 10, edges: str = "minmax",
@@ -168,10 +170,9 @@ def word_frequencies(df: DataFrame, text: str, stop_words: Sequence[str] = (), n
     if stop_words:
         stop = words.sparkSession.createDataFrame([(w,) for w in stop_words], "word string")
         words = words.join(F.broadcast(stop), "word", "left_anti")
-    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     if n is not None:
-        counts = counts.orderBy(F.desc("n"), F.asc("word")).limit(n)
-    return counts
+        return most_frequent(words, "word", n)
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def fill_missing_levels(counts: DataFrame, key, levels: DataFrame, value: str = "n",
