@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statfold.llm.common import ascii_lower
+from statfold.llm.common import ascii_lower, cut_pieces
 from statfold.operators.position import with_position
 from statfold.session import broadcast_if_small, cut_lineage
 
@@ -21,8 +21,7 @@ BLOCK_CHARS = 4096
 
 def _blocks(norm: Column, block: int) -> Column:
     """The text's fixed-size blocks; an empty text has one empty block."""
-    starts = F.sequence(F.lit(0), F.greatest(F.length(norm) - 1, F.lit(0)), F.lit(block))
-    return F.transform(starts, lambda s: F.substring(norm, s + 1, block))
+    return cut_pieces(norm, block)
 
 
 def _named(rows: DataFrame, keys: list[str], partitions: int | None = None) -> DataFrame:

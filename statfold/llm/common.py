@@ -20,6 +20,25 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
+def cut_pieces(text: Column, size: int) -> Column:
+    """The text in pieces of ``size`` characters, the last one shorter; an empty text is one empty piece.
+
+    ``substring`` reads from the text's start, so cutting a long text at once would take square time. It is cut
+    into large pieces first, those into smaller ones, and so on.
+    """
+    def pieces_of(whole: Column, n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(whole), F.lit(1)), F.lit(n))
+        return F.transform(starts, lambda s: F.substring(whole, s, n))
+
+    def nested(whole: Column, n: int) -> Column:
+        if n <= size:
+            return pieces_of(whole, size)
+        return F.flatten(F.transform(pieces_of(whole, n), lambda p: nested(p, n // 16)))
+    long_, longer = nested(text, size * 16), nested(text, size * 16 ** 3)
+    return (F.when(F.length(text) <= 16 * size, pieces_of(text, size))
+            .when(F.length(text) <= size * 16 ** 3, long_).otherwise(longer))
+
+
 def field(df: DataFrame, name: str, alias: str) -> T.StructField:
     return T.StructField(alias, df.schema[name].dataType, True)
 

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from statfold.llm.common import cut_pieces
 from statfold.session import broadcast_if_small, cut_lineage
 
 SEGMENT_CHARS = 32_768
@@ -48,8 +49,7 @@ def _uuid(key: Column) -> Column:
 
 def _cut(text: Column, size: int) -> Column:
     """The text in pieces of ``size`` characters; none of an empty text."""
-    starts = F.when(F.length(text) > 0, F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), F.lit(size)))
-    return F.transform(F.coalesce(starts, F.array().cast("array<int>")), lambda s: F.substring(text, s, size))
+    return F.when(F.length(text) > 0, cut_pieces(text, size)).otherwise(F.array().cast("array<string>"))
 
 
 def _http(payload: Column) -> Column:
@@ -110,23 +110,59 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 
 
 def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers by lower-case name, block) of each record of an archive's bytes."""
+    """(headers by lower-case name, block) of each record of an archive's bytes.
+
+    Bytes that are no whole record (cut short, a wrong length, without a needed header) are given as one pair whose
+    only header is ``error``; reading goes on at the next record.
+    """
     at = 0
     while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8").split(_EOL)
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
-        fields = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
-        fields = {k.lower(): v for k, v in fields.items()}
-        start = end + 4
-        stop = start + int(fields["content-length"])
-        if data[stop:stop + 4] != b"\r\n\r\n":
-            raise ValueError(f"record at byte {at} has a wrong length")
+        try:
+            fields, start = _head(data, at)
+            stop = start + int(fields["content-length"])
+            if data[stop:stop + 4] != b"\r\n\r\n":
+                raise ValueError("record cut short" if stop + 4 > len(data) else "record with a wrong length")
+        except ValueError as e:
+            again = at
+            while True:
+                again = data.find(b"\r\n\r\nWARC/", again)
+                again = len(data) if again < 0 else again + 4
+                if again == len(data) or _starts(data, again):
+                    break
+            yield {"error": f"{e} at byte {at}"}, data[at:again]
+            at = again
+            continue
         yield fields, data[start:stop]
         at = stop + 4
 
 
+def _head(data: bytes, at: int) -> tuple[dict[str, str], int]:
+    """Headers of the record at ``at`` and where its block begins; ValueError if it has not the needed ones."""
+    end = data.find(b"\r\n\r\n", at)
+    if end < 0:
+        raise ValueError("record without an end of its headers")
+    lines = data[at:end].decode("utf-8").split(_EOL)
+    if not lines[0].startswith("WARC/"):
+        raise ValueError("no record")
+    fields = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
+    fields = {k.lower(): v for k, v in fields.items()}
+    for name in ("warc-type", "warc-record-id", "content-length"):
+        if name not in fields:
+            raise ValueError(f"record without {name}")
+    for name in ("content-length", "warc-segment-number", "warc-segment-total-length"):
+        if name in fields and not (fields[name].isascii() and fields[name].isdigit()):
+            raise ValueError(f"{name} is no number")
+    return fields, end + 4
+
+
+def _starts(data: bytes, at: int) -> bool:
+    try:
+        _head(data, at)
+    except ValueError:
+        return False
+    return True
+
+
 def dechunk(body: bytes) -> bytes:
     """The content of chunked transfer framing; ValueError if it is broken."""
     out, at = [], 0
@@ -157,7 +193,7 @@ _RECORD = T.StructType([*[T.StructField(x, T.StringType()) for x in _FIELDS],
                         T.StructField("origin", T.StringType()), T.StructField("number", T.IntegerType()),
                         T.StructField("total", T.LongType()), T.StructField("block", T.BinaryType()),
                         T.StructField("payload_bytes", T.LongType()), T.StructField("payload_digest", T.StringType()),
-                        T.StructField("payload", T.BinaryType())])
+                        T.StructField("payload", T.BinaryType()), T.StructField("error", T.StringType())])
 
 
 def _decoded(block: bytes, keep: bool) -> tuple:
@@ -175,6 +211,9 @@ def _parse(keep: bool, schema: pa.Schema):
             for content in batch.column(0):
                 rows, size = [], 0
                 for f, block in records(content.as_py()):
+                    if "error" in f:
+                        rows.append((None,) * (len(schema) - 1) + (f["error"],))
+                        continue
                     kind = f["warc-type"]
                     number = int(f["warc-segment-number"]) if "warc-segment-number" in f else None
                     origin = (f.get("warc-segment-origin-id") or f["warc-record-id"]) if number else None
@@ -183,7 +222,8 @@ def _parse(keep: bool, schema: pa.Schema):
                     whole = (None, None, None) if number or kind == "revisit" else _decoded(block, keep)
                     rows.append((f["warc-record-id"], kind, f.get("warc-target-uri"), f.get("x-page"),
                                  f.get("x-refers-to-page"), f.get("warc-payload-digest", "").removeprefix("sha1:") or None,
-                                 origin, number, int(total) if total else None, block if number else None, *whole))
+                                 origin, number, int(total) if total else None, block if number else None, *whole,
+                                 _fault(kind, number, f.get("warc-payload-digest", ""), whole)))
                     size += len(block)
                     if size > 16 << 20:
                         yield _batch(rows, schema)
@@ -193,13 +233,22 @@ def _parse(keep: bool, schema: pa.Schema):
     return run
 
 
+def _fault(kind: str, number: int | None, stated: str, whole: tuple) -> str | None:
+    """What is wrong with a record that is read whole."""
+    if number or kind == "revisit":
+        return None
+    if whole[1] is None:
+        return "broken framing"
+    return "payload differs from its digest" if stated and stated.removeprefix("sha1:") != whole[1] else None
+
+
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
 _WHOLE = T.StructType([*[T.StructField(x, T.StringType()) for x in _FIELDS],
                        T.StructField("payload_bytes", T.LongType()), T.StructField("payload_digest", T.StringType()),
-                       T.StructField("payload", T.BinaryType())])
+                       T.StructField("payload", T.BinaryType()), T.StructField("error", T.StringType())])
 
 
 def _reassemble(keep: bool, schema: pa.Schema):
@@ -210,7 +259,8 @@ def _reassemble(keep: bool, schema: pa.Schema):
         whole = ([r["number"] for r in rows] == list(range(1, len(rows) + 1))
                  and rows[-1]["total"] == len(block))
         got = _decoded(block, keep) if whole else (None, None, None)
-        values = [*[first[x] for x in _FIELDS], *got]
+        fault = _fault("response", None, first["stated_digest"] or "", got) if whole else "segments missing or of another length"
+        values = [*[first[x] for x in _FIELDS], *got, fault]
         return pa.Table.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema)], schema=schema)
     return one
 
@@ -219,8 +269,11 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
     """Records of the archives under ``path``: one row per response or revisit.
 
     record_id, record_type, url, page, refers_to, stated_digest (of the header), payload_bytes,
-    payload_digest and payload, the last three of the decoded payload. They are null for a revisit, and for
-    a response whose segments are not all there, do not add up to the total length, or have broken framing.
+    payload_digest, payload and error. Payload and the two before it are of the decoded payload; they are null for a
+    revisit, and for a response whose segments are not all there, do not add up to the total length, or have broken
+    framing. ``error`` says so, and tells of a payload that differs from the digest in its header; bytes that are no
+    whole record are a row with ``error`` alone. An empty folder gives no rows. Blocks may be of any length; the
+    segments of one record are brought together.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
@@ -234,10 +287,13 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
 
 
 def resolve(found: DataFrame) -> DataFrame:
-    """Give revisits the length and digest of the payload they refer to."""
-    answers = (found.filter("record_type = 'response'").groupBy(F.col("page").alias("refers_to"))
-               .agg(F.first("payload_bytes").alias("b"), F.first("payload_digest").alias("d")))
-    own = found.filter("record_type <> 'revisit'")
-    again = (found.filter("record_type = 'revisit'").drop("payload_bytes", "payload_digest")
-             .join(answers, "refers_to", "left").withColumnsRenamed({"b": "payload_bytes", "d": "payload_digest"}))
+    """Give revisits the length and digest of the payload they refer to (null if it is not there)."""
+    # a page id may stand for several payloads: the header's digest says which one is meant
+    answers = (found.filter("record_type = 'response' and payload_digest is not null")
+               .groupBy(F.col("page").alias("ap"), F.col("payload_digest").alias("d")).agg(F.max("payload_bytes").alias("b")))
+    revisit = F.coalesce(F.col("record_type") == "revisit", F.lit(False))
+    own = found.filter(~revisit)
+    again = (found.filter(revisit).drop("payload_bytes", "payload_digest")
+             .join(answers, (F.col("refers_to") == F.col("ap")) & (F.col("stated_digest") == F.col("d")), "left").drop("ap")
+             .withColumnsRenamed({"b": "payload_bytes", "d": "payload_digest"}))
     return own.unionByName(again)

@@ -61,3 +61,29 @@ def test_sql_agrees_with_brute_force():
     documents = pd.DataFrame({"doc_id": [1, 2, 3, 4], "text": ["A b", "a B", None, ""]})  # noqa: F841
     got = duckdb.sql(EXACT_SQL).fetchall()
     assert sorted(got, key=str) == brute([(1, "A b"), (2, "a B"), (3, None), (4, "")])
+
+
+def test_pieces_of_any_length(spark):
+    from pyspark.sql import functions as F
+
+    from statfold.llm.common import cut_pieces
+    texts = ["", "a", "aé😀" * 5, "x" * 48, "xyz" * 300, "0123456789" * 5_000]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    got = [r[0] for r in df.select(cut_pieces(F.col("t"), 3)).collect()]
+    assert got == [[t[k:k + 3] for k in range(0, max(len(t), 1), 3)] for t in texts]
+
+
+def test_time_grows_with_the_text(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from statfold.llm.common import cut_pieces
+
+    def took(n):
+        df = spark.range(1).select(F.repeat(F.lit("abcdefgh"), F.lit(n // 8) + F.col("id").cast("int")).alias("t"))
+        start = time.time()
+        assert df.select(F.size(cut_pieces(F.col("t"), 4096))).first()[0] == n // 4096
+        return time.time() - start
+    took(1 << 20)
+    assert took(1 << 25) < 12 * max(took(1 << 22), 0.5)

@@ -109,3 +109,40 @@ def test_empty_table(spark, tmp_path):
     path = str(tmp_path / "a")
     write_archives(_pages(spark, []), path)
     assert _read(spark, path) == []
+
+
+def _one(kind, rid, body, *more):
+    lines = [b"WARC/1.1", b"WARC-Type: " + kind, b"WARC-Record-ID: " + rid, *more, b"Content-Length: " + str(len(body)).encode()]
+    return b"\r\n".join(lines) + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+
+def test_broken_records_are_rows(spark, tmp_path):
+    body = b"HTTP/1.1 200 OK\r\n\r\nhello"
+    good = [_one(b"response", b"<%d>" % k, body) for k in range(4)]
+    data = (good[0] + good[1].replace(b"WARC-Type: response\r\n", b"") + b"garbage\r\n\r\n" + good[2]
+            + good[3].replace(b"Content-Length: 24", b"Content-Length: 9") + _one(b"response", b"<5>", body, b"WARC-Payload-Digest: sha1:AAAA")
+            + good[0].replace(b"Content-Length: 24", b"Content-Length: x") + _one(b"response", b"<6>", body)[:-20])
+    (tmp_path / "part-0").write_bytes(data)
+    (tmp_path / "part-1").write_bytes(b"WARC/1.1\r\nWARC-Type: resp")
+    (tmp_path / "part-2").write_bytes(b"")
+    got = rows(read_archives(spark, str(tmp_path)), "record_id", "payload_bytes", "error")
+    assert [(a, b) for a, b, _ in got if a] == [("<0>", 5), ("<2>", 5), ("<5>", 5)]
+    assert [c for a, _, c in got if a == "<5>"] == ["payload differs from its digest"]
+    told = sorted(c.split(" at byte")[0] for a, _, c in got if not a)
+    assert told == ["content-length is no number", "record cut short", "record with a wrong length",
+                    "record without an end of its headers", "record without warc-type"]
+    assert [r for r in resolve(read_archives(spark, str(tmp_path))).collect() if r.error is None and not r.payload_bytes] == []
+
+
+def test_revisits_of_an_id_with_several_payloads(spark, tmp_path):
+    data = [(1, "u", "first payload"), (1, "u", "other"), (2, "v", "other"), (3, "w", "first payload")]
+    path = str(tmp_path / "a")
+    write_archives(_pages(spark, data), path)
+    assert _read(spark, path) == brute(data)
+
+
+def test_long_pages(spark, tmp_path):
+    path = str(tmp_path / "a")
+    data = [(1, "u", "äb c" * 2_000_000), (2, "u", "x")]
+    write_archives(_pages(spark, data), path)
+    assert _read(spark, path) == brute(data)
