@@ -40,7 +40,7 @@ K1, B = 1.2, 0.75
 
 
 class Leaders:
-    """Profiles of sampled documents; ``route`` names a document's place among them."""
+    """Profiles of sampled documents; ``routes`` names a document's place among them."""
 
     def __init__(self, samples: list[np.ndarray], most: int = LEADERS):
         found = [np.unique(x, return_counts=True) for x in samples]
@@ -62,22 +62,31 @@ class Leaders:
             chain.append(int(np.argmax(np.where(left, near[chain[-1]], -1))) if chain else 0)
             left[chain[-1]] = False
         self.profile = np.ascontiguousarray(profile[chain].T)  # a term's weights lie together
+        self.row_idf = self.idf[vocab]
 
     def _weights(self, terms: np.ndarray, counts: np.ndarray, length: int) -> np.ndarray:
         return self.idf[terms] * (counts * (K1 + 1) / (counts + K1 * (1 - B + B * length / self.mean))).astype(np.float32)
 
-    def route(self, ids: np.ndarray) -> int:
-        """Places of the three nearest leaders, nearest first, as one number."""
-        terms, counts = np.unique(ids, return_counts=True)
-        known = terms < len(self.row)
-        known[known] = self.row[terms[known]] >= 0
-        terms, counts = terms[known], counts[known]
-        near = self._weights(terms, counts, len(ids)) @ self.profile[self.row[terms]]
-        out = 0
-        for _ in range(min(3, len(near))):
-            k = int(np.argmax(near))
+    def routes(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Of documents with ``sizes`` ids each: places of the three nearest leaders, nearest first, as one number."""
+        vocab = max(1, len(self.profile))
+        row = np.append(self.row, -1)[np.minimum(ids, len(self.row))].astype(np.int64)
+        key = np.sort((np.repeat(np.arange(len(sizes)) * vocab, sizes) + row)[row >= 0])
+        at = np.flatnonzero(np.diff(key, prepend=-1))
+        doc, row = np.divmod(key[at], vocab)
+        tf = np.diff(np.append(at, len(key))).astype(np.float32)
+        norm = (K1 * (1 - B + B * sizes / self.mean)).astype(np.float32)
+        weight = self.row_idf[row] * tf * np.float32(K1 + 1) / (tf + norm[doc])
+        near = np.zeros((len(sizes), self.profile.shape[1]), np.float32)
+        ends = np.searchsorted(doc, np.arange(len(sizes) + 1))
+        for k, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
+            if b > a:
+                near[k] = weight[a:b] @ self.profile[row[a:b]]
+        out, every = np.zeros(len(sizes), np.int64), np.arange(len(sizes))
+        for _ in range(min(3, near.shape[1])):
+            k = near.argmax(axis=1)
             out = out << 16 | k
-            near[k] = -1
+            near[every, k] = -1
         return out
 
 
@@ -89,29 +98,28 @@ class Pool:
         self.start = np.array([s for _, _, s in docs], np.int64)
         self.left = np.array([len(x) - s for _, x, s in docs], np.int64)
         n = len(docs)
-        terms, counts, owner = [], [], []
-        for k, (_, x, s) in enumerate(docs):
-            t, c = np.unique(x[s:], return_counts=True)
-            terms.append(t)
-            counts.append(c)
-            owner.append(np.full(len(t), k, np.int64))
-        self.doc_terms = terms
-        flat, tf, doc = (np.concatenate(x) if n else np.empty(0, np.int64) for x in (terms, counts, owner))
-        order = np.argsort(flat, kind="stable")
-        flat, tf, self.post_doc = flat[order], tf[order].astype(np.float64), doc[order]
-        self.vocab, first = np.unique(flat, return_index=True)
-        self.first = np.append(first, len(flat))
+        # one sort of (term, document): its runs are the postings, term by term
+        owner = np.repeat(np.arange(n), self.left)
+        key = np.concatenate([x[s:] for _, x, s in docs]).astype(np.int64) if n else np.empty(0, np.int64)
+        key = np.sort(key * max(1, n) + owner)
+        at = np.flatnonzero(np.diff(key, prepend=-1))
+        flat, self.post_doc = np.divmod(key[at], max(1, n))
+        tf = np.diff(np.append(at, len(key))).astype(np.float64)
+        self.first = np.append(np.flatnonzero(np.diff(flat, prepend=-1)), len(flat))
+        self.vocab = flat[self.first[:-1]]
         df = np.diff(self.first)
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * self.left / max(1.0, float(self.left.mean()) if n else 1.0))
         self.post_w = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[self.post_doc])
 
     def scores(self, k: int) -> np.ndarray:
-        at = np.searchsorted(self.vocab, self.doc_terms[k])
-        a, b = self.first[at], self.first[at + 1]
-        sizes = b - a
-        take = np.repeat(a - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(int(sizes.sum()))
-        return np.bincount(self.post_doc[take], self.post_w[take], minlength=len(self.docs))
+        _, ids, start = self.docs[k]
+        at = np.searchsorted(self.vocab, np.unique(ids[start:]))
+        runs = [slice(a, b) for a, b in zip(self.first[at].tolist(), self.first[at + 1].tolist())]
+        if not runs:
+            return np.zeros(len(self.docs))
+        return np.bincount(np.concatenate([self.post_doc[r] for r in runs]),
+                           np.concatenate([self.post_w[r] for r in runs]), minlength=len(self.docs))
 
 
 def _fill(pool: Pool, window: int, emit, last: bool) -> list[tuple[int, np.ndarray, int]]:
@@ -150,16 +158,15 @@ def _router(tokenizer: str, end_id: int, shared, schema: pa.Schema):
     """Token ids of (id, text, row), as 2 or 4 bytes each, and the route by which documents meet."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, leaders = encoder(tokenizer), shared.value
-        tail = np.array([end_id], np.uint32).tobytes()
         for batch in pieces(batches, 1, 2 << 20):
-            packed, wide, route, size = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                ids = np.frombuffer(enc.packed(text) + tail, np.uint32)
-                wide.append(bool(ids.max() > 0xFFFF))
-                packed.append(ids.tobytes() if wide[-1] else ids.astype(np.uint16).tobytes())
-                route.append(leaders.route(ids))
-                size.append(len(ids))
-            cols = [batch.column(0), pa.array(packed, pa.binary()), pa.array(wide), pa.array(size), pa.array(route),
+            flat, sizes = enc.batch(batch.column(1).cast(pa.string()))
+            flat = np.insert(flat, np.cumsum(sizes), end_id)
+            sizes = sizes + 1
+            each = np.split(flat, np.cumsum(sizes)[:-1])
+            wide = [bool(x.max() > 0xFFFF) for x in each]
+            packed = [x.tobytes() if w else x.astype(np.uint16).tobytes() for x, w in zip(each, wide)]
+            size, route = pa.array(sizes), pa.array(leaders.routes(flat, sizes))
+            cols = [batch.column(0), pa.array(packed, pa.binary()), pa.array(wide), size, route,
                     batch.column(2)]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, schema)], schema=schema)
     return run
@@ -168,8 +175,10 @@ def _router(tokenizer: str, end_id: int, shared, schema: pa.Schema):
 def _leaders(rows: DataFrame, tokenizer: str) -> Leaders:
     """Leaders of a table of (id, text): about ``SAMPLE`` rows chosen by hash, equal texts once."""
     step = max(1, rows.count() // SAMPLE)
-    chosen = rows.filter(F.pmod(F.xxhash64(*rows.columns), F.lit(step)) == 0).limit(4 * SAMPLE)
-    texts = {x[0] for x in chosen.select(F.substring("_text", 1, SAMPLE_CHARS)).collect()}
+    place = F.xxhash64(*rows.columns)
+    chosen = rows.select(place.alias("place"), F.substring("_text", 1, SAMPLE_CHARS).alias("start")).filter(
+        F.pmod("place", F.lit(step)) == 0)
+    texts = {x.start for x in chosen.orderBy("place", "start").limit(4 * SAMPLE).collect()}
     enc = encoder(tokenizer)
     # ordered by a hash, so the first of them are no special ones
     return Leaders([np.frombuffer(enc.packed(x), np.uint32) for x in

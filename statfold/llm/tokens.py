@@ -12,27 +12,30 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from statfold.llm.common import field, pieces
+from statfold.llm.common import cut_pieces, field, pieces
 from statfold.session import cut_lineage
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 CHUNK_CHARS = 65_536
 OVERLAP_CHARS = 1_024
-CACHE_WORDS, CACHE_RUNS = 120_000, 200_000  # entries in each of two generations: under 100 MB a worker
+CACHE_WORDS = 120_000  # entries in each of two generations: under 100 MB a worker
+_END = "</w>"
 AGREE = 2  # tokens on either side of a splice that must be the same in both encodings
 
-# ASCII white space that every supported tokenizer treats as a separator
-_WORDS = re.compile(r"[ \t\n\r]+")
-# one run of Latin letters, then marks: two pieces whatever surrounds them (apostrophes take part in suffix rules)
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
+# words of these characters alone are normalised by lower-casing; others are left to the library
+_PLAIN = re.compile("[\x00-\x7fÀ-ÖØ-öø-ÿ]*")
+# the tokenizer's split pattern on such words, lower-cased, one a line
+_PIECE = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|\n|[^ \t\n\r\x0b\x0c0-9a-zß-öø-ÿ]+")
 
 
 def _byte_chars() -> dict[int, str]:
@@ -76,16 +79,30 @@ class Encoder:
             steps = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
             splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
             # white space is dropped and no piece crosses it: words can be encoded one by one
-            self.by_word = (steps == ["NFC", "Replace", "Lowercase"] and splits[0].get("type") == "Split"
+            self.by_word = _ordered(spec["model"]) and (steps == ["NFC", "Replace", "Lowercase"] and splits[0].get("type") == "Split"
                             and splits[0].get("behavior") == "Removed" and splits[0].get("invert") is True
                             and r"\s" in json.dumps(splits[0]["pattern"]) and len(splits) == 2
                             and splits[1].get("type") == "ByteLevel" and not splits[1].get("add_prefix_space"))
+            if self.by_word:
+                self._rank(spec["model"]["vocab"])
         else:
             import sentencepiece
             self.kind, self.tok = "model", sentencepiece.SentencePieceProcessor(model_file=path)
             self.by_word = False
-        self.words, self.runs = Cache(CACHE_WORDS), Cache(CACHE_RUNS)
-        self.bytes = _byte_chars()
+        self.words = Cache(CACHE_WORDS)
+
+    def _rank(self, vocab: dict[str, int]) -> None:
+        """The same merges as ranks of byte strings, a word's end being a blank.
+
+        A token is merged from its own bytes in one way, whatever stands around it, so taking the pair with the
+        smallest id is taking the first of the merges, which stand in the order of the ids they give.
+        """
+        import tiktoken
+        back = {c: b for b, c in _byte_chars().items()}
+        ranks = {bytes(map(back.__getitem__, t.removesuffix(_END))) + b" " * t.endswith(_END): i
+                 for t, i in vocab.items() if not t.startswith("<|")}
+        self.ranks = tiktoken.Encoding("word ends", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
+        self.line = ranks[b"\n "]
 
     def ids(self, text: str) -> list[int]:
         if self.kind == "json":
@@ -113,43 +130,75 @@ class Encoder:
             return 0 < at < len(text) and text[at - 1] in " \n\t\r" and text[at] not in " \n\t\r"
         return 1 < at < len(text) - 1 and text[at] == " " and _hard(text[at - 1]) and _hard(text[at + 1])
 
-    def _run(self, run: str) -> bytes:
-        got = self.runs.get(run)
-        if got is None:
-            mapped = "".join(map(self.bytes.__getitem__, run.encode()))
-            got = b"".join(t.id.to_bytes(4, "little") for t in self.tok.model.tokenize(mapped))
-            self.runs.put(run, got)
-        return got
-
-    def _word(self, word: str) -> bytes:
-        plain = _PLAIN.fullmatch(word)
-        if plain and "<|" not in word:
-            run, marks = plain.groups()
-            got = (self._run(run.lower()) if run else b"") + (self._run(marks) if marks else b"")
-        else:
-            got = b"".join(x.to_bytes(4, "little") for x in self.ids(word))
-        self.words.put(word, got)
-        return got
+    def _plain_ids(self, lines: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of plain characters, one a line, one after another, and how many each has."""
+        ids = np.array(self.ranks.encode_ordinary(" ".join(_PIECE.findall(lines.lower())) + " "), np.uint32)
+        marks = ids == self.line  # a line's end is a piece of its own and one token
+        return ids[~marks], np.diff(np.flatnonzero(marks), prepend=-1) - 1
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words without white space, one after another, and how many each has."""
+        if not len(words):
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
+        lines = pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), "\n")[0].as_py() + "\n"
+        if "<|" not in lines and _PLAIN.fullmatch(lines):
+            return self._plain_ids(lines)
+        words = lines.split("\n")[:-1]
+        plain = [k for k, w in enumerate(words) if "<|" not in w and _PLAIN.fullmatch(w)]
+        parts: list = [None] * len(words)
+        if plain:
+            ids, counts = self._plain_ids("\n".join(words[k] for k in plain) + "\n")
+            for k, part in zip(plain, np.split(ids, np.cumsum(counts)[:-1])):
+                parts[k] = part
+        for k, w in enumerate(words):
+            if parts[k] is None:
+                parts[k] = self.words.get(w)
+                if parts[k] is None:
+                    parts[k] = np.array(self.ids(w), np.uint32)
+                    self.words.put(w, parts[k])
+        return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+
+    def _lookup(self, texts: pa.Array):
+        """Of texts: the number of words of each, the place of each word among the different ones, and those' ids."""
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        return (pc.list_value_length(split).to_numpy(zero_copy_only=False), coded.indices.to_numpy(zero_copy_only=False),
+                *self._words(coded.dictionary))
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many texts, one after another, and how many each has; each different word is encoded once."""
+        if not self.by_word:
+            each = [self.ids(t) for t in texts.to_pylist()]
+            return np.array(list(chain.from_iterable(each)), np.uint32), np.array([len(x) for x in each], np.int64)
+        words, place, ids, size = self._lookup(texts)
+        sizes = size[place]
+        ends = np.cumsum(sizes)
+        shift = (np.cumsum(size) - size)[place] - (ends - sizes)  # from a place in the output to one in ids
+        ends = np.append(0, ends)[np.append(0, np.cumsum(words))]
+        return ids[np.repeat(shift, sizes) + np.arange(ends[-1])], np.diff(ends)
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """Number of ids of each text."""
+        if not self.by_word:
+            return np.array([len(self.ids(t)) for t in texts.to_pylist()], np.int64)
+        words, place, _, size = self._lookup(texts)
+        return np.diff(np.append(0, np.cumsum(size[place]))[np.append(0, np.cumsum(words))])
 
     def packed(self, text: str) -> bytes:
         """The ids as little-endian 32-bit integers."""
-        if not self.by_word:
-            return b"".join(x.to_bytes(4, "little") for x in self.ids(text))
-        new, get, word = self.words.new, self.words.get, self._word
-        # str.split also cuts at these four, which the tokenizer keeps
-        odd = "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
-        words = _WORDS.split(text) if odd else text.split()
-        out = list(map(new.get, words))
-        if None in out:
-            for k, x in enumerate(out):
-                if x is None:
-                    w = words[k]
-                    y = get(w)
-                    out[k] = word(w) if y is None else y
-        return b"".join(out)
+        return self.batch(pa.array([text], pa.string()))[0].tobytes()
 
     def count(self, text: str) -> int:
-        return len(self.packed(text)) // 4 if self.by_word else len(self.ids(text))
+        return int(self.counts(pa.array([text], pa.string()))[0])
+
+
+def _ordered(model: dict) -> bool:
+    """True if a model merges bytes to words with ends, and its merges stand in the order of the ids they give."""
+    if model.get("type") != "BPE" or model.get("end_of_word_suffix") != _END or model.get("continuing_subword_prefix"):
+        return False
+    vocab, pairs = model["vocab"], [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    made = [vocab["".join(m).removesuffix(_END) + _END * m[1].endswith(_END)] for m in pairs]
+    return not model.get("dropout") and not model.get("ignore_merges") and all(a < b for a, b in zip(made, made[1:]))
 
 
 def _hard(c: str) -> bool:
@@ -207,12 +256,14 @@ def _chunk_counts(path: str, schema: pa.Schema, overlap: int):
 
 def _spliced(long_docs: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame:
     """(key, tokens or null where a seam found no common boundary) of documents cut into chunks."""
-    n = F.col("n_chars")
-    starts = F.sequence(F.lit(0).cast("long"), F.greatest(n - 1, F.lit(0)), F.lit(chunk).cast("long"))
-    cut = (long_docs.select("key", "text", n, F.explode(starts).alias("core"))
-           .select("key", F.greatest(F.col("core") - overlap, F.lit(0)).alias("first"), "core", "n_chars", "text")
-           .select("key", F.substring("text", F.col("first") + 1, F.col("core") + chunk + overlap - F.col("first"))
-                   .alias("text"), "first", "n_chars"))
+    # a chunk is a piece with the ends of its neighbours: a piece is cut from the text in linear time, see cut_pieces
+    parts = F.posexplode(F.transform(F.col("cores"), lambda c, i: F.concat(
+        F.when(i > 0, F.right(F.get("cores", i - 1), F.lit(overlap))).otherwise(""), c,
+        F.coalesce(F.substring(F.get("cores", i + 1), 1, overlap), F.lit("")))))
+    cut = (long_docs.select("key", "n_chars", cut_pieces(F.col("text"), chunk).alias("cores"))
+           .select("key", "n_chars", parts.alias("number", "text"))
+           .select("key", "text", F.greatest(F.col("number").cast("long") * chunk - overlap, F.lit(0)).alias("first"),
+                   "n_chars"))
     schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("first", T.LongType()),
                            T.StructField("n", T.LongType()), T.StructField("heads", _ITEM),
                            T.StructField("tails", _ITEM)])
@@ -245,7 +296,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     """Rows (id, n_bytes, n_tokens, over_limit): the library's token count of every whole text.
 
     Null and empty texts have no bytes and no tokens; a null id is an ordinary value; repeated rows give
-    repeated results; extra columns are ignored. ``over_limit`` is ``n_tokens > limit``.
+    repeated results; extra columns are ignored; an empty table gives no rows. Texts over ``chunk_chars`` are
+    cut in linear time and encoded in chunks, over several tasks. ``over_limit`` is ``n_tokens > limit``.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -256,14 +308,14 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        for batch in pieces(batches, 1):
-            texts = batch.column(1).to_pylist()
-            long_ = [len(t) > chunk_chars for t in texts]
+        for batch in pieces(batches, 1, 4 << 20):
+            texts = batch.column(1).cast(pa.string())
+            long_ = pc.greater(pc.utf8_length(texts), chunk_chars)
+            none = pa.scalar(None, pa.string())
+            counts = pa.array(enc.counts(pc.if_else(long_, "", texts)), pa.int64())
             yield pa.RecordBatch.from_arrays([
-                batch.column(0).cast(arrow.field(0).type),
-                pa.array([t if x else None for t, x in zip(texts, long_)], pa.string()),
-                batch.column(2), pa.array([None if x else enc.count(t) for t, x in zip(texts, long_)], pa.int64()),
-            ], schema=arrow)
+                batch.column(0).cast(arrow.field(0).type), pc.if_else(long_, texts, none), batch.column(2),
+                pc.if_else(long_, pa.scalar(None, pa.int64()), counts)], schema=arrow)
 
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.octet_length(text).cast("long").alias("nb"))
     counted = cut_lineage(rows.mapInArrow(short, out_schema))
@@ -274,7 +326,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         open_ = cut_lineage(open_.withColumn("key", F.monotonically_increasing_id())
                             .withColumn("n_chars", F.length("text").cast("long")))
         longest = int(open_.agg(F.max("n_chars")).first()[0])
-        chunk, overlap, todo = chunk_chars, overlap_chars, open_
+        chunk, overlap, todo = chunk_chars, min(overlap_chars, chunk_chars), open_
         while True:
             got = cut_lineage(_spliced(todo, tokenizer, chunk, overlap))
             done = done.unionByName(open_.join(got.filter("n_tokens is not null"), "key")
@@ -283,6 +335,6 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
             if chunk >= longest or not failed.limit(1).count():
                 break
             todo = open_.join(failed, "key", "left_semi")
-            chunk, overlap = chunk * 4, overlap * 8
+            chunk, overlap = chunk * 4, min(overlap * 8, chunk * 4)  # a chunk reaches into its neighbours only
     return done.select(F.col("id").alias(id_col), "n_bytes", "n_tokens",
                        (F.col("n_tokens") > limit).alias("over_limit"))

@@ -4,7 +4,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 
-from statfold.llm.pack import Pool, pack
+from statfold.llm.pack import Leaders, Pool, pack
 from statfold.llm.tokens import Encoder
 from tests.llm.helpers import AWKWARD, docs
 
@@ -87,3 +87,20 @@ def test_neighbours_meet_from_anywhere_in_the_input(spark):
         seqs[r.sequence_id].append(r.doc_id % 30)
     pairs = [a == b for s in seqs.values() for a, b in zip(s, s[1:])]
     assert sum(pairs) > len(pairs) / 2
+
+
+def test_routes_are_the_nearest_leaders():
+    draw = np.random.default_rng(3)
+    docs_ = [draw.integers(0, 60, draw.integers(1, 40)).astype(np.uint32) for _ in range(30)]
+    lead = Leaders(docs_[:12], most=8)
+    docs_ += [np.array([70, 99], np.uint32), np.array([], np.uint32)]  # no term of any leader
+    got = lead.routes(np.concatenate(docs_), np.array([len(x) for x in docs_]))
+    for x, route in zip(docs_, got):
+        terms, counts = np.unique(x, return_counts=True)
+        near = np.zeros(8)
+        for t, c in zip(terms, counts):
+            if t < len(lead.row) and lead.row[t] >= 0:
+                near += lead.idf[t] * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(x) / lead.mean)) * lead.profile[lead.row[t]]
+        best = [int(route) >> s & 0xFFFF for s in (32, 16, 0)]
+        assert len(set(best)) == 3
+        assert np.allclose(near[best], np.sort(near)[::-1][:3], atol=1e-4)

@@ -55,3 +55,38 @@ def test_chunks_are_spliced_to_the_whole(spark, path):
 
 def test_empty_table(spark):
     assert count_tokens(docs(spark, []), WORD).count() == 0
+
+
+def test_batches_equal_the_library(word):
+    """Every vocabulary token as a word, and random words, encoded by ranks; texts the library must see mixed in."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+    draw = random.Random(5)
+    stands = {c: b for b, c in tokens._byte_chars().items()}
+    own = [bytes(stands[c] for c in t.removesuffix("</w>")).decode("utf-8", "ignore")
+           for t in word.tok.get_vocab() if not t.startswith("<|")]
+    made = ["".join(draw.choice(al) for _ in range(draw.randint(1, 20)))
+            for al in ("etaoinshr", "abcdefghijklmnopqrstuvwxyzàéüß'", "aA1!.,'é") for _ in range(3000)]
+    texts = [" ".join(own[k:k + 50]) for k in range(0, len(own), 50)]
+    texts += [" ".join(made[k:k + 30]) for k in range(0, len(made), 30)] + ODD
+    ids, sizes = word.batch(pa.array(texts, pa.string()))
+    for t, got in zip(texts, np.split(ids, np.cumsum(sizes)[:-1])):
+        assert got.tolist() == word.ids(t), t
+    assert word.counts(pa.array(texts, pa.string())).tolist() == sizes.tolist()
+    assert word.batch(pa.array([], pa.string()))[0].size == 0
+
+
+def test_long_texts_are_cut_in_linear_time(spark):
+    import time
+
+    from pyspark.sql import functions as F
+    frame = spark.range(1).select(F.repeat(F.lit("word and word "), 100_000).alias("t"))
+
+    def seconds(times):
+        began = time.time()
+        frame.select(F.size(tokens.cut_pieces(F.repeat("t", times), 4096)).alias("n")).collect()
+        return time.time() - began
+    seconds(1)
+    assert seconds(16) < 8 * seconds(4) + 2
