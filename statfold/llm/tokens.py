@@ -310,12 +310,15 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         enc = encoder(tokenizer)
         for batch in pieces(batches, 1, 4 << 20):
             texts = batch.column(1).cast(pa.string())
-            long_ = pc.greater(pc.utf8_length(texts), chunk_chars)
-            none = pa.scalar(None, pa.string())
-            counts = pa.array(enc.counts(pc.if_else(long_, "", texts)), pa.int64())
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0).cast(arrow.field(0).type), pc.if_else(long_, texts, none), batch.column(2),
-                pc.if_else(long_, pa.scalar(None, pa.int64()), counts)], schema=arrow)
+            long_ = pc.greater(pc.utf8_length(texts), chunk_chars).to_pylist()
+            left = pa.nulls(len(texts), pa.string())
+            if any(long_):  # those are kept for the chunks
+                every = texts.to_pylist()
+                left = pa.array([t if x else None for t, x in zip(every, long_)], pa.string())
+                texts = pa.array(["" if x else t for t, x in zip(every, long_)], pa.string())
+            counts = pa.array([None if x else n for n, x in zip(enc.counts(texts).tolist(), long_)], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(arrow.field(0).type), left, batch.column(2), counts],
+                                             schema=arrow)
 
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.octet_length(text).cast("long").alias("nb"))
     counted = cut_lineage(rows.mapInArrow(short, out_schema))

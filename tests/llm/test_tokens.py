@@ -4,6 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from statfold.llm import tokens
+from statfold.llm.common import pieces
 from statfold.llm.tokens import Cache, Encoder, count_tokens
 from tests.llm.helpers import AWKWARD, docs, rows
 
@@ -53,6 +54,15 @@ def test_chunks_are_spliced_to_the_whole(spark, path):
     assert got == sorted(want, key=str)
 
 
+def test_batches_of_a_larger_table(spark, monkeypatch):
+    """Slices of Arrow batches, some with long texts and some without."""
+    monkeypatch.setattr(tokens, "pieces", lambda batches, column, limit=0: pieces(batches, column, 300))
+    enc = Encoder(WORD)
+    data = [(k, ("long " * 200 if k % 9 == 0 else f"short text {k}, no more")) for k in range(60)]
+    got = rows(count_tokens(docs(spark, data, parts=1), WORD, chunk_chars=512, overlap_chars=64), "doc_id", "n_tokens")
+    assert got == sorted([(i, len(enc.ids(t))) for i, t in data], key=str)
+
+
 def test_empty_table(spark):
     assert count_tokens(docs(spark, []), WORD).count() == 0
 
@@ -76,6 +86,9 @@ def test_batches_equal_the_library(word):
         assert got.tolist() == word.ids(t), t
     assert word.counts(pa.array(texts, pa.string())).tolist() == sizes.tolist()
     assert word.batch(pa.array([], pa.string()))[0].size == 0
+    part = word.batch(pa.array(texts, pa.string()).slice(7, 900))  # a view into a larger array
+    assert part[1].tolist() == sizes[7:907].tolist()
+    assert part[0].tolist() == ids[sizes[:7].sum():sizes[:907].sum()].tolist()
 
 
 def test_long_texts_are_cut_in_linear_time(spark):
