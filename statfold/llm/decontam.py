@@ -29,6 +29,7 @@ SHINGLE, OVERLAP = 5, 0.8
 BLOCK = 16              # items in a block of the index
 INDEX_BYTES = 16 << 20  # items are broadcast in parts of at most this much text
 INDEX_ITEMS = 20_000
+CELLS = 1 << 21         # passages x blocks whose maxima are summed at once
 K1, B = 1.2, 0.75
 
 _END = re.compile(r"(?<=[.!?])\s+")
@@ -47,7 +48,8 @@ def words(text: str) -> list[str]:
 
 def question_answer(text: str) -> tuple[list[str], list[str]]:
     """Words of an item's question and of its answer: the last sentence, or the last quarter of the only one."""
-    parts = [w for w in (words(x) for x in _END.split(text)) if w]
+    parts = [p for p in ([w for w in x if w] for x in word_lists(pa.array(_END.split(text), pa.string())).to_pylist())
+             if p]
     if not parts:
         return [], []
     if len(parts) == 1:
@@ -73,66 +75,99 @@ def overlaps(passage: list[str], item: list[str], question: list[str], answer: l
     return tuple(share)
 
 
+def _spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places ``first[k]``, ``first[k] + 1``, ... of every run, one run after another."""
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
 class Index:
-    """BM25 weights of a part of the items, by term and block, and what verifies them."""
+    """BM25 weights of a part of the items, and what verifies them.
+
+    Postings lie by term, then item. Those of one term and block of items are an entry, which knows its largest
+    weight; only entries that have postings exist, so the index grows with the items' text and nothing else.
+    """
 
     def __init__(self, items: list[tuple[object, str]]):
-        tokens = [[w for w in t if w] for t in word_lists(pa.array([t for _, t in items], pa.string())).to_pylist()]
-        order = sorted((k for k in range(len(items)) if tokens[k]), key=lambda k: (len(tokens[k]), k))
-        self.keys = [items[k][0] for k in order]
-        tokens = [tokens[k] for k in order]
-        n = len(tokens)
-        self.vocab = sorted({w for t in tokens for w in t})
-        place = {w: k for k, w in enumerate(self.vocab)}
-        tf = [np.unique([place[w] for w in t], return_counts=True) for t in tokens]
-        df = np.bincount(np.concatenate([t for t, _ in tf]) if tf else np.empty(0, np.int64), minlength=len(self.vocab))
+        lists = word_lists(pa.array([t for _, t in items], pa.string()))
+        flat = lists.flatten()
+        owner = np.repeat(np.arange(len(items)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        real = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+        flat, owner = flat.filter(pa.array(real)).dictionary_encode(), owner[real]
+        length = np.bincount(owner, minlength=len(items))
+        order = np.flatnonzero(length)[np.argsort(length[length > 0], kind="stable")]
+        self.keys, self.texts = [items[k][0] for k in order], [items[k][1] for k in order]
+        self.parts: dict[int, tuple] = {}
+        n, length, self.vocab = len(order), length[order], flat.dictionary
+        self.items, self.blocks = n, -(-n // BLOCK)
+        self.half = int(length.max(initial=1))  # passages of twice as many words start every half
+        place = np.zeros(len(items), np.int64)
+        place[order] = np.arange(n)
+        key, count = np.unique(flat.indices.to_numpy(zero_copy_only=False).astype(np.int64) * max(1, n) + place[owner],
+                               return_counts=True)
+        term, self.post_item = np.divmod(key, max(1, n))
+        df = np.bincount(term, minlength=len(self.vocab))
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        mean = max(1.0, float(np.mean([len(t) for t in tokens])) if n else 1.0)
-        self.blocks = -(-n // BLOCK)
-        self.post: list[list[tuple[int, float]]] = [[] for _ in self.vocab]
-        self.block_max = np.zeros((len(self.vocab), self.blocks), np.float32)
-        for item, ((terms, counts), t) in enumerate(zip(tf, tokens)):
-            w = idf[terms] * counts * (K1 + 1) / (counts + K1 * (1 - B + B * len(t) / mean))
-            # a passage that holds OVERLAP of the shingles lacks at most as many terms as it may lack shingles
-            lacking = int((1 - OVERLAP) * len(shingles(t)) + 1e-9)
-            w = w / max(w.sum() - np.sort(w)[::-1][:lacking].sum(), 1e-3 * w.sum())
-            np.maximum.at(self.block_max, (terms, item // BLOCK), w.astype(np.float32))
-            for x, y in zip(terms, w):
-                self.post[x].append((item, float(y)))
-        self.top = self.block_max.max(axis=1) if self.blocks else np.zeros(len(self.vocab), np.float32)
-        self.half = max((len(t) for t in tokens), default=1)  # passages of twice as many words start every half
-        self.check = [(t, *question_answer(items[k][1])) for k, t in zip(order, tokens)]
+        norm = K1 * (1 - B + B * length / max(1.0, float(length.mean()) if n else 1.0))
+        w = idf[term] * count * (K1 + 1) / (count + norm[self.post_item])
+        # a passage that holds OVERLAP of the shingles lacks at most as many terms as it may lack shingles
+        own = lists.take(pa.array(order)).to_pylist()
+        lacking = np.array([int((1 - OVERLAP) * len(shingles([w for w in t if w])) + 1e-9) for t in own], np.int64)
+        heavy = np.lexsort((-w, self.post_item))
+        rank = np.empty(len(w), np.int64)
+        size = np.bincount(self.post_item, minlength=n)
+        rank[heavy] = np.arange(len(w)) - np.repeat(np.cumsum(size) - size, size)
+        total = np.bincount(self.post_item, w, minlength=n)
+        lost = np.bincount(self.post_item, np.where(rank < lacking[self.post_item], w, 0), minlength=n)
+        self.post_w = w / np.maximum(total - lost, 1e-3 * total)[self.post_item]
+        cell = term * max(1, self.blocks) + self.post_item // BLOCK
+        start = np.flatnonzero(np.diff(cell, prepend=-1))
+        self.entry_post = np.append(start, len(w))
+        self.entry_block = cell[start] % max(1, self.blocks)
+        self.entry_max = np.maximum.reduceat(self.post_w, start) if n else np.empty(0)
+        self.term_entry = np.searchsorted(term[start], np.arange(len(self.vocab) + 1))
+        self.top = np.maximum.reduceat(self.entry_max, self.term_entry[:-1]) if n else np.empty(0)
+
+    def check(self, item: int) -> tuple[list[str], list[str], list[str]]:
+        """Words of an item, of its question and of its answer."""
+        if item not in self.parts:
+            self.parts[item] = (words(self.texts[item]), *question_answer(self.texts[item]))
+        return self.parts[item]
 
     def retrieve(self, window: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) of all pairs that reach the threshold; the input pairs are distinct and sorted."""
-        if not window.size or not self.blocks:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        first = np.flatnonzero(np.diff(window, prepend=window[0] - 1))
-        bound = np.add.reduceat(self.top[term], first)
-        sizes = np.diff(np.append(first, len(window)))
-        out_w, out_i = [], []
-        for at in np.flatnonzero(bound >= 1 - 1e-4):
-            terms = term[first[at]:first[at] + sizes[at]]
-            by_block = self.block_max[terms].sum(axis=0)
-            live = set(np.flatnonzero(by_block >= 1 - 1e-4).tolist())
-            if not live:
-                continue
-            score: dict[int, float] = {}
-            for x in terms:
-                for item, w in self.post[x]:
-                    if item // BLOCK in live:
-                        score[item] = score.get(item, 0.0) + w
-            found = [k for k, s in score.items() if s >= 1 - 1e-6]
-            out_i += found
-            out_w += [window[first[at]]] * len(found)
-        return np.array(out_w, np.int64), np.array(out_i, np.int64)
+        out_w, out_i = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        if window.size and self.blocks:
+            first = np.flatnonzero(np.diff(window, prepend=window[0] - 1))
+            size = np.diff(np.append(first, len(window)))
+            able = np.add.reduceat(self.top[term], first) >= 1 - 1e-4
+            first, size = first[able], size[able]
+            step = max(1, CELLS // self.blocks)
+            for lo in range(0, len(first), step):
+                at, of = first[lo:lo + step], size[lo:lo + step]
+                slot, item = self._above(term[_spread(at, of)], np.repeat(np.arange(len(at)), of), len(at))
+                out_w.append(window[at[slot]])
+                out_i.append(item)
+        return np.concatenate(out_w), np.concatenate(out_i)
+
+    def _above(self, term: np.ndarray, slot: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
+        """(slot, item) that reach the threshold, items being scored in blocks whose maxima can reach it only."""
+        size = self.term_entry[term + 1] - self.term_entry[term]
+        entry, slot = _spread(self.term_entry[term], size), np.repeat(slot, size)
+        cell = slot * self.blocks + self.entry_block[entry]
+        live = (np.bincount(cell, self.entry_max[entry], minlength=slots * self.blocks) >= 1 - 1e-4)[cell]
+        entry, slot = entry[live], slot[live]
+        size = self.entry_post[entry + 1] - self.entry_post[entry]
+        post = _spread(self.entry_post[entry], size)
+        pair, back = np.unique(np.repeat(slot, size) * self.items + self.post_item[post], return_inverse=True)
+        found = pair[np.bincount(back, self.post_w[post], minlength=len(pair)) >= 1 - 1e-6]
+        return np.divmod(found, max(1, self.items))
 
 
 def _search(index: Index, texts: pa.Array) -> dict[tuple[int, int], tuple[float, float, float]]:
     """Of whole texts the (row, item) pairs retrieved and verified, with their largest overlaps."""
     parts = word_lists(texts)
     counts = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
-    at = pc.index_in(parts.flatten(), value_set=pa.array(index.vocab, pa.string()))
+    at = pc.index_in(parts.flatten(), value_set=index.vocab)
     term = pc.fill_null(at, -1).to_numpy(zero_copy_only=False).astype(np.int64)
     row = np.repeat(np.arange(len(counts)), counts)
     inside = np.arange(len(term)) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -146,7 +181,7 @@ def _search(index: Index, texts: pa.Array) -> dict[tuple[int, int], tuple[float,
     for window, item in zip(*index.retrieve(both // vocab, both % vocab)):
         r, j = divmod(int(window), per)
         passage = parts[r].as_py()[max(0, j - 1) * index.half:(j + 1) * index.half]
-        got = overlaps(passage, *index.check[item])
+        got = overlaps(passage, *index.check(int(item)))
         if got and got > found.get((r, int(item)), (0,)):
             found[r, int(item)] = got
     return found
@@ -157,10 +192,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """Rows (id, item, similarity, question_overlap, answer_overlap): every document and the items it leaks.
 
     ``similarity`` is the share of the item's different 5-word shingles (all its words, if it has fewer)
-    found in one passage of the document, at least 0.8; of several passages the best counts. The shares of
-    its question and its answer in that passage only tell where the copy differs. Items and documents without a word match nothing (null counts as
-    empty); repeated rows give repeated results; extra columns are ignored. The items are indexed in parts
-    of bounded size.
+    found in one passage of the document, at least 0.8; of several passages the best counts, of equal ones that
+    with the larger shares. The shares of its question and its answer in that passage only tell where the copy
+    differs. Items and documents without a word match nothing (null counts as empty); repeated rows give repeated
+    results; extra columns are ignored; an empty table on either side gives no rows. The items are indexed in
+    parts of at most ``INDEX_BYTES`` of text and ``INDEX_ITEMS`` rows; an index takes a few times its text.
     """
     spark = docs.sparkSession
     schema = T.StructType([field(docs, id_col, "doc"), T.StructField("row", T.LongType()),

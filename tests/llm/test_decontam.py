@@ -108,3 +108,18 @@ def test_near_copies_of_four_fifths_are_leaks(spark):
     assert drop_contaminated(docs(spark, data), _items(spark, items)).count() == len(data) - len(want)
     without = {r.doc_id: r.answer_overlap for r in found.collect()}
     assert without[0] == 0.0 and without[2] == 1.0  # the answer is left out; a word of the question is changed
+
+
+def test_an_index_grows_with_its_text():
+    """Thousands of items with terms of their own: no table of terms by blocks is made."""
+    import pickle
+
+    def size(n):
+        rng = random.Random(1)
+        items = [(k, " ".join(["the of and", *[f"w{rng.randrange(20 * n)}" for _ in range(30)]])) for k in range(n)]
+        index = Index(items)
+        text = " ".join(["before", items[n // 2][1], "after"])
+        assert n // 2 in {index.keys[i] for _, i in _search(index, pa.array([text], pa.string()))}
+        return len(pickle.dumps(index)) / sum(len(t) for _, t in items)
+    small, large = size(500), size(8000)
+    assert large < 1.5 * small and large < 12
