@@ -39,7 +39,8 @@ _CARD = rf"[0-9][0-9{_DOT}]++"
 # \+[0-9][\x20().0-9-]+[0-9]
 _PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 # proposals only
-_CONTACT = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:@|\[at\]|\(at\)) ?[A-Za-z0-9-]{1,63}+(?: ?(?:\.|\[dot\]|\(dot\)) ?[A-Za-z0-9-]{1,63}+){1,8}"
+_CONTACT = (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:@|\[at\]|\(at\)) ?[A-Za-z0-9-]++"
+            r"(?: ?(?:\.|\[dot\]|\(dot\)) ?[A-Za-z0-9-]++)++")
 _NUMBER = r"(?<![0-9A-Za-z.+])[(]?[0-9][0-9 ().-]{5,30}[0-9](?![0-9A-Za-z])"
 _SECRET = (r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s{0,2}[=:]\s{0,2}[\x22']?[A-Za-z0-9_./+=-]{6,}+)"
            r"|\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}+)\b")
