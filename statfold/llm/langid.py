@@ -1,7 +1,7 @@
 """Language identification by nearest centroid.
 
 A text is the TF-IDF vector of its byte n-grams (letters only, lower case, hashed to ``DIMS`` places),
-normalised to length one. Each language is described by a few centroids (spherical k-means of its sample);
+normalised to length one. Each language is described by a few centroids (spherical k-means of all its texts);
 a text gets the language of the centroid with the largest cosine, and is rejected if that is no nearer than
 n-grams drawn by chance would be.
 """
@@ -13,16 +13,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from statfold.llm.common import field, has_letter, pieces
+from statfold.session import scratch_path
 
 DIMS = 4096
 CENTROIDS = 3
-SAMPLE_PER_LANG = 400   # labelled rows a language's centroids are fitted on
-SAMPLE_PARTS = 64       # parts of a language that choose rows for its sample before it does
+ROUNDS = 12             # passes of k-means at most
+UNIT = 1 << 24          # vectors are added up as multiples of 1 / UNIT
 MAX_LANGS = 500         # more label values than this are refused
 REJECT_DEVIATIONS = 4   # a text must be nearer than chance by this many standard deviations
 UNDECIDED = "und"
@@ -53,18 +55,6 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return np.divide(rows, size, out=np.zeros_like(rows), where=size > 0)
 
 
-def _k_means(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """Spherical k-means; the first centre is the mean's nearest row, each next one the farthest row."""
-    k = min(k, len(rows))
-    centres = rows[[int(np.argmax(rows @ rows.mean(axis=0)))]]
-    while len(centres) < k:
-        centres = np.vstack([centres, rows[int(np.argmin((rows @ centres.T).max(axis=1)))]])
-    for _ in range(rounds):
-        own = np.argmax(rows @ centres.T, axis=1)
-        centres = _unit(np.stack([rows[own == j].sum(axis=0) if (own == j).any() else centres[j] for j in range(k)]))
-    return centres
-
-
 @dataclass
 class Model:
     langs: list[str]       # language of each centroid
@@ -92,51 +82,137 @@ class Model:
         return best, top, far
 
 
-def fit(train: DataFrame, lang_col: str = "lang", text_col: str = "text", order_col: str = "doc_id",
-        per_lang: int = SAMPLE_PER_LANG, k: int = CENTROIDS) -> Model:
-    """Centroids from at most ``per_lang`` rows of each language (those whose order value hashes lowest).
+def _parts_of(train: DataFrame, lang_col: str, text_col: str, k: int) -> DataFrame:
+    """Rows (lang, part, at, n): the n-gram counts of every labelled text with a letter, written once.
 
-    Rows with a null language or a text without letters teach nothing. Only sparse counts of the sample
-    (at most ``DIMS`` places a row) reach the driver.
+    ``part`` (0 to ``k - 1``) is drawn from the text. ``at`` holds the places as 16-bit and ``n`` the counts as 32-bit
+    numbers.
     """
     rows = train.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(
-        F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"),
-        F.xxhash64(F.col(order_col)).alias("h"), F.xxhash64(F.col(text_col)).alias("t"))
-    if rows.select("lang").distinct().limit(MAX_LANGS + 1).count() > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
-    # whole numbers only, and first within parts of a language: one may hold most rows
-    light = rows.select("lang", "h", "t").distinct()
-    for part in (["lang", F.pmod("t", F.lit(SAMPLE_PARTS))], ["lang"]):
-        first = Window.partitionBy(*part).orderBy("h", "t")
-        light = light.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= per_lang)
-    # at most MAX_LANGS * per_lang rows, each once however often it is repeated
-    sample = rows.join(F.broadcast(light), ["lang", "h", "t"]).dropDuplicates(["lang", "h", "t"])
-    schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("at", T.ArrayType(T.IntegerType())),
-                           T.StructField("n", T.ArrayType(T.IntegerType())), T.StructField("r", T.IntegerType())])
-    from pyspark.sql.pandas.types import to_arrow_schema
-    arrow = to_arrow_schema(schema)
+        F.col(lang_col).cast("string").alias("lang"), F.pmod(F.xxhash64(F.col(text_col)), F.lit(k)).cast("int").alias("part"),
+        F.col(text_col).alias("text"))
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 1):
-            got = [ngram_counts(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a for a, _ in got], arrow.field(1).type),
-                                              pa.array([n for _, n in got], arrow.field(2).type), batch.column(2)],
-                                             schema=arrow)
-
-    got = sorted(sample.select("lang", "text", "r").mapInArrow(counts, schema).collect(), key=lambda x: (x.lang, x.r))
-    vectors = np.zeros((len(got), DIMS), np.float32)
-    for i, row in enumerate(got):
-        vectors[i, row.at] = 1 + np.log(np.array(row.n, np.float32))
-    seen = (vectors > 0).sum(axis=0)
-    idf = np.log((1 + len(got)) / (1 + seen)) + 1 if got else np.ones(DIMS)
-    vectors = _unit(vectors * idf.astype(np.float32))
-    langs, centres = [], []
-    for lang in sorted({x.lang for x in got}):
-        own = vectors[[i for i, x in enumerate(got) if x.lang == lang]]
-        found = _k_means(own, k)
-        langs += [lang] * len(found)
-        centres.append(found)
-    return Model(langs, np.vstack(centres).astype(np.float64) if centres else np.zeros((0, DIMS)), idf)
+        for batch in pieces(batches, 2, 4 << 20):
+            got = [ngram_counts(t) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0).cast(pa.string()), batch.column(1), pa.array([a.astype(np.uint16).tobytes() for a, _ in got], pa.binary()),
+                pa.array([n.astype(np.uint32).tobytes() for _, n in got], pa.binary())], names=["lang", "part", "at", "n"])
+    path = scratch_path(train.sparkSession, "ngrams")
+    counted = rows.mapInArrow(counts, "lang string, part int, at binary, n binary").filter(F.length("at") > 0)
+    counted.write.option("compression", "zstd").parquet(path)
+    return train.sparkSession.read.parquet(path)
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, counts, first entry of each row) of a batch of ``_parts_of``, rows one after another."""
+    at, n = (np.frombuffer(b"".join(batch.column(c).to_pylist()), t) for c, t in (("at", np.uint16), ("n", np.uint32)))
+    sizes = pc.binary_length(batch.column("at")).to_numpy(zero_copy_only=False).astype(np.int64) // 2
+    return at.astype(np.int64), n, np.cumsum(sizes) - sizes
+
+
+def _summed(rows: DataFrame, body) -> dict[int, tuple[int, np.ndarray]]:
+    """{key: (rows, sum of vectors)}: ``body`` gives (key, rows, vector of whole numbers) for each batch.
+
+    Tasks add up their own rows, then Spark the tasks' sums key by key. Whole numbers add up alike in any order.
+    """
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, list] = {}
+        for batch in pieces(batches, 2, 4 << 20):
+            for key, count, vector in body(batch):
+                held = own.setdefault(int(key), [0, np.zeros(DIMS, np.int64)])
+                held[0] += int(count)
+                held[1] += vector
+        for key, (count, vector) in own.items():
+            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([count], pa.int64()),
+                                              pa.array([vector.tobytes()], pa.binary())], names=["key", "n", "v"])
+
+    def total(table: pa.Table) -> pa.Table:
+        vector = np.zeros(DIMS, np.int64)
+        for v in table.column("v"):
+            vector += np.frombuffer(v.as_py(), np.int64)
+        return pa.table({"key": table.column("key").slice(0, 1), "n": pa.array([pc.sum(table.column("n")).as_py()], pa.int64()),
+                         "v": pa.array([vector.tobytes()], pa.binary())})
+    schema = "key int, n long, v binary"
+    got = rows.mapInArrow(local, schema).groupBy("key").applyInArrow(total, schema).collect()
+    return {r.key: (r.n, np.frombuffer(bytes(r.v), np.int64)) for r in got}
+
+
+def fit(train: DataFrame, lang_col: str = "lang", text_col: str = "text", k: int = CENTROIDS,
+        rounds: int = ROUNDS) -> Model:
+    """Weights and centroids from every row with a language and a letter; no row is left out or counted twice.
+
+    A place's weight comes from its share of each language's texts, averaged over the languages, so that a language
+    with most of the rows does not set it alone. Spherical k-means runs within each language: the first centres are the
+    means of ``k`` parts drawn by the text, then each round is one pass in which Spark adds up the rows nearest to each
+    centre, until nothing changes. Only a vector a centre reaches the driver. Vectors are added as multiples of
+    ``1 / UNIT``, so the result does not depend on how the rows are split.
+    """
+    spark = train.sparkSession
+    rows = _parts_of(train, lang_col, text_col, k)
+    langs = sorted(r.lang for r in rows.select("lang").distinct().limit(MAX_LANGS + 1).collect())
+    if len(langs) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
+    if not langs:
+        return Model([], np.zeros((0, DIMS)), np.ones(DIMS))
+    number = spark.sparkContext.broadcast({lang: i for i, lang in enumerate(langs)})
+
+    def numbered(batch: pa.RecordBatch) -> np.ndarray:
+        return np.array([number.value[x] for x in batch.column("lang").to_pylist()], np.int64)
+
+    def added(key: np.ndarray, at: np.ndarray, weights: np.ndarray | None, starts: np.ndarray):
+        """(key, rows, summed vector) of each key of the rows."""
+        names, own, count = np.unique(key, return_inverse=True, return_counts=True)
+        row = np.repeat(own, np.diff(np.append(starts, len(at))))
+        total = np.bincount(row * DIMS + at, weights=weights, minlength=len(names) * DIMS).reshape(-1, DIMS)
+        return zip(names, count, total.astype(np.int64))
+
+    def texts_with(batch: pa.RecordBatch):
+        at, _, starts = _flat(batch)
+        return added(numbered(batch), at, None, starts)
+    seen = _summed(rows, texts_with)
+    total = sum(n for n, _ in seen.values())
+    share = np.mean([v / n for n, v in (seen[i] for i in range(len(langs)))], axis=0)
+    idf = np.log((1 + total) / (1 + total * share)) + 1
+
+    def weighted(batch: pa.RecordBatch):
+        at, n, starts = _flat(batch)
+        w = (1 + np.log(n)) * idf[at]
+        size = np.sqrt(np.add.reduceat(w * w, starts))
+        return at, w / np.repeat(size, np.diff(np.append(starts, len(at)))), starts
+
+    def first_parts(batch: pa.RecordBatch):
+        at, w, starts = weighted(batch)
+        part = batch.column("part").to_numpy(zero_copy_only=False)
+        return added(numbered(batch) * k + part, at, np.rint(w * UNIT), starts)
+    sums = _summed(rows, first_parts)
+    owner = np.array([key // k for key in sorted(sums)], np.int64)   # language of each centre
+    centres = _unit(np.stack([sums[key][1] for key in sorted(sums)]).astype(np.float64))
+    begin = np.searchsorted(owner, np.arange(len(langs)))
+    many = np.bincount(owner, minlength=len(langs))
+    before: dict = {}
+    for _ in range(rounds):
+        shared = spark.sparkContext.broadcast(centres)
+
+        def nearest(batch: pa.RecordBatch):
+            at, w, starts = weighted(batch)
+            lang, sizes = numbered(batch), np.diff(np.append(starts, len(at)))
+            best, near = np.full(len(lang), -np.inf), np.zeros(len(lang), np.int64)
+            for j in range(k):
+                to = np.minimum(begin[lang] + j, len(owner) - 1)
+                cosine = np.add.reduceat(shared.value[np.repeat(to, sizes), at] * w, starts)
+                closer = (j < many[lang]) & (cosine > best)
+                best[closer], near[closer] = cosine[closer], to[closer]
+            return added(near, at, np.rint(w * UNIT), starts)
+        sums = _summed(rows, nearest)
+        moved = any(key not in before or not np.array_equal(before[key][1], sums[key][1]) for key in sums)
+        if not moved and len(before) == len(sums):
+            break
+        centres = centres.copy()   # a centre that lost all its rows stays
+        for key, (_, v) in sums.items():
+            centres[key] = _unit(v.astype(np.float64))
+        before = sums
+    return Model([langs[i] for i in owner], centres, idf)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -65,3 +65,15 @@ def test_other_scripts_are_rejected_and_short_clean_texts_kept(spark):
     assert model.nearest(odd)[2].all()
     clean = [" ".join(r.text.split()[:n]) for r in d.limit(60).collect() for n in (5, 30, 10_000) if len(r.text.split()) >= 5]
     assert model.nearest(clean)[2].mean() < 0.02
+
+
+def test_every_row_teaches(spark):
+    """No sample: 1,300 texts of one language that share nothing are all learned, whichever way they are split."""
+    def word(i):
+        return "".join(chr(97 + i // 26 ** j % 26) for j in range(3)) * 2
+    data = [(i, f"{word(i * 13)} {word(i * 13 + 5)}", "p") for i in range(1300)] + [(9001, "zzz yyy", "q"), (9002, "zzy", "q")]
+    models = [fit(docs(spark, data, parts=n)) for n in (1, 7)]
+    assert (models[0].centroids == models[1].centroids).all() and (models[0].idf == models[1].idf).all()
+    places = set().union(*(ngram_counts(t)[0].tolist() for _, t, lang in data if lang == "p"))
+    own = models[0].centroids[[x == "p" for x in models[0].langs]]
+    assert all(own[:, p].max() > 0 for p in places)
