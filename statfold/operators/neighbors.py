@@ -35,6 +35,7 @@ from statfold.session import BROADCAST_MAX_ROWS, broadcast_if_small, cut_lineage
 
 MAX_PIVOTS = 1024     # pivots come from a sample of at most 16 rows each; they steer the work, not the result
 QUERY_ROWS = 256      # queries compared at once
+PAIRS = 16_384        # pairs whose differences are held at once
 SHARE_ROWS = 65_536   # queries of a block that one task takes
 _SUBS = 1 << 28       # block number = cell * _SUBS + part of the cell
 _COPIES = 1 << 20
@@ -121,7 +122,9 @@ def near_rows(q: dict, r: dict, k: int, exclude_self: bool, slack: float) -> tup
         spare = slack * slack + 2 * slack * np.sqrt(np.where(np.isfinite(most), most, 0)) + 1e-9 * (rough.max(
             initial=0, where=np.isfinite(rough)))
         i, j = np.nonzero(np.isfinite(rough) & (rough <= (most + spare)[:, None]))
-        exact = ((v[i] - r["v"][first + j]) ** 2).sum(axis=1)
+        # many rows at one distance leave many pairs: their differences are never all held at once
+        exact = np.concatenate([((v[i[s:s + PAIRS]] - r["v"][first + j[s:s + PAIRS]]) ** 2).sum(axis=1)
+                                for s in range(0, max(len(i), 1), PAIRS)])
         order = np.lexsort((r["id"][first + j], exact, i))
         i, j, exact = i[order], j[order], exact[order]
         keep = np.arange(len(i)) - np.searchsorted(i, i, side="left") < k

@@ -90,3 +90,23 @@ def test_looks_only_inside_the_radius():
     q = {"d": np.array([500.2]), "radius": np.array([2.5]), "v": np.array([[500.2, 0.0]]), "id": np.array([-1])}
     i, j, d2, looked = neighbors.near_rows(q, r, 3, False, 1e-6)
     assert j.tolist() == [500, 501, 499] and looked == 5
+
+
+def test_rows_at_one_distance_stay_bounded_in_memory():
+    """4,096 equal rows leave a million pairs to 256 queries; before, all their differences were held (1 GB)."""
+    import tracemalloc
+
+    import numpy as np
+
+    from statfold.operators.neighbors import near_rows
+    rng = np.random.default_rng(1)
+    same, q = np.repeat(rng.normal(size=(1, 64)), 4096, axis=0), rng.normal(size=(256, 64))
+    block = {"v": same, "id": np.arange(4096), "d": np.zeros(4096)}
+    asked = {"v": q, "id": np.arange(5000, 5256), "d": np.zeros(256), "radius": np.full(256, np.inf)}
+    tracemalloc.start()
+    i, j, exact, _ = near_rows(asked, block, 5, False, 1e-6)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20, peak
+    assert i.tolist() == np.repeat(np.arange(256), 5).tolist() and j.tolist() == [0, 1, 2, 3, 4] * 256
+    assert np.array_equal(exact, np.repeat(((q - same[0]) ** 2).sum(axis=1), 5))
