@@ -233,10 +233,10 @@ def src8_partitioned_subsets(spark, sf):
 @register("src4_document_files", "SELECT page_id, md5(html) AS text_md5 FROM pages")
 def src4_document_files(spark, sf):
     path = scratch_path(spark, "docs")
-    Tables(spark, sf).pages.select("page_id", "html").write.partitionBy("page_id").mode("overwrite").text(path)
-    docs = files.read_documents(spark, path, "*.txt")
+    folders = files.write_documents(Tables(spark, sf).pages, path, "page_id", "html")
+    docs = files.read_documents(spark, folders, "*.txt")
     return docs.where(~F.col("rejected")).select(
-        F.regexp_extract("path", r"page_id=([0-9]+)", 1).cast("long").alias("page_id"),
+        F.regexp_extract("path", r"page_id=([0-9]+)", 1).try_cast("long").alias("page_id"),
         F.md5(F.regexp_replace("text", r"\n$", "")).alias("text_md5"))
 
 

@@ -37,8 +37,25 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     return df
 
 
-def read_documents(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """SRC4: files as bytes -> UTF-8 text; empty files are kept with ``rejected = true``."""
+FOLDERS = 64   # least number of folders: more than Spark lists on the driver
+
+
+def write_documents(docs: DataFrame, path: str, key: str, text: str) -> list[str]:
+    """SRC4: one text file a row, under ``path/folder=N/<key>=value``; returns the folders, for :func:`read_documents`.
+
+    All files of a folder are written by one task, so the driver gives whole folders their final place and not file by
+    file, and as the folders are read as so many paths, Spark lists them in tasks.
+    """
+    spark = docs.sparkSession
+    n = max(FOLDERS, int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 2 * spark.sparkContext.defaultParallelism)
+    rows = docs.select(F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("folder"), key, text)
+    (rows.repartition(n, "folder").write.partitionBy("folder", key).option("maxRecordsPerFile", 1).mode("overwrite").text(path))
+    return [f"{path}/folder={r.folder}" for r in rows.select("folder").distinct().collect()] or [path]
+
+
+def read_documents(spark: SparkSession, path: str | list[str], glob: str = "*") -> DataFrame:
+    """SRC4: files as bytes -> UTF-8 text; empty files are kept with ``rejected = true``. Several paths are listed in
+    tasks, one path on the driver."""
     raw = (spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True)
            .load(path))
     return raw.select("path", F.col("length").alias("bytes"),
