@@ -1,7 +1,7 @@
 """ROUGE scores (TXT10) over (id, candidate, reference) pairs.
 
-ROUGE-N is relational: n-grams are exploded with counts, the two sides are
-full-outer-joined on (pair, n-gram) and the overlap is summed per pair.
+ROUGE-N counts n-grams where the pair is: tokens are cut by column functions, rows
+of one key meet in one shuffle, and no n-gram becomes a row.
 ROUGE-L needs a longest common subsequence per pair; that is a small
 Arrow-batched helper using the bit-parallel LCS (no prefix cut, whole texts).
 """
@@ -9,10 +9,15 @@ Arrow-batched helper using the bit-parallel LCS (no prefix cut, whole texts).
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def rouge_tokens(text) -> Column:
@@ -22,40 +27,53 @@ def rouge_tokens(text) -> Column:
     return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
 
 
-def ngrams(tokens: Column, n: int) -> Column:
-    """n-grams as space-joined strings, built by zipping shifted slices.
+def _gram_counts(n: int, unique: bool, schema: pa.Schema):
+    """mapInArrow body: of (key, [(candidate tokens, reference tokens)]) a row a pair: key, n-grams of either side, overlap.
 
-    The lambdas only see their own elements: an outer expression referenced
-    inside a lambda would be re-evaluated for every element.
+    The overlap is that of all pairs of the key; n-grams never cross texts. Tokens and n-grams are numbered by batch.
     """
-    if n == 1:
-        return tokens
-    width = F.greatest(F.size(tokens) - n + 1, F.lit(0))
-    grams = F.slice(tokens, 1, width)
-    for k in range(1, n):
-        grams = F.zip_with(grams, F.slice(tokens, k + 1, width), lambda a, b: F.concat_ws(" ", a, b))
-    return grams
-
-
-def _safe_ngrams(tokens: Column, n: int) -> Column:
-    return F.when(F.size(tokens) >= n, ngrams(tokens, n)).otherwise(F.array().cast("array<string>"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            each = batch.column(1).flatten()
+            group = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column(1)).to_numpy())
+            sides = [each.field("c"), each.field("r")]
+            sizes = np.concatenate([pc.list_value_length(x).to_numpy() for x in sides]).astype(np.int64)
+            flat = pa.chunked_array([x.flatten() for x in sides]).combine_chunks().dictionary_encode()
+            code = flat.indices.to_numpy().astype(np.int64)
+            row = np.repeat(np.arange(len(sizes)), sizes)   # references after candidates
+            left = np.cumsum(sizes)[row] - np.arange(len(row))   # tokens from here to the end of the text
+            at = np.flatnonzero(left >= n)
+            gram = code[at]
+            for k in range(1, n):
+                gram = np.unique(gram * (len(flat.dictionary) + 1) + code[at + k], return_inverse=True)[1]
+            row, most = row[at], int(gram.max(initial=0)) + 1
+            inside = np.unique(row * most + gram) // most if unique else row
+            count = np.bincount(inside, minlength=len(sizes)).astype(np.int64)
+            of_ref = row >= len(group)
+            place = group[row % max(len(group), 1)] * most + gram
+            (c, cc), (r, rc) = (np.unique(place[x], return_counts=True) for x in (~of_ref, of_ref))
+            both, i, j = np.intersect1d(c, r, assume_unique=True, return_indices=True)
+            shared = np.ones(len(both), np.int64) if unique else np.minimum(cc[i], rc[j])
+            overlap = np.bincount(both // most, weights=shared, minlength=batch.num_rows).astype(np.int64)
+            overlap[batch.column(0).is_null().to_numpy(zero_copy_only=False)] = 0   # a null key meets nothing
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0).cast(schema.field(0).type).take(pa.array(group)), pa.array(count[:len(group)]),
+                pa.array(count[len(group):]), pa.array(overlap[group])], schema=schema)
+    return run
 
 
 def rouge_n(pairs: DataFrame, key: str, cand: str, ref: str, n: int = 1, mode: str = "clipped") -> DataFrame:
     """Precision, recall, F per pair. ``clipped``: overlap = sum min(count_c, count_r) (``rouge-score``);
     ``unique``: overlap of n-gram sets (the ``rouge`` package)."""
-    # Tokens are materialised first: an expression inside a lambda is re-evaluated per element.
-    toks = pairs.select(key, rouge_tokens(cand).alias("_tc"), rouge_tokens(ref).alias("_tr"))
-    base = toks.select(key, _safe_ngrams(F.col("_tc"), n).alias("_c"), _safe_ngrams(F.col("_tr"), n).alias("_r"))
-    sizes = base.select(key, F.size("_c").alias("_nc"), F.size("_r").alias("_nr"))
-    c = base.select(key, F.explode("_c").alias("g")).groupBy(key, "g").agg(F.count(F.lit(1)).alias("cc"))
-    r = base.select(key, F.explode("_r").alias("g")).groupBy(key, "g").agg(F.count(F.lit(1)).alias("rc"))
-    if mode == "unique":
-        c = c.withColumn("cc", F.lit(1))
-        r = r.withColumn("rc", F.lit(1))
-        sizes = (base.select(key, F.size(F.array_distinct("_c")).alias("_nc"), F.size(F.array_distinct("_r")).alias("_nr")))
-    overlap = c.join(r, [key, "g"]).groupBy(key).agg(F.sum(F.least("cc", "rc")).alias("_o"))
-    j = sizes.join(overlap, key, "left").fillna(0, ["_o"])
+    from pyspark.sql.pandas.types import to_arrow_schema
+    none = F.array().cast("array<string>")
+    toks = pairs.select(key, F.struct(F.coalesce(rouge_tokens(cand), none).alias("c"), F.coalesce(rouge_tokens(ref), none).alias("r")).alias("_t"))
+    grouped = toks.groupBy(key, F.when(F.col(key).isNull(), F.xxhash64("_t")).alias("_alone")).agg(F.collect_list("_t").alias("_t"))
+    schema = T.StructType([T.StructField(key, pairs.schema[key].dataType),
+                           *[T.StructField(c, T.LongType()) for c in ("_nc", "_nr", "_o")]])
+    j = grouped.select(key, "_t").mapInArrow(_gram_counts(n, mode == "unique", to_arrow_schema(schema)), schema)
     p = F.when(F.col("_nc") > 0, F.col("_o") / F.col("_nc")).otherwise(F.lit(0.0))
     rc = F.when(F.col("_nr") > 0, F.col("_o") / F.col("_nr")).otherwise(F.lit(0.0))
     out = j.select(key, p.alias("precision"), rc.alias("recall"))

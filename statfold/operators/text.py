@@ -7,10 +7,14 @@ excludes only ``\\n``; Java needs ``(?d)`` for the same.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from statfold.functions import arrays
 from statfold.operators.position import with_group_rank, with_position
@@ -167,6 +171,40 @@ def sentences(docs: DataFrame, key: str, text: str) -> DataFrame:
     return s.where(F.length("sentence") > 0)
 
 
+def _best_sentences(max_words: int, schema: pa.Schema):
+    """mapInArrow body: of (key, sentences) the sentences that go into the summary, and their words.
+
+    Words are numbered by the batch's dictionary, so counting them is a count of whole numbers.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            docs, each = batch.column(1), batch.column(1).flatten()
+            doc = np.repeat(np.arange(len(docs)), pc.list_value_length(docs).to_numpy())
+            idx, listed = each.field("idx").to_numpy().astype(np.int64), each.field("w")
+            size = pc.list_value_length(listed).to_numpy().astype(np.int64)
+            codes = listed.flatten().dictionary_encode()
+            owner = np.repeat(np.arange(len(each)), size)
+            _, at, times = np.unique(doc[owner] * (len(codes.dictionary) + 1) + codes.indices.to_numpy(),
+                                     return_inverse=True, return_counts=True)
+            # rows that repeat a key share its sentence numbers, and so their sums
+            _, place = np.unique(doc * (idx.max() + 1) + idx, return_inverse=True)
+            score = np.bincount(place[owner], weights=times[at])[place] / size
+            order = np.lexsort((idx, -score, doc))
+            start = np.searchsorted(doc, np.arange(len(docs)))
+            total = np.cumsum(size[order])
+            total -= (total[start] - size[order][start])[doc]   # ``order`` keeps the documents in their order
+            keep = np.sort(order[(total <= max_words) | (np.arange(len(order)) == start[doc])])
+            picked = each.take(pa.array(keep))
+            ends = np.searchsorted(doc[keep], np.arange(len(docs) + 1)).astype(np.int32)
+            texts = pa.StructArray.from_arrays([picked.field("idx"), picked.field("sentence")], fields=list(schema.field(1).type.value_type))
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0).cast(schema.field(0).type), pa.ListArray.from_arrays(pa.array(ends), texts).cast(schema.field(1).type),
+                pa.array(np.bincount(doc[keep], weights=size[keep], minlength=len(docs)).astype(np.int64))], schema=schema)
+    return run
+
+
 def extractive_summary(docs: DataFrame, key: str, text: str, max_words: int = 250) -> DataFrame:
     """TXT13: highest-scoring sentences within a word budget, re-assembled in document order.
 
@@ -174,20 +212,23 @@ def extractive_summary(docs: DataFrame, key: str, text: str, max_words: int = 25
     sentence (an exact rational: no float ties across engines); ties by sentence index. Sentences
     are taken greedily by score while the running word total stays within ``max_words`` (the best
     sentence is always kept).
+
+    A document is scored where it is: its sentences are cut by column functions, texts of one key meet in one
+    shuffle, and no word becomes a row. Rows with a null key take no part.
     """
-    s = sentences(docs, key, text).withColumn("_w", words("sentence")).withColumn("_nw", F.size("_w"))
-    s = s.where(F.col("_nw") > 0)
-    tf = s.select(key, F.explode("_w").alias("word")).groupBy(key, "word").agg(F.count(F.lit(1)).alias("_tf"))
-    sw = s.select(key, "idx", F.explode("_w").alias("word")).join(tf, [key, "word"])
-    score = sw.groupBy(key, "idx").agg(F.sum("_tf").alias("_sum"))
-    s = s.join(score, [key, "idx"]).withColumn("score", F.col("_sum") / F.col("_nw"))
-    w = Window.partitionBy(key).orderBy(F.col("score").desc(), F.col("idx")).rowsBetween(Window.unboundedPreceding, 0)
-    s = s.withColumn("_cum", F.sum("_nw").over(w)).withColumn("_rank", F.row_number().over(
-        Window.partitionBy(key).orderBy(F.col("score").desc(), F.col("idx"))))
-    chosen = s.where((F.col("_cum") <= max_words) | (F.col("_rank") == 1))
-    out = chosen.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("idx", "sentence"))).alias("_p"),
-                                  F.sum("_nw").alias("summary_words"))
-    return out.select(key, F.array_join(F.transform("_p", lambda p: p["sentence"]), " ").alias("summary"),
+    from pyspark.sql.pandas.types import to_arrow_schema
+    cut = F.filter(F.transform(F.regexp_extract_all(F.col(text), F.lit(SENTENCE), 0), lambda raw, i: F.struct(
+        i.cast("int").alias("idx"), F.regexp_replace(raw, r"^\s+|\s+$", "").alias("sentence"))), lambda x: F.length(x["sentence"]) > 0)
+    told = F.filter(F.transform(cut, lambda x: F.struct(
+        x["idx"].alias("idx"), x["sentence"].alias("sentence"), words(x["sentence"]).alias("w"))), lambda x: F.size(x["w"]) > 0)
+    each = docs.where(F.col(key).isNotNull()).select(key, told.alias("_s")).where(F.size("_s") > 0)
+    grouped = each.groupBy(key).agg(F.flatten(F.collect_list("_s")).alias("_s"))
+    schema = T.StructType([T.StructField(key, docs.schema[key].dataType),
+                           T.StructField("_p", T.ArrayType(T.StructType([T.StructField("idx", T.IntegerType()),
+                                                                         T.StructField("sentence", T.StringType())]))),
+                           T.StructField("summary_words", T.LongType())])
+    out = grouped.mapInArrow(_best_sentences(max_words, to_arrow_schema(schema)), schema)
+    return out.select(key, F.array_join(F.transform(F.array_sort("_p"), lambda p: p["sentence"]), " ").alias("summary"),
                       "summary_words")
 
 
