@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from statfold.functions.hashing import hash_uniform
 from statfold.operators.position import with_group_rank, with_position
-from statfold.operators.select import first_rows
+from statfold.operators.select import blocks, first_rows
 
 
 def with_hash_order(df: DataFrame, id_col: str, seed: int, col: str = "_u") -> DataFrame:
@@ -33,9 +33,9 @@ def exact_split(df: DataFrame, id_col: str, test_size: float = 0.25, seed: int =
     are the test set.
     """
     u = with_hash_order(df, id_col, seed)
-    cut = first_rows(u, ["_u", id_col], lambda n: [math.ceil(float(test_size) * n)])
+    cut = blocks(u, ["_u", id_col], lambda n: [math.ceil(float(test_size) * n)], out)
     if cut is not None:
-        return u.withColumn(out, F.when(cut[0], F.lit("test")).otherwise(F.lit("train"))).drop("_u")
+        return cut.withColumn(out, F.when(F.col(out) == 0, F.lit("test")).otherwise(F.lit("train"))).drop("_u")
     pos = with_position(u, ["_u", id_col], "_pos")
     n = pos.agg(F.count(F.lit(1)).alias("_n")).withColumn("_one", F.lit(1))
     joined = pos.withColumn("_one", F.lit(1)).join(F.broadcast(n), "_one")
@@ -96,12 +96,9 @@ def kfold(df: DataFrame, id_col: str, k: int = 10, mode: str = "shuffled", seed:
         return ranked.withColumn(out, ((F.col("_r") - 1) % k).cast("int")).drop("_u", "_r")
     order = ["_u", id_col] if mode == "shuffled" else [id_col]
     base = with_hash_order(df, id_col, seed) if mode == "shuffled" else df
-    ends = first_rows(base, order, lambda n: [n // k * (i + 1) + min(i + 1, n % k) for i in range(k - 1)])
-    if ends is not None:
-        fold = F.lit(k - 1)
-        for i in reversed(range(k - 1)):
-            fold = F.when(ends[i], F.lit(i)).otherwise(fold)
-        return base.withColumn(out, fold.cast("int")).drop("_u")
+    cut = blocks(base, order, lambda n: [n // k * (i + 1) + min(i + 1, n % k) for i in range(k - 1)], out)
+    if cut is not None:
+        return cut.drop("_u")
     pos = with_position(base, order, "_pos")
     n = pos.agg(F.count(F.lit(1)).alias("_n")).withColumn("_one", F.lit(1))
     joined = pos.withColumn("_one", F.lit(1)).join(F.broadcast(n), "_one")

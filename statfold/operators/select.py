@@ -66,7 +66,7 @@ def _grouped(table, width: int) -> dict:
 
 
 def _inside(data: DataFrame, cells: list[Cell], groups: list[str]) -> DataFrame:
-    """Rows of ``data`` inside the cells, with the cell's number ``_c``."""
+    """Rows of ``data`` inside the cells, with the cell's number ``_c``; others are left out or all null."""
     spark = data.sparkSession
     kind = data.schema["_x"].dataType
     schema = T.StructType([T.StructField("_c", T.IntegerType()),
@@ -81,7 +81,9 @@ def _inside(data: DataFrame, cells: list[Cell], groups: list[str]) -> DataFrame:
         for k, c in enumerate(cells):
             which = F.when(F.col("_x").between(F.lit(c.low).cast(kind), F.lit(c.high).cast(kind)), F.lit(k)).otherwise(which)
         lo, hi = (F.element_at(F.array(*[F.lit(getattr(c, e)).cast(kind) for c in cells]), F.col("_c") + 1) for e in ("low", "high"))
-        return data.withColumn("_c", which).where(F.col("_c").isNotNull()).withColumn("_lo", lo).withColumn("_hi", hi)
+        # rows outside keep a null ``_c`` and value: a filter here would be pushed down and work out ``_x`` for every limit
+        data = data.withColumn("_c", which)
+        return data.select("_c", F.when(F.col("_c").isNotNull(), F.col("_x")).alias("_x"), lo.alias("_lo"), hi.alias("_hi"))
     return data.join(small, on)
 
 
@@ -138,18 +140,29 @@ def values_at(df: DataFrame, value: str, wanted: Callable[[int], Sequence[int]],
     return found
 
 
-def _below(key: str, value) -> Column:
+def _below(key: str, value, equal: bool = False) -> Column:
+    """The key lies before ``value`` (``equal``: or at it); it is named once, as it may be costly to work out."""
     if value is None:
-        return F.lit(False)
-    less = F.lit(True) if value != value else F.col(key) < F.lit(value)
-    return F.col(key).isNull() | (less & ~F.col(key).eqNullSafe(F.lit(value)))
+        return F.col(key).isNull() if equal else F.lit(False)
+    if value != value:
+        return F.lit(True) if equal else F.coalesce(~F.isnan(F.col(key)), F.lit(True))
+    return F.coalesce(F.col(key) <= F.lit(value) if equal else F.col(key) < F.lit(value), F.lit(True))
 
 
-def first_rows(df: DataFrame, order_by: Sequence[str], bounds: Callable[[int], Sequence[int]]) -> list[Column] | None:
-    """For each bound the condition that holds for exactly that many first rows of ``df`` under ``order_by``.
+class Cut:
+    """Which rows are among the first ``bound``. ``among``: if the cut goes through rows equal in all keys, the condition
+    for them and the rows before them; ``first`` is then false for them."""
+
+    __slots__ = ("bound", "first", "among", "before")
+
+    def __init__(self, bound, first, among=None, before=0):
+        self.bound, self.first, self.among, self.before = bound, first, among, before
+
+
+def cuts(df: DataFrame, order_by: Sequence[str], bounds: Callable[[int], Sequence[int]]) -> list[Cut] | None:
+    """For each bound the cut after that many first rows of ``df`` under ``order_by``; None if a key is not numeric.
 
     ``bounds`` gets the number of rows. The row at the cut is found key by key, so rows are only filtered, not moved.
-    None if a key is not numeric, or if rows equal in all keys lie on either side of a cut.
     """
     order_by = list(order_by)
     if not all(isinstance(df.schema[k].dataType, NUMERIC) for k in order_by):
@@ -161,26 +174,72 @@ def first_rows(df: DataFrame, order_by: Sequence[str], bounds: Callable[[int], S
         return asked
     got = values_at(df, order_by[0], ranks)
     if not got:
-        return [F.lit(False) for _ in bounds(0)]
-    (rows, at), out = got[()], []
+        return [Cut(0, F.lit(False)) for _ in bounds(0)]
+    (rows, at), out, key = got[()], [], order_by[0]
+    through = {repr(at[b][0]): at[b] for b in asked if 0 < b < rows and b != at[b][1] + at[b][2]}
+    plain = [v for v, _, _ in through.values() if v is not None and v == v]
+    tied = df
+    if len(order_by) > 1 and len(plain) == len(through) > 1 and sum(n for _, _, n in through.values()) <= FETCH:
+        # the few rows at all cuts are fetched in one scan
+        tied = df.sparkSession.createDataFrame(df.where(F.col(key).isin(plain)).select(*order_by).toArrow())
     for bound in asked:
         if bound == 0 or bound == rows:
-            out.append(F.lit(bound == rows))
+            out.append(Cut(bound, F.lit(bound == rows)))
             continue
         value, before, equal = at[bound]
-        same = F.col(order_by[0]).eqNullSafe(F.lit(value))
         if bound == before + equal:
-            out.append(_below(order_by[0], value) | same)
+            out.append(Cut(bound, _below(key, value, True)))
             continue
+        same = F.col(key).eqNullSafe(F.lit(value))
         if len(order_by) == 1:
-            return None
-        rest = first_rows(df.where(same), order_by[1:], lambda _, left=bound - before: [left])
-        if rest is None:
-            return None
-        out.append(_below(order_by[0], value) | (same & rest[0]))
+            out.append(Cut(bound, _below(key, value), same, before))
+            continue
+        rest = cuts(tied.where(same), order_by[1:], lambda _, left=bound - before: [left])[0]
+        first = _below(key, value) | (same & rest.first)
+        out.append(Cut(bound, first) if rest.among is None else Cut(bound, first, rest.among & same, before + rest.before))
     return out
 
 
+def first_rows(df: DataFrame, order_by: Sequence[str], bounds: Callable[[int], Sequence[int]]) -> list[Column] | None:
+    """For each bound the condition that holds for exactly that many first rows of ``df`` under ``order_by``.
+
+    None if a key is not numeric, or if rows equal in all keys lie on either side of a cut.
+    """
+    found = cuts(df, order_by, bounds)
+    if found is None or any(c.among is not None for c in found):
+        return None
+    return [c.first for c in found]
+
+
+def blocks(df: DataFrame, order_by: Sequence[str], bounds: Callable[[int], Sequence[int]], out: str) -> DataFrame | None:
+    """Add the number of the block (from 0) that a row falls into when ``df`` is cut after each of the rising bounds.
+
+    Rows equal in all keys through which a cut goes are numbered on their own, in arbitrary order; all others are only
+    compared with the rows at the cuts. None if a key is not numeric.
+    """
+    from statfold.operators.position import with_group_rank
+    found = cuts(df, order_by, bounds)
+    if found is None:
+        return None
+    block = F.lit(len(found))
+    for i in reversed(range(len(found))):
+        block = F.when(found[i].first, F.lit(i)).otherwise(block)
+    torn = {c.before: c for c in found if c.among is not None}   # by the rows before: cuts through the same rows once
+    placed = df.withColumn(out, block.cast("int"))
+    if not torn:
+        return placed
+    which = F.lit(None).cast("long")
+    for before, c in torn.items():
+        which = F.when(c.among, F.lit(before)).otherwise(which)
+    ranked = with_group_rank(df.withColumn("_before", which).where(F.col("_before").isNotNull()), ["_before"],
+                             list(order_by), "_place", max_groups=len(torn))
+    place = F.col("_before") + F.col("_place")
+    block = F.lit(len(found))
+    for i in reversed(range(len(found))):
+        block = F.when(place <= F.lit(found[i].bound), F.lit(i)).otherwise(block)
+    return placed.where(which.isNull()).unionByName(ranked.withColumn(out, block.cast("int")).drop("_before", "_place"))
+
+
 def interpolated(at: dict, h: float) -> float:
     """The value at a fractional rank, linear between its neighbours."""
     low, high = (float(at[r][0]) for r in (math.floor(h), math.ceil(h)))

@@ -91,3 +91,34 @@ def test_cut_between_ties_and_equal_rows(spark):
     assert sampling.prefix_percent(df, ["a"], 33).count() == 66
     assert sampling.prefix_percent(df, ["s", "b"], 50).count() == 100
     assert sampling.prefix_percent(df.where("b < 0"), ["a", "b"], 33).count() == 0
+
+
+def test_splits_through_equal_rows_are_only_filtered(spark, monkeypatch):
+    numbered = []
+
+    def few(df, *a, **k):
+        numbered.append(df.count())
+        return position_of(df, *a, **k)
+    position_of = position.with_position
+    monkeypatch.setattr(position, "with_position", few)
+    monkeypatch.setattr(sampling, "with_position", few)
+    # every id three times: most cuts go through rows equal in all keys
+    df = spark.createDataFrame([(i // 3, float(i)) for i in range(1000)] + [(None, -1.0)] * 31, "id long, x double")
+    folds = sampling.kfold(df, "id", 10).collect()
+    assert sorted(r["x"] for r in folds) == sorted(r["x"] for r in df.collect())
+    assert [sum(r["fold"] == i for r in folds) for i in range(10)] == [104] + [103] * 9
+    order = {r["id"]: r["u"] for r in df.select("id", sampling.hash_uniform(42, "id").alias("u")).collect()}
+    seen = [(order[r["id"]] is not None, order[r["id"]] or 0.0) for r in sorted(folds, key=lambda r: r["fold"])]
+    edges = [[s for s, r in zip(seen, sorted(folds, key=lambda r: r["fold"])) if r["fold"] == i] for i in range(10)]
+    assert all(max(a) <= min(b) for a, b in zip(edges, edges[1:]))
+    split = sampling.exact_split(df, "id", 0.25, 42)
+    assert split.where("split = 'test'").count() == math.ceil(0.25 * 1031) and split.count() == 1031
+    nulls = sampling.kfold(df.where("id is null"), "id", 4).groupBy("fold").count().collect()
+    assert sorted(r["count"] for r in nulls) == [7, 8, 8, 8]
+    assert numbered and max(numbered) <= 31
+
+
+def test_cut_names_a_costly_key_once(spark):
+    df = spark.range(5000).withColumn("id", F.col("id") * 3)
+    plan = sampling.exact_split(df, "id", 0.25).where("split = 'train'")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("md5(") <= 2
