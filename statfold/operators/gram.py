@@ -69,11 +69,11 @@ def _shift(data: DataFrame, cols: list[str]) -> list[float]:
     return [float(row[f"_s{i}"]) if row is not None and row[f"_s{i}"] is not None else 0.0 for i in range(len(cols))]
 
 
-def moment_aggregates(cols: Sequence[str], shift: Sequence[float]) -> list[Column]:
-    """count, sums and sums of products of the shifted columns (plain SUMs: codegen-friendly)."""
+def moment_aggregates(cols: Sequence[str], shift: Sequence[float], counted: str | None = None) -> list[Column]:
+    """count (of non-null ``counted``), sums and sums of products of the shifted columns (plain SUMs: codegen-friendly)."""
     cols = list(cols)
     sh = [F.col(c) - F.lit(float(s)) for c, s in zip(cols, shift)]
-    aggs = [F.count(F.lit(1)).alias("_n")]
+    aggs = [F.count(F.col(counted) if counted else F.lit(1)).alias("_n")]
     aggs += [F.sum(x).alias(f"_m{i}") for i, x in enumerate(sh)]
     for i in range(len(cols)):
         for j in range(i, len(cols)):
@@ -100,23 +100,36 @@ def _complete(df: DataFrame, cols: list[str], key: str | None = None) -> DataFra
     return df.select(*keep).na.drop("any", subset=cols)
 
 
+def _blanked(df: DataFrame, cols: list[str], key: str | None = None) -> DataFrame:
+    """Every row, with null in all of ``cols`` unless it is complete, and ``_full`` (1 or null).
+
+    The sums leave nulls out. A filter would be pushed below the columns and work out each derived one again.
+    """
+    keep = [F.col(key)] if key else []
+    doubles = df.select(*keep, *[F.col(c).cast("double").alias(c) for c in cols])
+    full = F.lit(True)
+    for c in cols:   # as ``na.drop``: NaN counts as missing
+        full = full & F.col(c).isNotNull() & ~F.isnan(c)
+    marked = doubles.withColumn("_full", F.when(full, F.lit(1)))
+    return marked.select(*keep, "_full", *[F.when(F.col("_full") == 1, F.col(c)).alias(c) for c in cols])
+
+
 def moments(df: DataFrame, cols: Sequence[str]) -> Moments:
     """Moments of complete rows (any null in ``cols`` drops the row)."""
     cols = list(cols)
-    data = _complete(df, cols)
-    shift = _shift(data, cols)
-    row = data.agg(*moment_aggregates(cols, shift)).first()
+    shift = _shift(_complete(df, cols), cols)
+    row = _blanked(df, cols).agg(*moment_aggregates(cols, shift, "_full")).first()
     return _to_moments(row, cols, shift)
 
 
 def moments_by(df: DataFrame, cols: Sequence[str], key: str) -> dict:
     """Moments per value of ``key`` (one output row per key, e.g. per fold)."""
     cols = list(cols)
-    data = _complete(df, cols, key)
-    shift = _shift(data, cols)
+    shift = _shift(_complete(df, cols, key), cols)
     out = {}
-    for row in data.groupBy(key).agg(*moment_aggregates(cols, shift)).collect():
-        out[row[key]] = _to_moments(row, cols, shift)
+    for row in _blanked(df, cols, key).groupBy(key).agg(*moment_aggregates(cols, shift, "_full")).collect():
+        if row["_n"]:
+            out[row[key]] = _to_moments(row, cols, shift)
     return out
 
 
