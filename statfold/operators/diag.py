@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from statfold.functions import dist
 from statfold.operators.linear import design
 from statfold.operators.position import with_position
+from statfold.session import cut_lineage
 
 
 def qq_points(df: DataFrame, col: str, a: float = 0.0) -> DataFrame:
@@ -33,7 +34,7 @@ def _fit(frame, features, y, family, offset=None):
     if not features:
         from pyspark.ml.functions import array_to_vector
         vec = vec.withColumn("_features", array_to_vector("_features"))
-    glr = GeneralizedLinearRegression(family=family, featuresCol="_features", labelCol=y, maxIter=100, tol=1e-10)
+    glr = GeneralizedLinearRegression(family=family, featuresCol="_features", labelCol=y, weightCol="_w", maxIter=100, tol=1e-10)
     if offset is not None:
         glr = glr.setOffsetCol(offset)
     return glr.fit(vec)
@@ -43,9 +44,13 @@ def profile_intervals(df: DataFrame, y: str, terms: Sequence[str], family: str =
                       conf: float = 0.95, max_iter: int = 8, tol: float = 1e-4) -> DataFrame:
     """REG12: ``confint(glm)``: for each slope, the values where the signed root deviance
     ``sign(b - b_hat) * sqrt(dev(b) - dev_min)`` reaches +-z. Each evaluation is one MLlib fit
-    with that coefficient fixed through ``offsetCol``; secant steps start from the Wald bounds."""
+    with that coefficient fixed through ``offsetCol``; secant steps start from the Wald bounds.
+
+    The many fits read the rows once: equal rows of the design become one with their number as weight (the likelihood
+    and deviance are sums over rows), and this table is written."""
     d = design(df, y, terms)
-    frame = d.frame.cache()
+    frame = d.frame.groupBy(d.y, *d.columns).agg(F.count(F.lit(1)).cast("double").alias("_w"))
+    frame = cut_lineage(frame)
     full = _fit(frame, d.columns, d.y, family)
     dev0 = full.summary.deviance
     se = list(full.summary.coefficientStandardErrors)
@@ -70,5 +75,4 @@ def profile_intervals(df: DataFrame, y: str, terms: Sequence[str], family: str =
                 f1 = root(b1) - sign * z
             bounds.append(b1)
         rows.append((d.labels[j], b_hat, bounds[0], bounds[1]))
-    frame.unpersist()
     return df.sparkSession.createDataFrame(rows, "term string, estimate double, profile_lo double, profile_hi double")
