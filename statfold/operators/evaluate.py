@@ -145,12 +145,41 @@ def roc_curve(df: DataFrame, label: str, score: str, positive=1) -> DataFrame:
     return start.unionByName(pts)
 
 
+def _rank_sums(batches):
+    """mapInArrow body: the rank sum of the positives of one sorted range partition, counted from its start."""
+    import pyarrow as pa
+    from pyspark import TaskContext
+    done = positives = 0
+    ranks = 0.0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        pos, neg = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns)
+        both = pos + neg
+        first = done + np.cumsum(both) - both
+        ranks += float(np.sum(pos * (first + (both + 1) / 2.0)))
+        done += int(both.sum())
+        positives += int(pos.sum())
+    if done:
+        yield pa.RecordBatch.from_arrays([
+            pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([ranks]),
+            pa.array([positives], pa.int64()), pa.array([done - positives], pa.int64())], names=["_pid", "rs", "P", "N"])
+
+
 def auc(df: DataFrame, label: str, score: str, positive=1) -> DataFrame:
-    """ML10: exact AUC = Mann-Whitney U with average ranks for ties (equals the ROC trapezoid)."""
-    t = _score_table(df, label, score, positive).withColumn("cnt", F.col("pos") + F.col("neg"))
-    t = running_sum(t, ["score"], "cnt", "_cum")
-    rank = F.col("_cum") - F.col("cnt") + (F.col("cnt") + 1) / 2.0
-    a = t.agg(F.sum(F.col("pos") * rank).alias("rs"), F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    """ML10: exact AUC = Mann-Whitney U with average ranks for ties (equals the ROC trapezoid).
+
+    The distinct scores are range-partitioned and sorted once; each partition returns the rank sum of its positives and
+    its counts (one row per partition), and the rows of earlier partitions are added from that small table.
+    """
+    t = _score_table(df, label, score, positive).fillna(0, ["pos", "neg"])
+    keys = [F.col("score")]
+    parts = _ranged(t, keys, _partitions(t, None), False).select("pos", "neg").mapInArrow(
+        _rank_sums, "_pid int, rs double, P long, N long")
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    shifted = parts.withColumn("_off", F.coalesce(F.sum(F.col("P") + F.col("N")).over(before), F.lit(0)))
+    a = shifted.agg(F.sum(F.col("rs") + F.col("P") * F.col("_off").cast("double")).alias("rs"), F.sum("P").alias("P"),
+                    F.sum("N").alias("N"))
     u = F.col("rs") - F.col("P") * (F.col("P") + 1) / 2.0
     # one-class input has no AUC: null rather than a division error
     return a.select(F.try_divide(u, F.col("P") * F.col("N")).alias("auc"), F.col("P").alias("n_pos"),
