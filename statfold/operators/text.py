@@ -82,8 +82,7 @@ def join_question_answer(question, answer, text=None) -> Column:
 
 def words(text) -> Column:
     """Lower-cased letter/digit tokens (the tokeniser used by the vocabulary and the n-gram model)."""
-    parts = F.split(F.lower(_c(text)), r"[^\p{L}\p{N}]+")
-    return F.filter(parts, lambda w: F.length(w) > 0)
+    return F.regexp_extract_all(F.lower(_c(text)), F.lit(r"[\p{L}\p{N}]+"), 0)
 
 
 # Reserved token ids (padding, unknown, start, end).
@@ -119,7 +118,7 @@ def encode(docs: DataFrame, key: str, text: str, vocab: DataFrame, max_len: int
     ids = tok.join(broadcast_if_small(vocab.select("word", "token_id")), "word", "left").select(
         key, "n_tokens", F.when(F.col("i").isNotNull(), F.struct(
             "i", F.coalesce("token_id", F.lit(UNK_ID)).alias("token_id"))).alias("_e"))
-    grouped = ids.groupBy(key, "n_tokens").agg(F.array_sort(F.collect_list("_e")).alias("_s"))
+    grouped = ids.groupBy(key, "n_tokens").agg(F.sort_array(F.collect_list("_e")).alias("_s"))   # no comparing lambda
     seq = grouped.select(key, "n_tokens", F.transform("_s", lambda s: s["token_id"]).alias("_ids"))
     framed = F.concat(F.array(F.lit(START_ID)), F.col("_ids"), F.array(F.lit(END_ID)))
     pad = F.array_repeat(F.lit(PAD_ID), F.lit(max_len) - F.size(framed))
