@@ -46,10 +46,14 @@ def profile_intervals(df: DataFrame, y: str, terms: Sequence[str], family: str =
     ``sign(b - b_hat) * sqrt(dev(b) - dev_min)`` reaches +-z. Each evaluation is one MLlib fit
     with that coefficient fixed through ``offsetCol``; secant steps start from the Wald bounds.
 
-    The many fits read the rows once: equal rows of the design become one with their number as weight (the likelihood
-    and deviance are sums over rows), and this table is written."""
+    The many fits read the rows once, as they are written first. Binomial rows with equal terms become one row with
+    their share of ones and their number as weight: the likelihood is linear in the label, so that only a constant is
+    taken from every deviance, and their differences stay."""
     d = design(df, y, terms)
-    frame = d.frame.groupBy(d.y, *d.columns).agg(F.count(F.lit(1)).cast("double").alias("_w"))
+    if family == "binomial":
+        frame = d.frame.groupBy(*d.columns).agg(F.avg(d.y).alias(d.y), F.count(F.lit(1)).cast("double").alias("_w"))
+    else:
+        frame = d.frame.withColumn("_w", F.lit(1.0))
     frame = cut_lineage(frame)
     full = _fit(frame, d.columns, d.y, family)
     dev0 = full.summary.deviance
