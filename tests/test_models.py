@@ -70,3 +70,15 @@ def test_moments_do_not_filter_derived_columns(spark):
     derived = df.withColumn("a", F.length(F.md5(F.col("a").cast("string"))).cast("double"))
     plan = gram._blanked(derived, ["a", "b"])._jdf.queryExecution().executedPlan().toString()
     assert "Filter" not in plan and plan.count("md5(") == 1
+
+
+def test_words_and_encoding_call_no_lambda_per_word(spark):
+    from statfold.operators import text
+    df = spark.createDataFrame([(1, "Äb1 c--C;"), (2, "..."), (3, ""), (4, None), (5, "b  äB1")], "id long, t string")
+    told = df.select("id", text.words("t").alias("w"))
+    assert dict(map(tuple, told.collect())) == {1: ["äb1", "c", "c"], 2: [], 3: [], 4: None, 5: ["b", "äb1"]}
+    assert "lambda" not in told._jdf.queryExecution().optimizedPlan().toString()
+    vocab = text.build_vocabulary(df, "t")
+    assert {r["word"]: r["token_id"] for r in vocab.collect()} == {"c": 4, "äb1": 5, "b": 6}
+    enc = {r["id"]: r["input_ids"] for r in text.encode(df, "id", "t", vocab, 5).collect()}
+    assert enc[1] == [2, 5, 4, 4, 3] and enc[5] == [2, 6, 5, 3, 0] and enc[2] == [2, 3, 0, 0, 0]
