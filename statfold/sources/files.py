@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import os
+import re
+import shutil
+import uuid
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 # The strings pandas ``read_csv`` reads as missing by default.
 PANDAS_NA = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
@@ -38,16 +45,93 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
 
 
 FOLDERS = 64   # least number of folders: more than Spark lists on the driver
+_NO_KEY = "__HIVE_DEFAULT_PARTITION__"   # as Spark names the folder of a null or empty key
+_ESCAPED = re.compile("[\x01-\x1f\x7f\"#%'*/:=?\\\\{\\[\\]^]")
+
+
+def _local(path: str, default: str = "file:///") -> str | None:
+    """The plain path of a folder in a file system that is mounted; None for a store that is reached by URL.
+
+    ``default`` is the store of paths without a scheme.
+    """
+    if path.startswith("file:"):
+        return "/" + path[5:].lstrip("/")
+    if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:/", path) or not default.startswith("file:"):
+        return None
+    return os.path.abspath(path)
+
+
+@dataclass
+class Folder(WriterCommitMessage):
+    temporary: str | None
+
+
+class DocumentWriter(DataSourceArrowWriter):
+    """A folder a task, a file a row of (key, content); the driver names the folders of successful attempts."""
+
+    def __init__(self, path: str, key: str, overwrite: bool):
+        self.path, self.key, self.overwrite = path, key, overwrite
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Folder:
+        own, count = os.path.join(self.path, f"_{uuid.uuid4().hex}"), 0
+        try:
+            for batch in iterator:
+                for key, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    name = _ESCAPED.sub(lambda m: f"%{ord(m[0]):02X}", key) if key else _NO_KEY
+                    folder = os.path.join(own, f"{self.key}={name}")
+                    os.makedirs(folder, exist_ok=True)
+                    with open(os.path.join(folder, f"part-{count:09d}.txt"), "xb") as f:
+                        f.write(content.as_buffer() or b"")
+                        f.write(b"\n")
+                    count += 1
+        except BaseException:
+            shutil.rmtree(own, ignore_errors=True)
+            raise
+        return Folder(own if count else None)
+
+    def commit(self, messages: list[Folder | None]) -> None:
+        made = [m.temporary for m in messages if m is not None and m.temporary]
+        os.makedirs(self.path, exist_ok=True)
+        if self.overwrite:
+            for name in set(os.listdir(self.path)) - {os.path.basename(x) for x in made}:
+                old = os.path.join(self.path, name)
+                shutil.rmtree(old) if os.path.isdir(old) else os.remove(old)
+        for k, folder in enumerate(made):
+            os.replace(folder, os.path.join(self.path, f"folder={k}"))
+
+    def abort(self, messages: list[Folder | None]) -> None:
+        for m in messages:
+            if m is not None and m.temporary:
+                shutil.rmtree(m.temporary, ignore_errors=True)
+
+
+class DocumentSource(DataSource):
+    """``df.write.format("documents").option("key", name).save(folder)`` of columns (key string, content binary)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "documents"
+
+    def writer(self, schema, overwrite: bool) -> DocumentWriter:
+        return DocumentWriter(self.options["path"], self.options["key"], overwrite)
 
 
 def write_documents(docs: DataFrame, path: str, key: str, text: str) -> list[str]:
     """SRC4: one text file a row, under ``path/folder=N/<key>=value``; returns the folders, for :func:`read_documents`.
 
     All files of a folder are written by one task, so the driver gives whole folders their final place and not file by
-    file, and as the folders are read as so many paths, Spark lists them in tasks.
+    file, and as the folders are read as so many paths, Spark lists them in tasks. In a mounted folder (one that the
+    driver and all executors see under the same path) the tasks write the files themselves: Hadoop's writer starts
+    ``chmod`` as a process for each file and for its checksum file. Stores reached by URL get Spark's text writer.
     """
     spark = docs.sparkSession
     n = max(FOLDERS, int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 2 * spark.sparkContext.defaultParallelism)
+    mounted = _local(path, spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///"))
+    if mounted is not None:
+        spark.dataSource.register(DocumentSource)
+        rows = docs.select(F.col(key).cast("string").alias("key"), F.col(text).cast("binary").alias("content"))
+        (rows.repartition(n, "key", "content").write.format("documents").option("key", key).mode("overwrite").save(mounted))
+        return [f"{path}/{x}" for x in sorted(os.listdir(mounted))] or [path]
     rows = docs.select(F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("folder"), key, text)
     (rows.repartition(n, "folder").write.partitionBy("folder", key).option("maxRecordsPerFile", 1).mode("overwrite").text(path))
     return [f"{path}/folder={r.folder}" for r in rows.select("folder").distinct().collect()] or [path]

@@ -1,5 +1,7 @@
 """Summaries, ROUGE-N and document files on rows of their own: results, and no word or n-gram becomes a row."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from statfold.operators import rouge, text
@@ -44,3 +46,29 @@ def test_document_files_of_a_folder_are_written_by_one_task(spark, tmp_path):
     assert got == sorted((i % 280, f"t{i}\n") for i in range(300))   # a file a row, also for repeated keys
     none = files.write_documents(docs.limit(0), str(tmp_path / "none"), "page_id", "html")
     assert files.read_documents(spark, none, "*.txt").count() == 0
+
+
+def test_document_files_are_written_without_a_process_a_file(spark, tmp_path):
+    """Hadoop's local writer, which starts ``chmod`` for each file, leaves a checksum file beside each."""
+    rows = [("a", "x"), ("a", "x"), ("a", None), (None, "n"), ("", "e"), ("b:/%c d", "größe\nzwei"), ("z", "")]
+    docs = spark.createDataFrame(rows, "k string, t string").repartition(3)
+    path = tmp_path / "docs"
+    (path / "folder=999").mkdir(parents=True)
+    (path / "folder=999" / "old.txt").write_text("goes")
+    folders = files.write_documents(docs, f"file://{path}", "k", "t")
+    names = [f for _, _, found in os.walk(path) for f in found]
+    assert len(names) == len(rows) and all(f.endswith(".txt") for f in names)
+    none = "__HIVE_DEFAULT_PARTITION__"
+    named = {"a": "a", None: none, "": none, "b:/%c d": "b%3A%2F%25c d", "z": "z"}
+    got = [(r.path.split("/k=")[1].split("/")[0], r.text, r.bytes, r.rejected) for r in files.read_documents(spark, folders, "*.txt").collect()]
+    want = [(named[k], (t or "") + "\n", len((t or "").encode()) + 1, False) for k, t in rows]
+    assert sorted(got) == sorted(want)
+    # as Spark's own writer names the folders
+    docs.write.partitionBy("k").text(str(tmp_path / "spark"))
+    assert {f[2:] for f in os.listdir(tmp_path / "spark") if f.startswith("k=")} == set(named.values())
+
+
+def test_paths_of_mounted_folders_and_of_stores():
+    assert files._local("file:/a/b") == files._local("file:///a/b") == files._local("/a/b") == "/a/b"
+    assert files._local("hdfs://host/a") is None and files._local("s3a://b/a") is None
+    assert files._local("/a/b", "hdfs://host") is None and files._local("file:/a/b", "hdfs://host") == "/a/b"
