@@ -243,7 +243,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def held_out(id_col: str = "doc_id"):
-    """True for the quarter of documents that no model may learn from; false for a null id."""
+    """True for the quarter of documents that the model of op3 may not learn from; false for a null id."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 

@@ -1,4 +1,5 @@
 import collections
+import zlib
 
 import duckdb
 import numpy as np
@@ -67,3 +68,24 @@ def test_stages_take_an_empty_table(spark):
 
 def test_one_query_for_each_operator():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
+
+
+def test_language_learns_from_held_out_documents_too(spark):
+    """A language whose documents all lie in the quarter that op3 holds out is learned, so its documents stay."""
+    out = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 4 == 2]
+    ids = sorted(set(range(1000)) - set(out))
+    words = [f"{a}{b}" for a in ("har", "mon", "tel", "vis") for b in ("den", "lor", "ser", "tam")]
+    other = [f"{a}{b}" for a in ("щук", "жёл", "цыф", "эхо") for b in ("ющи", "мыш", "ньк", "зъе")]
+    draw = np.random.default_rng(5)
+    rows = [(i, " ".join(draw.choice(words, 30)), "aa") for i in ids[:60]] + [(i, " ".join(draw.choice(other, 30)), "bb") for i in out[:20]]
+    left = corpus_pipeline.language(spark, docs(spark, rows), SF_SMALL)
+    assert {r.doc_id for r in left.collect()} == {i for i, _, _ in rows}
+
+
+def test_packed_pieces_have_the_ids_of_their_documents(spark):
+    data = [(1, "some words to pack"), (2, None), (3, "long text of words " * 2000)]
+    enc, got = Encoder(tokenizer_path()), collections.defaultdict(list)
+    for r in sorted(corpus_pipeline.packed(spark, docs(spark, data), SF_SMALL).collect(), key=lambda r: r.start):
+        assert len(r.ids) == r.length
+        got[r.doc_id] += r.ids
+    assert got == {i: [*enc.ids(t or ""), 2] for i, t in data}
