@@ -77,22 +77,82 @@ def pca(df: DataFrame, cols: Sequence[str], scale: bool = True) -> Pca:
     return pca_from_moments(gram.moments(df, cols), cols, scale)
 
 
-def pcr_cv(train: DataFrame, cols: Sequence[str], y: str, fold_col: str, scale: bool = True) -> tuple[pd.DataFrame, Pca]:
-    """REG13: CV RMSE of regressing y on the first k scores, k = 1..p.
+@dataclass
+class Pcr:
+    """REG13: a regression on the first ``k`` scores, written on the columns themselves."""
+    k: int
+    intercept: float
+    coef: dict[str, float]
+    test_rmse: float | None = None
+
+    def prediction(self) -> Column:
+        return sum((F.col(c).cast("double") * F.lit(b) for c, b in self.coef.items()), F.lit(self.intercept))
+
 
-    The components are fitted once on the whole training table; the fold
-    moments of the scores come from one grouped pass, and every k is a
-    sub-matrix of the same moments.
+def _score_moments(m: gram.Moments, weights: np.ndarray, pcs: list[str]) -> gram.Moments:
+    """Moments of the scores ``x @ weights`` and of y, from those of the columns and y (the last name)."""
+    w = np.zeros((len(pcs) + 1, len(m.names)))
+    w[:-1, :-1], w[-1, -1] = weights.T, 1.0
+    return gram.Moments([*pcs, "_y"], m.n, w @ m.mean, w @ m.comoment @ w.T)
+
+
+def _fold_rmse(train: gram.Moments, fold: gram.Moments, cols: list[str], scale: bool) -> list[float]:
+    """RMSE on a fold for k = 1..p, scale and components being those of the other folds; without variance they count 0."""
+    if train.n < 2:
+        return [math.nan] * len(cols)
+    pcs = [f"PC{j + 1}" for j in range(len(cols))]
+    cov = train.sub(cols).cov(1)
+    sd = np.sqrt(np.clip(np.diag(cov), 0, None))
+    every = np.sqrt(np.clip(np.diag((train + fold).sub(cols).cov(1)), 0, None))
+    shrink = np.where(sd > 1e-6 * every, 1 / np.where(sd > 0, sd, 1), 0) if scale else np.ones(len(cols))
+    vals, vecs = np.linalg.eigh(cov * np.outer(shrink, shrink))
+    weights = shrink[:, None] * vecs[:, np.argsort(vals)[::-1]]
+    own, other = _score_moments(train, weights, pcs), _score_moments(fold, weights, pcs)
+    var = np.diag(own.comoment)[:-1]
+    live = var > 1e-12 * var.max()
+    beta = np.where(live, own.comoment[:-1, -1] / np.where(live, var, 1), 0)   # scores do not correlate
+    return [math.sqrt(max(linear.sse_on(other, pcs[:k], "_y", beta[:k], own.mean[-1] - own.mean[:k] @ beta[:k]), 0) / fold.n)
+            for k in range(1, len(cols) + 1)]
+
+
+def pcr_cv(train: DataFrame, cols: Sequence[str], y: str, fold_col: str, scale: bool = True,
+           test: DataFrame | None = None) -> tuple[pd.DataFrame, Pca, Pcr]:
+    """REG13: CV RMSE of regressing y on the first k scores, k = 1..p, the refit at the best k and its test RMSE.
+
+    ``cv_rmse`` and ``mean_fold_rmse`` take the components of the whole training table, as the reference does;
+    ``fold_pca_rmse`` is the mean over folds when scale and components too come from the other folds alone. The best k
+    has the least ``mean_fold_rmse`` (the smaller of equal ones); the model is refitted there on all training rows and
+    predicts the complete rows of ``test``, scaled as the training rows are. Components need no y.
+
+    One grouped pass gives the moments of the columns by fold; those of the scores, and every k, follow from them.
     """
-    p = pca(train, cols, scale)
-    scores = train.select(F.col(fold_col), F.col(y).cast("double").alias("_y"), *p.score_columns())
+    cols = list(cols)
+    value = F.col(y).cast("double")
+    parts = gram.moments_by(train.select(
+        F.struct(F.col(fold_col).alias("fold"), (value.isNull() | F.isnan(value)).alias("bare")).alias("_part"),
+        *[F.col(c).cast("double").alias(c) for c in cols],
+        F.when(value.isNotNull() & ~F.isnan(value), value).otherwise(0.0).alias("_y")), [*cols, "_y"], "_part")
+    if all(part.bare for part in parts):
+        raise ValueError("no complete training row")
+    p = pca_from_moments(gram.combine(list(parts.values())), cols, scale)
+    raw = {part.fold: m for part, m in parts.items() if not part.bare}
     pcs = [f"PC{j + 1}" for j in range(len(cols))]
-    folds = gram.moments_by(scores, pcs + ["_y"], fold_col)
+    weights = p.rotation / p.scale[:, None]
+    folds = {k: _score_moments(m, weights, pcs) for k, m in raw.items()}
+    total = gram.combine(list(raw.values()))
+    own = np.mean([_fold_rmse(total - m, m, cols, scale) for m in raw.values()], axis=0)
     rows = []
     for k in range(1, len(cols) + 1):
         cv = linear.cv_linear(folds, pcs[:k], "_y")
-        rows.append((k, float(np.sqrt((cv["mse"] * cv["n"]).sum() / cv["n"].sum())), float(cv["rmse"].mean())))
-    return pd.DataFrame(rows, columns=["k", "cv_rmse", "mean_fold_rmse"]), p
+        rows.append((k, float(np.sqrt((cv["mse"] * cv["n"]).sum() / cv["n"].sum())), float(cv["rmse"].mean()), float(own[k - 1])))
+    table = pd.DataFrame(rows, columns=["k", "cv_rmse", "mean_fold_rmse", "fold_pca_rmse"])
+    best = int(table["k"][table["mean_fold_rmse"].fillna(math.inf).idxmin()])
+    beta, _, intercept = linear._fit(gram.combine(list(folds.values())), pcs[:best], "_y")
+    model = Pcr(best, intercept, dict(zip(cols, (weights[:, :best] @ beta).tolist())))
+    if test is not None:
+        known = gram._blanked(test, [*cols, y])
+        model.test_rmse = linear.mse(known.withColumn("_pred", model.prediction()), y, "_pred").first()["rmse"]
+    return table, p, model
 
 
 def _assigned(centers: np.ndarray, schema):

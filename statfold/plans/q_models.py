@@ -133,8 +133,10 @@ def reg9_mse(spark, sf):
 def reg13_pcr_cv(spark, sf):
     ex = sampling.exact_split(_exam(spark, sf), "id", 0.25, 42)
     train = sampling.kfold(ex.where(F.col("split") == "train").drop("split"), "id", 10, "shuffled", 42)
-    table, _ = reduce.pcr_cv(train, ["ugpa", "gpa", "fam_inc", "tier", "fulltime"], "lsat", "fold")
-    return spark.createDataFrame(table)
+    table, _, model = reduce.pcr_cv(train, ["ugpa", "gpa", "fam_inc", "tier", "fulltime"], "lsat", "fold",
+                                    test=ex.where(F.col("split") == "test"))
+    out = spark.createDataFrame(table).withColumn("chosen", F.col("k") == F.lit(model.k))
+    return out.withColumn("test_rmse", F.when(F.col("chosen"), F.lit(model.test_rmse).cast("double")))
 
 
 @register("reg14_best_subsets")

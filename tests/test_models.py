@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from statfold.operators import diag, evaluate, glm, gram
+from statfold.operators import diag, evaluate, glm, gram, reduce
 
 
 def _deviance(x, y, offset, steps=60):
@@ -82,3 +82,61 @@ def test_words_and_encoding_call_no_lambda_per_word(spark):
     assert {r["word"]: r["token_id"] for r in vocab.collect()} == {"c": 4, "äb1": 5, "b": 6}
     enc = {r["id"]: r["input_ids"] for r in text.encode(df, "id", "t", vocab, 5).collect()}
     assert enc[1] == [2, 5, 4, 4, 3] and enc[5] == [2, 6, 5, 3, 0] and enc[2] == [2, 3, 0, 0, 0]
+
+
+def _pcr(x, y, fold, k, inside):
+    """Mean fold RMSE and RMSE over all rows of a regression on k components, fitted ``inside`` the folds or on all rows."""
+    def components(rows):
+        mean, sd = x[rows].mean(axis=0), x[rows].std(axis=0, ddof=1)
+        v = np.linalg.svd((x[rows] - mean) / sd, full_matrices=False)[2]
+        return lambda at: ((x[at] - mean) / sd) @ v[:k].T
+    errors = []
+    for f in np.unique(fold):
+        rows, out = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
+        score = components(rows if inside else np.arange(len(x)))
+        beta = np.linalg.lstsq(np.column_stack([np.ones(len(rows)), score(rows)]), y[rows], rcond=None)[0]
+        errors.append((y[out] - np.column_stack([np.ones(len(out)), score(out)]) @ beta) ** 2)
+    return np.mean([np.sqrt(e.mean()) for e in errors]), np.sqrt(np.concatenate(errors).mean())
+
+
+def test_component_regression_is_refitted_and_tested(spark):
+    rng = np.random.default_rng(8)
+    n = 260
+    base = rng.normal(size=(n, 2))
+    x = np.column_stack([base[:, 0], base[:, 0] * 3 + rng.normal(size=n), base[:, 1] * 0.1, rng.normal(size=n) * 50 + 7])
+    y = 2 * base[:, 0] + base[:, 1] + rng.normal(size=n) * 2
+    fold = rng.integers(0, 5, n)
+    part = np.where(np.arange(n) < 200, "train", "test")
+    rows = [(*map(float, r), float(v), int(f), t) for r, v, f, t in zip(x, y, fold, part)]
+    # incomplete rows take no part, on either side
+    rows += [(None, 1.0, 1.0, 1.0, 1.0, 0, "train"), (1.0, 1.0, None, 1.0, 9.0, 0, "test"), (1.0, 1.0, 1.0, 1.0, None, 0, "test"),
+             (1.0, 1.0, 1.0, 1.0, math.nan, 0, "test")]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, y double, fold int, part string").repartition(3)
+    cols = list("abcd")
+    table, p, model = reduce.pcr_cv(df.where("part = 'train'"), cols, "y", "fold", test=df.where("part = 'test'"))
+    x, y, fold, far, goal = x[:200], y[:200], fold[:200], x[200:], y[200:]
+    for k, cv, mean, own in table.itertuples(index=False):
+        assert (mean, cv) == pytest.approx(_pcr(x, y, fold, k, False), rel=1e-9)
+        assert own == pytest.approx(_pcr(x, y, fold, k, True)[0], rel=1e-9)
+    assert model.k == table["k"][table["mean_fold_rmse"].idxmin()]
+    mean, sd = x.mean(axis=0), x.std(axis=0, ddof=1)
+    v = np.linalg.svd((x - mean) / sd, full_matrices=False)[2][:model.k].T
+    beta = np.linalg.lstsq(np.column_stack([np.ones(200), (x - mean) / sd @ v]), y, rcond=None)[0]
+    off = goal - np.column_stack([np.ones(60), (far - mean) / sd @ v]) @ beta
+    assert model.test_rmse == pytest.approx(np.sqrt((off ** 2).mean()), rel=1e-9)
+
+
+def test_components_come_from_rows_without_y_too(spark):
+    rows = [(float(i), float(i % 5), float(i * i % 7), i % 3) for i in range(30)] + [(40.0, 9.0, None, 0), (-3.0, 2.0, math.nan, 1)]
+    df = spark.createDataFrame(rows, "a double, b double, y double, fold int")
+    _, p, model = reduce.pcr_cv(df, ["a", "b"], "y", "fold")
+    want = reduce.pca(df, ["a", "b"])
+    assert np.allclose(p.mean, want.mean) and np.allclose(p.rotation, want.rotation) and np.allclose(p.scale, want.scale)
+    assert model.test_rmse is None and set(model.coef) == {"a", "b"}
+
+
+def test_a_column_that_only_one_fold_varies(spark):
+    rows = [(float(i % 6), float(i == 3), float(i), i % 4) for i in range(40)]
+    df = spark.createDataFrame(rows, "a double, b double, y double, fold int")
+    table, _, _ = reduce.pcr_cv(df.where("fold <> 3 or b = 1"), ["a", "b"], "y", "fold")
+    assert len(table) == 2 and table["fold_pca_rmse"].between(0, 100).all()
