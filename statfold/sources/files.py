@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import fnmatch
+import json
 import os
 import re
 import shutil
@@ -13,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 # The strings pandas ``read_csv`` reads as missing by default.
 PANDAS_NA = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
@@ -49,6 +51,10 @@ _NO_KEY = "__HIVE_DEFAULT_PARTITION__"   # as Spark names the folder of a null o
 _ESCAPED = re.compile("[\x01-\x1f\x7f\"#%'*/:=?\\\\{\\[\\]^]")
 
 
+_MAGIC = re.compile(r"[*?{}\[\]\\]")         # of patterns in paths, which Spark's reader resolves
+READ_BYTES = 8 << 20                         # of documents handed to Spark at once
+
+
 def _local(path: str, default: str = "file:///") -> str | None:
     """The plain path of a folder in a file system that is mounted; None for a store that is reached by URL.
 
@@ -105,17 +111,91 @@ class DocumentWriter(DataSourceArrowWriter):
                 shutil.rmtree(m.temporary, ignore_errors=True)
 
 
+class Place(InputPartition):
+    def __init__(self, path: str | None):
+        super().__init__(None)
+        self.path = path
+
+
+def _hidden(name: str) -> bool:
+    """Names that Spark's readers pass over."""
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+
+
+def _files(path: str) -> Iterator[str]:
+    if not os.path.isdir(path):
+        yield path
+        return
+    with os.scandir(path) as found:
+        entries = sorted((x.name, x.is_dir()) for x in found if not _hidden(x.name))
+    for name, folder in entries:
+        if folder:
+            yield from _files(os.path.join(path, name))
+        else:
+            yield os.path.join(path, name)
+
+
+class DocumentReader(DataSourceReader):
+    """Each path is listed and read by one task; of fewer than ``FOLDERS`` paths, what lies in them."""
+
+    def __init__(self, paths: list[str], glob: str):
+        self.paths, self.glob = paths, glob
+
+    def partitions(self) -> list[Place]:
+        paths = self.paths
+        while len(paths) < FOLDERS and any(os.path.isdir(p) for p in paths):
+            paths = [x for p in paths for x in
+                     ([os.path.join(p, n) for n in sorted(os.listdir(p)) if not _hidden(n)] if os.path.isdir(p) else [p])]
+        return [Place(p) for p in paths] or [Place(None)]
+
+    def read(self, partition: Place) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[str, bytes]] = []
+        size = 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([
+                pa.array([f"file:{p}" for p, _ in held], pa.string()), pa.array([len(x) for _, x in held], pa.int64()),
+                pa.array([x for _, x in held], pa.binary())], names=["path", "length", "content"])
+
+        for path in _files(partition.path) if partition.path else ():
+            if not fnmatch.fnmatchcase(os.path.basename(path), self.glob):
+                continue
+            with open(path, "rb") as f:
+                data = f.read()
+            if held and size + len(data) > READ_BYTES:
+                yield batch()
+                held, size = [], 0
+            held.append((path, data))
+            size += len(data)
+        if held:
+            yield batch()
+
+
 class DocumentSource(DataSource):
-    """``df.write.format("documents").option("key", name).save(folder)`` of columns (key string, content binary)."""
+    """Document files in mounted folders.
+
+    Written from columns (key string, content binary) under ``path``, option ``key``; read from ``paths`` (JSON) as
+    (path, length, content), of files whose names match ``glob``.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "documents"
 
+    def schema(self) -> str:
+        return "path string, length long, content binary"
+
+    def reader(self, schema) -> DocumentReader:
+        return DocumentReader(json.loads(self.options["paths"]), self.options["glob"])
+
     def writer(self, schema, overwrite: bool) -> DocumentWriter:
         return DocumentWriter(self.options["path"], self.options["key"], overwrite)
 
 
+def _default_store(spark: SparkSession) -> str:
+    return spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+
+
 def write_documents(docs: DataFrame, path: str, key: str, text: str) -> list[str]:
     """SRC4: one text file a row, under ``path/folder=N/<key>=value``; returns the folders, for :func:`read_documents`.
 
@@ -126,7 +206,7 @@ def write_documents(docs: DataFrame, path: str, key: str, text: str) -> list[str
     """
     spark = docs.sparkSession
     n = max(FOLDERS, int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 2 * spark.sparkContext.defaultParallelism)
-    mounted = _local(path, spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///"))
+    mounted = _local(path, _default_store(spark))
     if mounted is not None:
         spark.dataSource.register(DocumentSource)
         rows = docs.select(F.col(key).cast("string").alias("key"), F.col(text).cast("binary").alias("content"))
@@ -138,10 +218,20 @@ def write_documents(docs: DataFrame, path: str, key: str, text: str) -> list[str
 
 
 def read_documents(spark: SparkSession, path: str | list[str], glob: str = "*") -> DataFrame:
-    """SRC4: files as bytes -> UTF-8 text; empty files are kept with ``rejected = true``. Several paths are listed in
-    tasks, one path on the driver."""
-    raw = (spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True)
-           .load(path))
+    """SRC4: files as bytes -> UTF-8 text; empty files are kept with ``rejected = true``.
+
+    In mounted folders every path is listed and read by one task (one path alone: what lies in it), so no list of files
+    reaches the driver and the number of tasks is not that of the files; Spark's reader, which counts every file as
+    4 MB at least, takes what is reached by URL or named by a pattern.
+    """
+    paths = [path] if isinstance(path, str) else list(path)
+    mounted = [_local(p, _default_store(spark)) for p in paths]
+    if any(m is None or _MAGIC.search(m) or not os.path.exists(m) for m in mounted) or re.search(r"[{}\\^!]", glob):
+        raw = (spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True)
+               .load(path))
+    else:
+        spark.dataSource.register(DocumentSource)
+        raw = spark.read.format("documents").option("paths", json.dumps(mounted)).option("glob", glob).load()
     return raw.select("path", F.col("length").alias("bytes"),
                       F.when(F.col("length") > 0, F.decode("content", "UTF-8")).alias("text"),
                       (F.col("length") == 0).alias("rejected"))

@@ -72,3 +72,28 @@ def test_paths_of_mounted_folders_and_of_stores():
     assert files._local("file:/a/b") == files._local("file:///a/b") == files._local("/a/b") == "/a/b"
     assert files._local("hdfs://host/a") is None and files._local("s3a://b/a") is None
     assert files._local("/a/b", "hdfs://host") is None and files._local("file:/a/b", "hdfs://host") == "/a/b"
+
+
+def test_document_files_are_read_by_as_many_tasks_as_folders(spark, tmp_path):
+    docs = spark.range(2000).select(F.col("id").alias("page_id"), F.col("id").cast("string").alias("html"))
+    folders = files.write_documents(docs, f"file:{tmp_path}/docs", "page_id", "html")
+    back = files.read_documents(spark, folders, "*.txt")
+    assert back.count() == 2000 and back.rdd.getNumPartitions() == len(folders) <= 128   # not a task for 32 files
+
+
+def test_document_files_are_those_of_the_binary_reader(spark, tmp_path):
+    tree = {"a.txt": b"one", "empty.txt": b"", "b.md": b"two", "_hidden.txt": b"no", ".dot.txt": b"no", "deep/k=1/c.txt": "größe".encode(),
+            "_x=1/d.txt": b"yes", "_no/e.txt": b"no", "deep/bad.txt": b"a\xffb", "deep/sp ace%41.txt": b"s"}
+    for name, data in tree.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    whole, parts = str(tmp_path), [f"file:{tmp_path}/deep", f"{tmp_path}/a.txt", f"file://{tmp_path}/_x=1"]
+    for path in (whole, parts):
+        for glob in ("*", "*.txt", "?.txt", "[a-c].*", "{a,b}.*"):
+            raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
+            want = sorted((r.path, r.length) for r in raw.select("path", "length").collect())
+            got = sorted((r.path, r.bytes) for r in files.read_documents(spark, path, glob).select("path", "bytes").collect())
+            assert want and [x for x in got if x[1]] == want   # Spark's reader leaves empty files out
+            assert [x for x in got if not x[1]] == [(f"file:{tmp_path}/empty.txt", 0)] * (path == whole and glob in ("*", "*.txt"))
+    text = {os.path.basename(r.path): (r.text, r.rejected) for r in files.read_documents(spark, whole, "[ace]*.txt").collect()}
+    assert text == {"a.txt": ("one", False), "c.txt": ("größe", False), "empty.txt": (None, True)}
